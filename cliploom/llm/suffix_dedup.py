@@ -8,11 +8,14 @@ that drops what is unique:
 
 1. the first length - window + 1 bytes after each anchor; a unique anchor belongs to no repeat;
 2. survivors, with rank and the piece up to all bytes of all strings of that anchor: where a pair repeats, all of them do;
-3. for the rest, each single start with its `length` bytes; one anchor stands for all with an equal pair (a repeated row
-   names its starts twice, but none of them is in question then).
+3. the rest in blocks of `BLOCK` neighbouring starts: first the bytes that a block's strings share, then all their bytes;
+4. what is left at the edges of repeats, each single start with its `length` bytes.
+
+In rounds 3 and 4 one member stands for all with an equal pair (a repeated row names its starts twice, but none of them
+is in question then).
 
 Ranks are 64-bit names of byte ranges (two independent ones, 128 bits, where they decide). Only equality counts
-here, so names need no order. Rounds 1 and 2 are written to the shared folder.
+here, so names need no order. What each round leaves is written to the shared folder.
 """
 
 from __future__ import annotations
@@ -30,10 +33,11 @@ from .common import Ranges, ensure_importable, settle, slices, stored
 LENGTH = 400
 WINDOW = 128
 GRAM = 16
+BLOCK = 16
 
 
 def _anchor_rows(offsets: np.ndarray, data: np.ndarray, length: int, window: int) -> tuple[np.ndarray, ...]:
-    """document, anchor, first and last start, rank of the anchor, rank of all its strings."""
+    """document, bytes from the first start to the anchor, first start, starts less one, rank of the anchor, rank of all its strings."""
     sizes = np.diff(offsets)
     starts_of = np.maximum(sizes - length + 1, 0)
     if not starts_of.any():
@@ -58,40 +62,84 @@ def _anchor_rows(offsets: np.ndarray, data: np.ndarray, length: int, window: int
     doc, anchor, lo, hi = doc[new], anchor[new], start[new], start[end]
     core = names.name(anchor, anchor + length - window + 1)
     full = more.name(lo, hi + length) + (anchor - lo).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    return doc, anchor, lo - offsets[:-1][doc], hi - lo, core, full
+    return doc, anchor - lo, lo - offsets[:-1][doc], hi - lo, core, full
 
 
 def _anchors(length: int, window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, offsets, data in slices(batch):
-                doc, _, lo, span, core, full = _anchor_rows(offsets, data, length, window)
+                doc, ahead, lo, span, core, full = _anchor_rows(offsets, data, length, window)
                 rows = pa.array(doc)
                 for at in range(0, len(doc), 1 << 16):
                     to = slice(at, at + (1 << 16))
-                    yield pa.RecordBatch.from_arrays([pa.array(core[to].view(np.int64)), pa.array(full[to].view(np.int64)), part.column(0).take(rows[to]), part.column(1).take(rows[to]), pa.array(lo[to] * window + span[to])], ["core", "full", "doc_id", "h", "at"])
+                    yield pa.RecordBatch.from_arrays([pa.array(core[to].view(np.int64)), pa.array(full[to].view(np.int64)), part.column(0).take(rows[to]), part.column(1).take(rows[to]), pa.array((lo[to] * window + span[to]) * window + ahead[to])], ["core", "u", "doc_id", "h", "at"])
 
     return run
 
 
+def _blocks(length: int, window: int):
+    """Anchors in question to blocks of starts: rank of what their strings share, ranks of all their bytes."""
+
+    def rows(marks: np.ndarray, base: int, names: Ranges, more: Ranges) -> list[np.ndarray]:
+        need, marks = marks % 2, marks // 2
+        ahead, span, lo = marks % window, marks // window % window, marks // window**2
+        first, last = (ahead - span) // BLOCK, ahead // BLOCK
+        n = last - first + 1
+        which = np.repeat(np.arange(len(n)), n)
+        block = first[which] + np.arange(len(which)) - (np.cumsum(n) - n)[which]
+        least = np.maximum(block * BLOCK, (ahead - span)[which])
+        most = np.minimum(block * BLOCK + BLOCK - 1, ahead[which])
+        anchor = (lo + ahead)[which] + base
+        shared = anchor - block * BLOCK
+        core = names.name(shared, shared + length - BLOCK + 1) + block.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        i, j = anchor - most, anchor - least + length
+        return [core, names.name(i, j), more.name(i, j), (i - base) * window + (most - least), need[which]]
+
+    return _named(rows, ["core", "u", "v", "at", "need"])
+
+
 def _starts(length: int, window: int):
+    """Blocks in question to single starts with the rank of their string."""
+
+    def rows(marks: np.ndarray, base: int, names: Ranges, more: Ranges) -> list[np.ndarray]:
+        need, marks = marks % 2, marks // 2
+        lo, n = marks // window, marks % window + 1
+        which = np.repeat(np.arange(len(lo)), n)
+        at = lo[which] + np.arange(len(which)) - (np.cumsum(n) - n)[which]
+        i = at + base
+        return [names.name(i, i + length), more.name(i, i + length), at * window, need[which]]
+
+    return _named(rows, ["u", "v", "at", "need"])
+
+
+def _named(rows, columns: list[str]):
+    """(doc_id, h, text, marks) to doc_id, h and what `rows` makes of the marks of each text."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, offsets, data in slices(batch):
                 names, more = Ranges(data, 1), Ranges(data, 2)
-                for row in range(part.num_rows):
-                    marks = part.column(3)[row].values.to_numpy()
-                    need, marks = marks % 2, marks // 2
-                    lo, n = marks // window, marks % window + 1
-                    which = np.repeat(np.arange(len(lo)), n)
-                    at = lo[which] + np.arange(len(which)) - (np.cumsum(n) - n)[which]
-                    i = at + offsets[row]
-                    ids = pa.array(np.full(len(at), row))
-                    yield pa.RecordBatch.from_arrays([pa.array(names.name(i, i + length).view(np.int64)), pa.array(more.name(i, i + length).view(np.int64)), part.column(0).take(ids), part.column(1).take(ids), pa.array(at * 2 + need[which])], ["a", "b", "doc_id", "h", "at"])
+                made = [rows(part.column(3)[k].values.to_numpy(), offsets[k], names, more) for k in range(part.num_rows)]
+                ids = pa.array(np.repeat(np.arange(part.num_rows), [len(x[0]) for x in made]))
+                arrays = [pa.array(np.concatenate(x).view(np.int64)) for x in zip(*made, strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0).take(ids), part.column(1).take(ids), *arrays], ["doc_id", "h", *columns])
 
     return run
 
 
+def _settled(rows: DataFrame, key: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Rows in need whose rank (all of key) repeats; marks by document of those still in question and of their like.
+
+    Rows that share key[0] may still share strings; one of each rank is enough to find out.
+    """
+    classes = rows.groupBy(*key).agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "h", "at", "need")).alias("rep"))
+    several = classes.groupBy(key[0]).count().where("count > 1").select(key[0])
+    question = classes.join(several, key[0], "left_semi").select("rep.doc_id", "rep.h", (F.col("rep.at") * 2 + F.when(F.col("n") == 1, F.col("rep.need")).otherwise(0)).alias("mark"))
+    repeated = rows.where("need = 1").join(classes.where("n > 1").select(*key), key, "left_semi").select("doc_id", "h", "at")
+    return repeated, question.groupBy("doc_id", "h").agg(F.collect_list("mark").alias("marks"))
+
+
 def spans_of(marks: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Begins and ends of the maximal runs covered by the ranges (begin, end) in the rows of marks."""
     change = np.zeros(size + 1, np.int64)
@@ -134,22 +182,25 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, window: int = WINDOW) ->
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     docs = docs.withColumn("h", F.xxhash64("text"))
     long = docs.where(F.octet_length("text") >= length).select("doc_id", "h", "text")
-    anchors = long.mapInArrow(_anchors(length, window), "core long, full long, doc_id long, h long, at long")
+    same = F.expr("d.doc_id <=> m.doc_id and d.h = m.h")
+
+    def named(marks: DataFrame, how, kinds: str) -> DataFrame:
+        texts = long.alias("d").join(marks.alias("m"), same).select("d.doc_id", "d.h", "text", "marks")
+        return texts.mapInArrow(how(length, window), f"doc_id long, h long, {kinds}at long, need long")
+
+    anchors = long.mapInArrow(_anchors(length, window), "core long, u long, doc_id long, h long, at long")
     again = anchors.groupBy("core").count().where("count > 1").select("core")
-    left = stored(anchors.join(again, "core", "left_semi"), "anchors")
+    left = stored(anchors.join(again, "core", "left_semi").withColumn("need", F.lit(1).cast("long")), "anchors")
     settle(spark)
-
-    classes = left.groupBy("core", "full").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "h", "at")).alias("rep"))
-    several = classes.groupBy("core").count().where("count > 1").select("core")
-    open_ = classes.join(several, "core", "left_semi").groupBy("rep.doc_id", "rep.h").agg(F.collect_list(F.col("rep.at") * 2 + (F.col("n") == 1).cast("long")).alias("marks"))
-    same = F.expr("d.doc_id <=> m.doc_id and d.h = m.h")
-    with_text = long.alias("d").join(open_.alias("m"), same).select("d.doc_id", "d.h", "text", "marks")
-    starts = stored(with_text.mapInArrow(_starts(length, window), "a long, b long, doc_id long, h long, at long"), "starts")
+    by_anchor, marks = _settled(left, ["core", "u"])
+    blocks = stored(named(marks, _blocks, "core long, u long, v long, "), "blocks")
     settle(spark)
-
-    twice = starts.groupBy("a", "b").count().where("count > 1").select("a", "b")
-    single = starts.where("at % 2 = 1").join(twice, ["a", "b"], "left_semi").select("doc_id", "h", F.expr(f"(at div 2) * {window}").alias("at"))
-    whole = left.join(classes.where("n > 1").select("core", "full"), ["core", "full"], "left_semi").select("doc_id", "h", "at")
+    by_block, marks = _settled(blocks, ["core", "u", "v"])
+    starts = stored(named(marks, _starts, "u long, v long, "), "starts")
+    settle(spark)
+    twice = starts.groupBy("u", "v").count().where("count > 1").select("u", "v")
+    single = starts.where("need = 1").join(twice, ["u", "v"], "left_semi").select("doc_id", "h", "at")
+    whole = by_anchor.withColumn("at", F.expr(f"at div {window}")).union(by_block)
     marks = whole.union(single).groupBy("doc_id", "h").agg(F.collect_list("at").alias("marks"))
     out = docs.alias("d").join(marks.alias("m"), same, "left").select("d.doc_id", "text", "d.h", "marks")
     return out.mapInArrow(_kept(length, window), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
