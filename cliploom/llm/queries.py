@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, line_dedup, packing, ppm, simhash, suffix_dedup, toxicity
+from . import bpe, licenses, line_dedup, packing, pivots, ppm, simhash, suffix_dedup, toxicity
 
 BPE_FILE = "byte_bpe_multi_50k.tiktoken"
 WORD_FILE = "word_bpe_49k.json"
@@ -29,6 +30,10 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe(table(spark, sf_dir, "documents"), public_tokenizers.path(BPE_FILE), public_tokenizers.PATTERN, whole=False)
 
 
+def op4_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivots.embedding_groups(table(spark, sf_dir, "embeddings"))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_dedup(table(spark, sf_dir, "documents")).selectExpr("doc_id", "n_lines", "n_removed", "n_runs", "sha2(kept, 256) AS kept_sha256")
 
@@ -45,15 +50,25 @@ def op9_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ppm.language_id(table(spark, sf_dir, "documents"))
 
 
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents have no paths: they are laid out by source and doc_id, those of one line a folder higher."""
+    docs = table(spark, sf_dir, "documents")
+    lower = F.when(F.contains("text", F.lit("\n")), F.expr("doc_id div 500").cast("string"))
+    path = F.concat_ws("/", "source", F.expr("doc_id div 5000").cast("string"), lower, F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    return licenses.license_scan(docs.select("doc_id", path.alias("path"), "text"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_suffix_dedup": op1_suffix_dedup,
         "op2_toxicity": op2_toxicity,
         "op3_bpe": op3_bpe,
+        "op4_pivots": op4_pivots,
         "op5_line_dedup": op5_line_dedup,
         "op6_packing": op6_packing,
         "op7_simhash": op7_simhash,
         "op9_ppm": op9_ppm,
+        "op10_licenses": op10_licenses,
     }
 
 
@@ -84,5 +99,37 @@ SELECT d.doc_id, n_lines, n_removed, n_runs, kept_sha256 FROM d JOIN done ON d.d
 """
 
 
+LICENSES = f"""
+WITH templates(k, license, text) AS (VALUES {", ".join(f"({k}, '{name}', '{text}')" for k, (name, text) in enumerate(licenses.TEMPLATES.items()))}),
+t AS (SELECT k, license, term, count(*) AS tf FROM (SELECT k, license, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM templates) GROUP BY ALL),
+d AS (
+  SELECT doc_id, concat_ws('/', source, CAST(doc_id // 5000 AS VARCHAR), CASE WHEN contains(text, chr(10)) THEN CAST(doc_id // 500 AS VARCHAR) END, CAST(doc_id AS VARCHAR) || '.txt') AS path, coalesce(text, '') AS text FROM documents
+),
+size AS (SELECT count(*) AS n FROM d),
+lines AS (SELECT doc_id, path, generate_subscripts(string_split(text, chr(10)), 1) AS line, unnest(string_split(text, chr(10))) AS text FROM (SELECT DISTINCT * FROM d)),
+tokens AS (SELECT doc_id, path, line, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM lines),
+df AS (SELECT term, count(DISTINCT (doc_id, path)) AS df FROM tokens WHERE term IN (SELECT term FROM t) GROUP BY term),
+idf AS (SELECT v.term, ln((n + 1) / (coalesce(df, 0) + 1)) + 1 AS idf FROM (SELECT DISTINCT term FROM t) v LEFT JOIN df USING (term), size),
+units AS (SELECT * FROM tokens UNION ALL SELECT doc_id, path, -1, term FROM tokens),
+tf AS (SELECT doc_id, path, line, i.term, count(*) AS tf, any_value(idf) AS idf FROM units u LEFT JOIN idf i ON u.term = i.term GROUP BY doc_id, path, line, i.term),
+norms AS (
+  SELECT doc_id, path, line, sqrt(sum(CASE WHEN term IS NULL THEN tf * power(ln(n + 1) + 1, 2) ELSE tf * tf * idf * idf END)) AS norm FROM tf, size GROUP BY doc_id, path, line
+),
+lengths AS (SELECT k, license, sqrt(sum(tf * tf * idf * idf)) AS norm FROM t JOIN idf USING (term) GROUP BY k, license),
+dots AS (SELECT doc_id, path, line, k, sum(tf.tf * t.tf * idf * idf) AS dot FROM tf JOIN t USING (term) GROUP BY doc_id, path, line, k),
+scores AS (SELECT doc_id, path, line, k, license, round(dot / norms.norm / lengths.norm, 6) AS score FROM dots JOIN norms USING (doc_id, path, line) JOIN lengths USING (k)),
+header AS (SELECT doc_id, path, arg_max(license, (score, -k)) AS license, max(score) AS score FROM scores WHERE line > 0 GROUP BY doc_id, path HAVING max(score) >= {licenses.HEADER}),
+whole AS (SELECT doc_id, path, arg_max(license, (score, -k)) AS license, max(score) AS score, max((score, -k)) AS best FROM scores WHERE line < 0 GROUP BY doc_id, path HAVING max(score) >= {licenses.FILE}),
+granted AS (SELECT regexp_extract(path, '^(.*)/[^/]*$', 1) AS up, arg_max(license, best) AS license, max(score) AS score FROM whole WHERE path IS NOT NULL GROUP BY 1),
+folders AS (SELECT DISTINCT regexp_extract(path, '^(.*)/[^/]*$', 1) AS folder FROM d),
+upward AS (SELECT folder, depth, array_to_string(string_split(folder, '/')[1:depth], '/') AS up FROM (SELECT folder, unnest(range(1, len(string_split(folder, '/')) + 1)) AS depth FROM folders)),
+nearest AS (SELECT folder, arg_max(license, depth) AS license, arg_max(score, depth) AS score FROM upward JOIN granted USING (up) GROUP BY folder)
+SELECT d.doc_id, d.path, coalesce(w.license, h.license, n.license) AS license, coalesce(w.score, h.score, n.score, 0) AS score,
+  CASE WHEN w.license IS NOT NULL THEN 'file' WHEN h.license IS NOT NULL THEN 'header' WHEN n.license IS NOT NULL THEN 'inherited' ELSE 'none' END AS basis
+FROM d LEFT JOIN whole w ON d.doc_id = w.doc_id AND d.path = w.path LEFT JOIN header h ON d.doc_id = h.doc_id AND d.path = h.path
+LEFT JOIN nearest n ON regexp_extract(d.path, '^(.*)/[^/]*$', 1) = n.folder
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_line_dedup": LINE_DEDUP}
+    return {"op5_line_dedup": LINE_DEDUP, "op10_licenses": LICENSES}
