@@ -113,7 +113,7 @@ class Trees:
 _trees: dict[int, Trees] = {}
 
 
-def _scored(model, key: int):
+def _scored(model, key: int, keep: list[int], names_kept: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if key not in _trees:
             _trees.clear()
@@ -129,7 +129,7 @@ def _scored(model, key: int):
                 names = np.array(trees.langs, object)[best]
                 names[~known] = UNKNOWN
                 arrays = [part.column(0), part.column(1), pa.array(names.tolist(), pa.string()), pa.array(np.where(known, score, 0.0)), pa.array(np.where(known, rate, 0.0))]
-                yield pa.RecordBatch.from_arrays([*arrays, *part.columns[4:]], ["doc_id", "held_out", "lang_pred", "score", "rate", *part.schema.names[4:]])
+                yield pa.RecordBatch.from_arrays([*arrays, *(part.column(k) for k in keep)], ["doc_id", "held_out", "lang_pred", "score", "rate", *names_kept])
 
     return run
 
@@ -167,9 +167,11 @@ def language_id(docs: DataFrame, rows: int = TRAIN_ROWS, carry: tuple[str, ...]
     model = train(docs, rows)
     kinds = "".join(f", `carry_{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
     letter = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
-    ready = docs.select(F.col("doc_id").cast("long"), held_out(5, 0).alias("held_out"), letter.alias("known"), "text", *(F.col(c).alias(f"carry_{c}") for c in carry))
+    ready = docs.select(F.col("doc_id").cast("long"), held_out(5, 0).alias("held_out"), letter.alias("known"), "text", *(F.col(c).alias(f"carry_{c}") for c in carry if c != "text"))
     if not model[0]:
-        return ready.select("doc_id", "held_out", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(0.0).alias("rate"), *(F.col(f"carry_{c}").alias(c) for c in carry))
+        return ready.select("doc_id", "held_out", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(0.0).alias("rate"), *(F.col("text" if c == "text" else f"carry_{c}").alias(c) for c in carry))
+    names = [f"carry_{c}" for c in carry]
+    keep = [ready.columns.index("text" if c == "text" else f"carry_{c}") for c in carry]
     shared = spark.sparkContext.broadcast(model)  # bounded by the sample
-    out = ready.mapInArrow(_scored(shared, shared._jbroadcast.id()), "doc_id long, held_out boolean, lang_pred string, score double, rate double" + kinds)
+    out = ready.mapInArrow(_scored(shared, shared._jbroadcast.id(), keep, names), "doc_id long, held_out boolean, lang_pred string, score double, rate double" + kinds)
     return out.withColumnsRenamed({f"carry_{c}": c for c in carry})

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, licenses, line_dedup, packing, pivots, ppm, simhash, suffix_dedup, toxicity
+from . import bpe, chroma, licenses, line_dedup, packing, pivots, ppm, simhash, suffix_dedup, toxicity
 
 BPE_FILE = "byte_bpe_multi_50k.tiktoken"
 WORD_FILE = "word_bpe_49k.json"
@@ -46,6 +46,13 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_groups(table(spark, sf_dir, "documents"))
 
 
+def op8_chroma(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """There are no recordings: each conversation is rendered as one, turn after turn."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", F.struct("turn", F.coalesce("text", F.lit("")).alias("text")).alias("t"))
+    texts = turns.groupBy(F.col("conv_id").alias("rec_id")).agg(F.array_join(F.array_sort(F.collect_list("t"))["text"], "\n").alias("text"))
+    return chroma.align_recordings(chroma.recordings_of(texts))
+
+
 def op9_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ppm.language_id(table(spark, sf_dir, "documents"))
 
@@ -67,6 +74,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_line_dedup": op5_line_dedup,
         "op6_packing": op6_packing,
         "op7_simhash": op7_simhash,
+        "op8_chroma": op8_chroma,
         "op9_ppm": op9_ppm,
         "op10_licenses": op10_licenses,
     }

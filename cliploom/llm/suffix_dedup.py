@@ -165,13 +165,13 @@ def _kept(length: int, window: int):
                 kept = b"".join(data[i:j] for i, j in zip([0, *ends.tolist()], [*begins.tolist(), len(data)], strict=True)) if len(begins) else data
                 for to, v in zip(out, (len(data), len(data) - len(kept), len(begins), hashlib.sha256(kept).hexdigest(), kept), strict=True):
                     to.append(v)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()), strict=True))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()), strict=True)), *batch.columns[4:]], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"] + batch.schema.names[4:])
 
     return run
 
 
-def suffix_dedup(docs: DataFrame, length: int = LENGTH, window: int = WINDOW) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (binary): each document without its repeated strings.
+def suffix_dedup(docs: DataFrame, length: int = LENGTH, window: int = WINDOW, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (binary) and the columns in `carry`: documents without repeated strings.
 
     A byte goes if a `length`-byte string that covers it starts anywhere else too. A null text is empty; texts shorter
     than `length` bytes keep all. Repeated rows repeat each other and lose all but short texts; null doc_ids are
@@ -179,7 +179,7 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, window: int = WINDOW) ->
     """
     spark = docs.sparkSession
     ensure_importable(spark)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), *(F.col(c).alias(f"carry_{c}") for c in carry))
     docs = docs.withColumn("h", F.xxhash64("text"))
     long = docs.where(F.octet_length("text") >= length).select("doc_id", "h", "text")
     same = F.expr("d.doc_id <=> m.doc_id and d.h = m.h")
@@ -202,5 +202,17 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, window: int = WINDOW) ->
     single = starts.where("need = 1").join(twice, ["u", "v"], "left_semi").select("doc_id", "h", "at")
     whole = by_anchor.withColumn("at", F.expr(f"at div {window}")).union(by_block)
     marks = whole.union(single).groupBy("doc_id", "h").agg(F.collect_list("at").alias("marks"))
-    out = docs.alias("d").join(marks.alias("m"), same, "left").select("d.doc_id", "text", "d.h", "marks")
-    return out.mapInArrow(_kept(length, window), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    out = docs.alias("d").join(marks.alias("m"), same, "left").select("d.doc_id", "text", "d.h", "marks", *(F.col(f"carry_{c}") for c in carry))
+    kinds = "".join(f", `carry_{c}` {docs.schema[f'carry_{c}'].dataType.simpleString()}" for c in carry)
+    out = out.mapInArrow(_kept(length, window), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary" + kinds)
+    return out.withColumnsRenamed({f"carry_{c}": c for c in carry})
+
+
+def whole_characters(column: str):
+    """Bytes as text, without those that are no whole UTF-8 characters."""
+
+    @F.arrow_udf("string")
+    def text(data: pa.Array) -> pa.Array:
+        return pa.array([None if x is None else x.decode("utf-8", "ignore") for x in data.to_pylist()], pa.string())
+
+    return text(column)
