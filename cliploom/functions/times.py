@@ -28,4 +28,4 @@ def ass_time(ms: Column) -> Column:
 def day_ms(ts: Column) -> Column:
     """Milliseconds since 1970-01-01 of a timestamp without zone, whatever the session's zone is."""
     days = F.datediff(ts.cast("date"), F.lit("1970-01-01").cast("date")).cast("long")
-    return days * 86400000 + F.hour(ts) * 3600000 + F.minute(ts) * 60000 + F.floor(F.date_part(F.lit("SECONDS"), ts) * 1000)
+    return days * 86400000 + F.hour(ts) * 3600000 + F.minute(ts) * 60000 + F.floor(F.date_part(F.lit("SECONDS"), ts) * 1000).cast("long")

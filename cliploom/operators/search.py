@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
@@ -38,6 +38,10 @@ def phrase(index: DataFrame, words: list[str]) -> DataFrame:
     return starts.where(F.col("n") == len(words)).select("doc_id", F.col("start").cast("long").alias("start"))
 
 
+def _times(word: str) -> Column:
+    return F.size(F.filter("t", lambda x: x == F.lit(word)))
+
+
 def ranked(docs: DataFrame, words: list[str]) -> DataFrame:
     """(doc_id, score): BM25 of documents with any of the words, rounded to 6 places.
 
@@ -45,8 +49,8 @@ def ranked(docs: DataFrame, words: list[str]) -> DataFrame:
     """
     own = docs.select("doc_id", tokens(F.col("text")).alias("t"))
     size = F.size("t")
-    stats = own.agg(F.count("*").alias("n"), F.avg(size).alias("mean"), *(F.count_if(F.array_contains("t", w)).alias(f"df{k}") for k, w in enumerate(words)))
-    counted = own.select("doc_id", size.alias("len"), *(F.size(F.filter("t", lambda x, w=w: x == w)).alias(f"tf{k}") for k, w in enumerate(words)))
+    stats = own.agg(F.count("*").alias("n"), F.avg(size).alias("mean"), *(F.count_if(F.array_contains("t", F.lit(w))).alias(f"df{k}") for k, w in enumerate(words)))
+    counted = own.select("doc_id", size.alias("len"), *(_times(w).alias(f"tf{k}") for k, w in enumerate(words)))
     rows = counted.where(" or ".join(f"tf{k} > 0" for k in range(len(words)))).crossJoin(F.broadcast(stats))  # stats is one row
     score = F.lit(0.0)
     for k in range(len(words)):
