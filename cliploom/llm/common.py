@@ -6,15 +6,16 @@ import gc
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that one numpy pass holds (the passes need about twelve times as much memory).
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 #: Rows of an Arrow batch between the JVM and Python.
 BATCH_ROWS = 256
 
@@ -63,6 +64,35 @@ def settle(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+#: Keys given to rows whose doc_id is null or not theirs alone begin here.
+STAND_INS = 1 << 62
+
+
+def keyed(docs: DataFrame, key: str = "key") -> DataFrame:
+    """docs with a long that tells documents apart: doc_id, or a stand-in by content where that is null or repeated.
+
+    Rows of equal doc_id and text share one. Only the ids are counted; texts shuffle only if some id is repeated.
+    """
+    docs = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
+    shared = docs.groupBy("doc_id").count().where("count > 1 or doc_id is null").select("doc_id", F.lit(True).alias("_shared"))
+    if shared.isEmpty():
+        return docs.withColumn(key, F.col("doc_id"))
+    docs = docs.alias("d").join(shared.alias("s"), F.expr("d.doc_id <=> s.doc_id"), "left").select("d.*", "_shared")
+    own = STAND_INS + F.pmod(F.xxhash64("doc_id", F.coalesce("text", F.lit(""))), F.lit(STAND_INS - 1))
+    return docs.withColumn(key, F.when(F.col("_shared"), own).otherwise(F.col("doc_id"))).drop("_shared")
+
+
+_resident: dict[str, object] = {}
+
+
+def resident(key: str, build: Callable[[], object]) -> object:
+    """What `build` makes, kept in this worker until another key is asked for: a worker serves one operator after another."""
+    if key not in _resident:
+        _resident.clear()
+        _resident[key] = build()
+    return _resident[key]
+
+
 def binary(column: pa.ChunkedArray | pa.Array) -> pa.Array:
     """A text column as one large_binary array, null as empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -19,7 +19,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.suffix_dedup(table(spark, sf_dir, "documents")).drop("kept")
+    return suffix_dedup.suffix_dedup(table(spark, sf_dir, "documents")).drop("kept", "kept_text")
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Ranges, ensure_importable, settle, slices, stored
+from .common import Ranges, ensure_importable, keyed, settle, slices, stored
 
 LENGTH = 400
 WINDOW = 128
@@ -73,7 +73,7 @@ def _anchors(length: int, window: int):
                 rows = pa.array(doc)
                 for at in range(0, len(doc), 1 << 16):
                     to = slice(at, at + (1 << 16))
-                    yield pa.RecordBatch.from_arrays([pa.array(core[to].view(np.int64)), pa.array(full[to].view(np.int64)), part.column(0).take(rows[to]), part.column(1).take(rows[to]), pa.array((lo[to] * window + span[to]) * window + ahead[to])], ["core", "u", "doc_id", "h", "at"])
+                    yield pa.RecordBatch.from_arrays([pa.array(core[to].view(np.int64)), pa.array(full[to].view(np.int64)), part.column(0).take(rows[to]), pa.array((lo[to] * window + span[to]) * window + ahead[to])], ["core", "u", "key", "at"])
 
     return run
 
@@ -114,30 +114,30 @@ def _starts(length: int, window: int):
 
 
 def _named(rows, columns: list[str]):
-    """(doc_id, h, text, marks) to doc_id, h and what `rows` makes of the marks of each text."""
+    """(key, text, marks) to key and what `rows` makes of the marks of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, offsets, data in slices(batch):
                 names, more = Ranges(data, 1), Ranges(data, 2)
-                made = [rows(part.column(3)[k].values.to_numpy(), offsets[k], names, more) for k in range(part.num_rows)]
+                made = [rows(part.column(2)[k].values.to_numpy(), offsets[k], names, more) for k in range(part.num_rows)]
                 ids = pa.array(np.repeat(np.arange(part.num_rows), [len(x[0]) for x in made]))
                 arrays = [pa.array(np.concatenate(x).view(np.int64)) for x in zip(*made, strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column(0).take(ids), part.column(1).take(ids), *arrays], ["doc_id", "h", *columns])
+                yield pa.RecordBatch.from_arrays([part.column(0).take(ids), *arrays], ["key", *columns])
 
     return run
 
 
-def _settled(rows: DataFrame, key: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Rows in need whose rank (all of key) repeats; marks by document of those still in question and of their like.
+def _settled(rows: DataFrame, rank: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Rows in need whose rank (all its columns) repeats; marks by document of those still in question and of their like.
 
-    Rows that share key[0] may still share strings; one of each rank is enough to find out.
+    Rows that share the first column of rank may still share strings; one of each rank is enough to find out.
     """
-    classes = rows.groupBy(*key).agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "h", "at", "need")).alias("rep"))
-    several = classes.groupBy(key[0]).count().where("count > 1").select(key[0])
-    question = classes.join(several, key[0], "left_semi").select("rep.doc_id", "rep.h", (F.col("rep.at") * 2 + F.when(F.col("n") == 1, F.col("rep.need")).otherwise(0)).alias("mark"))
-    repeated = rows.where("need = 1").join(classes.where("n > 1").select(*key), key, "left_semi").select("doc_id", "h", "at")
-    return repeated, question.groupBy("doc_id", "h").agg(F.collect_list("mark").alias("marks"))
+    classes = rows.groupBy(*rank).agg(F.count("*").alias("n"), F.min(F.struct("key", "at", "need")).alias("rep"))
+    several = classes.groupBy(rank[0]).count().where("count > 1").select(rank[0])
+    question = classes.join(several, rank[0], "left_semi").select("rep.key", (F.col("rep.at") * 2 + F.when(F.col("n") == 1, F.col("rep.need")).otherwise(0)).alias("mark"))
+    repeated = rows.where("need = 1").join(classes.where("n > 1").select(*rank), rank, "left_semi").select("key", "at")
+    return repeated, question.groupBy("key").agg(F.collect_list("mark").alias("marks"))
 
 
 def spans_of(marks: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -154,41 +154,39 @@ def _kept(length: int, window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1).cast(pa.large_binary()).fill_null(b"")
-            out: list[list] = [[], [], [], [], []]
+            out: list[list] = [[], [], [], [], [], []]
             for row, text in enumerate(texts):
                 data = text.as_py()
-                marks = batch.column(3)[row]
+                marks = batch.column(2)[row]
                 begins = ends = np.zeros(0, np.int64)
                 if marks.is_valid and len(marks):
                     x = marks.values.to_numpy()
                     begins, ends = spans_of(np.stack((x // window, x // window + x % window + length), 1), len(data))
                 kept = b"".join(data[i:j] for i, j in zip([0, *ends.tolist()], [*begins.tolist(), len(data)], strict=True)) if len(begins) else data
-                for to, v in zip(out, (len(data), len(data) - len(kept), len(begins), hashlib.sha256(kept).hexdigest(), kept), strict=True):
+                for to, v in zip(out, (len(data), len(data) - len(kept), len(begins), hashlib.sha256(kept).hexdigest(), kept, kept.decode("utf-8", "ignore")), strict=True):
                     to.append(v)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()), strict=True)), *batch.columns[4:]], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"] + batch.schema.names[4:])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.string()), strict=True)), *batch.columns[3:]], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "kept_text"] + batch.schema.names[3:])
 
     return run
 
 
 def suffix_dedup(docs: DataFrame, length: int = LENGTH, window: int = WINDOW, carry: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (binary) and the columns in `carry`: documents without repeated strings.
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (binary), kept_text and the columns in `carry`.
 
-    A byte goes if a `length`-byte string that covers it starts anywhere else too. A null text is empty; texts shorter
-    than `length` bytes keep all. Repeated rows repeat each other and lose all but short texts; null doc_ids are
-    documents like others. Other columns are ignored. An empty table gives no rows.
+    A byte goes if a `length`-byte string that covers it starts anywhere else too; kept_text is kept without characters cut
+    in two. A null text is empty; texts shorter than `length` bytes keep all. Repeated rows repeat each other and lose all
+    but short texts; null doc_ids are documents like others. Other columns are ignored. An empty table gives no rows.
     """
     spark = docs.sparkSession
     ensure_importable(spark)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), *(F.col(c).alias(f"carry_{c}") for c in carry))
-    docs = docs.withColumn("h", F.xxhash64("text"))
-    long = docs.where(F.octet_length("text") >= length).select("doc_id", "h", "text")
-    same = F.expr("d.doc_id <=> m.doc_id and d.h = m.h")
+    docs = keyed(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *(F.col(c).alias(f"carry_{c}") for c in carry)))
+    long = docs.where(F.octet_length("text") >= length).select("key", "text")
 
     def named(marks: DataFrame, how, kinds: str) -> DataFrame:
-        texts = long.alias("d").join(marks.alias("m"), same).select("d.doc_id", "d.h", "text", "marks")
-        return texts.mapInArrow(how(length, window), f"doc_id long, h long, {kinds}at long, need long")
+        texts = long.join(marks, "key").select("key", "text", "marks")
+        return texts.mapInArrow(how(length, window), f"key long, {kinds}at long, need long")
 
-    anchors = long.mapInArrow(_anchors(length, window), "core long, u long, doc_id long, h long, at long")
+    anchors = long.mapInArrow(_anchors(length, window), "core long, u long, key long, at long")
     again = anchors.groupBy("core").count().where("count > 1").select("core")
     left = stored(anchors.join(again, "core", "left_semi").withColumn("need", F.lit(1).cast("long")), "anchors")
     settle(spark)
@@ -199,20 +197,11 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, window: int = WINDOW, ca
     starts = stored(named(marks, _starts, "u long, v long, "), "starts")
     settle(spark)
     twice = starts.groupBy("u", "v").count().where("count > 1").select("u", "v")
-    single = starts.where("need = 1").join(twice, ["u", "v"], "left_semi").select("doc_id", "h", "at")
+    single = starts.where("need = 1").join(twice, ["u", "v"], "left_semi").select("key", "at")
     whole = by_anchor.withColumn("at", F.expr(f"at div {window}")).union(by_block)
-    marks = whole.union(single).groupBy("doc_id", "h").agg(F.collect_list("at").alias("marks"))
-    out = docs.alias("d").join(marks.alias("m"), same, "left").select("d.doc_id", "text", "d.h", "marks", *(F.col(f"carry_{c}") for c in carry))
+    marks = whole.union(single).groupBy("key").agg(F.collect_list("at").alias("marks"))
+    out = docs.join(marks, "key", "left").select("doc_id", "text", "marks", *(F.col(f"carry_{c}") for c in carry))
     kinds = "".join(f", `carry_{c}` {docs.schema[f'carry_{c}'].dataType.simpleString()}" for c in carry)
-    out = out.mapInArrow(_kept(length, window), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary" + kinds)
+    out = out.mapInArrow(_kept(length, window), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, kept_text string" + kinds)
     return out.withColumnsRenamed({f"carry_{c}": c for c in carry})
 
-
-def whole_characters(column: str):
-    """Bytes as text, without those that are no whole UTF-8 characters."""
-
-    @F.arrow_udf("string")
-    def text(data: pa.Array) -> pa.Array:
-        return pa.array([None if x is None else x.decode("utf-8", "ignore") for x in data.to_pylist()], pa.string())
-
-    return text(column)

@@ -19,15 +19,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cliploom.llm import line_dedup, packing, ppm, simhash, suffix_dedup
-from cliploom.llm.common import stored
+from cliploom.llm.common import keyed, stored
 from cliploom.llm.queries import WORD_FILE
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 OTHERS = ("lang", "source")
 #: Bytes of a repeated passage; some forty words.
-PASSAGE, WINDOW = 200, 64
-#: Ids given to rows whose doc_id is null or not their own begin here.
-STAND_INS = 1 << 62
+PASSAGE, WINDOW = 200, 80
 
 
 def _documents(df: DataFrame) -> DataFrame:
@@ -44,22 +42,15 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    docs = docs.select(*COLUMNS)
-    shared = docs.groupBy("doc_id").count().where("count > 1 or doc_id is null").select("doc_id", F.lit(True).alias("shared"))
-    own = F.col("doc_id").cast("long")
-    if shared.isEmpty():
-        docs = docs.withColumn("key", own)
-    else:
-        docs = docs.alias("d").join(shared.alias("s"), F.expr("d.doc_id <=> s.doc_id"), "left").select("d.*", "shared")
-        docs = docs.withColumn("key", F.when(F.col("shared"), STAND_INS + F.pmod(F.xxhash64("doc_id", "text"), F.lit(STAND_INS - 1))).otherwise(own))
+    docs = keyed(docs.select(*COLUMNS))
     first = simhash.simhash_groups(docs.select(F.col("key").alias("doc_id"), "text")).select("component_id").distinct()
     kept = docs.join(first, F.col("key") == F.col("component_id"), "left_semi")
     return kept.dropDuplicates(["key"]).select(*COLUMNS)
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = suffix_dedup.suffix_dedup(docs, PASSAGE, WINDOW, carry=OTHERS).where("length(kept) > 0 or n_removed = 0")
-    return _documents(kept.withColumn("text", suffix_dedup.whole_characters("kept")))
+    kept = suffix_dedup.suffix_dedup(docs, PASSAGE, WINDOW, carry=OTHERS).where("kept_text != '' or n_removed = 0")
+    return _documents(kept.withColumnRenamed("kept_text", "text"))
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
