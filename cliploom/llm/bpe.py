@@ -13,7 +13,6 @@ import hashlib
 import re
 from array import array
 from collections.abc import Iterator
-from functools import lru_cache
 from pathlib import Path
 
 import numpy as np
@@ -23,7 +22,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ensure_importable
+from .common import ensure_importable, resident
 
 #: Pieces that a worker remembers.
 REMEMBERED = 400_000
@@ -239,9 +238,8 @@ class Codec:
         return b"".join(map(self.tokens.__getitem__, memoryview(ids).cast("I")))
 
 
-@lru_cache(2)
 def codec(name: str, pattern: str) -> Codec:
-    return Codec(SparkFiles.get(name), pattern)
+    return resident(f"bpe {name} {pattern}", lambda: Codec(SparkFiles.get(name), pattern))
 
 
 def _codes(name: str, pattern: str, whole: bool):

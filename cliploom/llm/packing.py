@@ -14,7 +14,6 @@ import re
 import zlib
 from array import array
 from collections.abc import Iterator
-from functools import lru_cache
 from pathlib import Path
 
 import pyarrow as pa
@@ -23,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import ensure_importable
+from .common import ensure_importable, resident
 
 SIZE = 2048
 OPEN = 32
@@ -33,11 +32,11 @@ REMEMBERED = 400_000
 PER_PARTITION = 1 << 40
 
 
-#: Letters and numbers of Unicode below U+0250, and the pieces that the tokenizer's pre-tokenizer keeps.
-LETTERS, NUMBERS, SPACES = "a-zA-Z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f", "0-9\xb2\xb3\xb9\xbc-\xbe", "\t-\r \x85\xa0"
+#: Letters and numbers of Unicode below U+0180, and the pieces that the tokenizer's pre-tokenizer keeps.
+LETTERS, NUMBERS, SPACES = "a-zA-Z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u017f", "0-9\xb2\xb3\xb9\xbc-\xbe", "\t-\r \x85\xa0"
 PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{NUMBERS}]|[^{SPACES}{LETTERS}{NUMBERS}]+")
-#: Characters with rules of their own (beyond U+024F, or lower case of two characters), and what may begin a special token.
-ODD = re.compile("[^\x00-\u024f]|\u0130|<\\|")
+#: Characters with rules of their own (beyond U+017F, where lower case may be anywhere, or of two characters), and what may begin a special token.
+ODD = re.compile("[^\x00-\u017f]|\u0130|<\\|")
 
 
 class Words:
@@ -67,9 +66,8 @@ class Words:
         return next(self.encode_all([text]))
 
 
-@lru_cache(2)
 def words(name: str) -> Words:
-    return Words(SparkFiles.get(name))
+    return resident(f"words {name}", lambda: Words(SparkFiles.get(name)))
 
 
 class Packer:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ensure_importable, slices
+from .common import ensure_importable, resident, slices
 
 #: Labelled rows of each language that the trees are counted on, about; all of them where there are fewer.
 TRAIN_ROWS = 2000
@@ -110,15 +110,9 @@ class Trees:
         return out
 
 
-_trees: dict[int, Trees] = {}
-
-
 def _scored(model, key: int, keep: list[int], names_kept: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if key not in _trees:
-            _trees.clear()
-            _trees[key] = Trees(*model.value)
-        trees = _trees[key]
+        trees = resident(f"ppm {key}", lambda: Trees(*model.value))
         for batch in batches:
             for part, offsets, data in slices(batch):
                 bits = trees.bits(offsets, data)
