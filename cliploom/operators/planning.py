@@ -33,3 +33,14 @@ def flags(texts: DataFrame, banned: DataFrame) -> DataFrame:
 def licensed(videos: DataFrame) -> DataFrame:
     """Only videos whose licence is recorded."""
     return videos.where(F.col("license_source").isNotNull() & (F.trim("license_source") != ""))
+
+
+def all_flags(from_list: DataFrame, from_model: DataFrame) -> DataFrame:
+    """(doc_id, reason): flags of the word list and of the model's review together, each once."""
+    return from_list.select("doc_id", "reason").unionByName(from_model.select("doc_id", "reason")).distinct()
+
+
+def sentiment(moments: DataFrame, scores: DataFrame) -> DataFrame:
+    """(video_id, moment_type, n, mean): mean score of the sentences of each type of moment; sentences without one don't count."""
+    rows = moments.join(scores.select("video_id", F.col("sent_idx").alias("moment_id"), F.col("score").alias("feeling")), ["video_id", "moment_id"], "left")
+    return rows.groupBy("video_id", "moment_type").agg(F.count("feeling").alias("n"), F.round(F.avg("feeling"), 6).alias("mean"))

@@ -167,6 +167,20 @@ def safety_flags(spark: SparkSession, d: str) -> DataFrame:
     return planning.flags(S.docs(spark, d), banned)
 
 
+def all_flags(spark: SparkSession, d: str) -> DataFrame:
+    """Listed words, and the toxic label in place of a model's review."""
+    listed = safety_flags(spark, d).select("doc_id", F.concat(F.lit("word "), "word").alias("reason"))
+    review = S.read(spark, d, "labels").where("toxic = 1").select("doc_id", F.lit("review").alias("reason"))
+    return planning.all_flags(listed, review)
+
+
+def moment_sentiment(spark: SparkSession, d: str) -> DataFrame:
+    """The share of letters e stands in for a model's score."""
+    s = S.sentences(spark, d).where("sent_idx % 2 = 0")
+    scores = s.select("video_id", "sent_idx", (F.length(F.regexp_replace("text", "[^e]", "")) / F.length("text")).alias("score"))
+    return planning.sentiment(S.moments(spark, d), scores)
+
+
 def fts_build(spark: SparkSession, d: str) -> DataFrame:
     return search.postings(S.docs(spark, d)).groupBy("token").agg(F.count("*").alias("cf"), F.count_distinct("doc_id").alias("df"))
 
@@ -197,7 +211,7 @@ def scan_parquet(spark: SparkSession, d: str) -> DataFrame:
     return S.read(spark, d, "lineitem").where("l_quantity < 3").select("l_orderkey", "l_linenumber", "l_quantity")
 
 
-QUERIES = [explode_words, sentence_assemble, transcript_fulltext, transcript_view, bilingual_captions, speaker_time, speaker_number, clip_cut, hook_text_window, silence_gaps, speech_runs, silence_retime, idea_parts, top_moments, ideas_per_video, srt_export, vtt_export, ass_karaoke, assign_speaker, active_speaker, asof_latest, face_smooth, best_frame, crop_box, crop_follow, url_valid, detect_questions, arabic_fold, hashtags, json_stage, docs_by_lang, word_freq, safety_flags, fts_build, fts_match, fts_match_all, fts_phrase, fts_ranked, fts_by_speaker, scan_parquet]
+QUERIES = [explode_words, sentence_assemble, transcript_fulltext, transcript_view, bilingual_captions, speaker_time, speaker_number, clip_cut, hook_text_window, silence_gaps, speech_runs, silence_retime, idea_parts, top_moments, ideas_per_video, srt_export, vtt_export, ass_karaoke, assign_speaker, active_speaker, asof_latest, face_smooth, best_frame, crop_box, crop_follow, url_valid, detect_questions, arabic_fold, hashtags, json_stage, docs_by_lang, word_freq, safety_flags, all_flags, moment_sentiment, fts_build, fts_match, fts_match_all, fts_phrase, fts_ranked, fts_by_speaker, scan_parquet]
 
 TOKENS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}]+')"
 POSTINGS = f"p AS (SELECT doc_id, unnest(t) AS token, generate_subscripts(t, 1) - 1 AS pos FROM (SELECT doc_id, {TOKENS} AS t FROM documents))"
@@ -266,6 +280,10 @@ SELECT c.conv_id, c.turn, coalesce(h, '') AS hashtags FROM conversations c LEFT
     "docs_by_lang": "SELECT lang, count(*) AS n_docs, CAST(sum(length(text)) AS BIGINT) AS letters FROM documents GROUP BY lang",
     "word_freq": f"SELECT token, count(*) AS n FROM (SELECT unnest({TOKENS}) AS token FROM documents) GROUP BY token",
     "safety_flags": f"SELECT doc_id, word, count(*) AS hits FROM (SELECT doc_id, unnest({TOKENS}) AS word FROM documents) WHERE word IN ('idiot', 'scum', 'trash', 'loser') GROUP BY doc_id, word",
+    "all_flags": f"""SELECT doc_id, 'word ' || word AS reason FROM (SELECT doc_id, unnest({TOKENS}) AS word FROM documents) WHERE word IN ('idiot', 'scum', 'trash', 'loser')
+UNION SELECT doc_id, 'review' FROM labels WHERE toxic = 1""",
+    "moment_sentiment": f"""{SENT}, {S.MOMENTS}, f AS (SELECT video_id, sent_idx, CAST(length(regexp_replace(text, '[^e]', '', 'g')) AS DOUBLE) / length(text) AS feeling FROM sentences WHERE sent_idx % 2 = 0)
+SELECT m.video_id, moment_type, count(feeling) AS n, round(avg(feeling), 6) AS mean FROM moments m LEFT JOIN f ON m.video_id = f.video_id AND m.moment_id = f.sent_idx GROUP BY m.video_id, moment_type""",
     "fts_build": f"WITH {POSTINGS} SELECT token, count(*) AS cf, count(DISTINCT doc_id) AS df FROM p GROUP BY token",
     "fts_match": f"WITH {POSTINGS} SELECT doc_id, count(*) AS hits FROM p WHERE token IN ('idiot', 'license', 'nicht') GROUP BY doc_id",
     "fts_match_all": f"WITH {POSTINGS} SELECT doc_id, count(*) AS hits FROM p WHERE token IN ('the', 'license', 'of') GROUP BY doc_id HAVING count(DISTINCT token) = 3",
