@@ -18,11 +18,14 @@ from pyspark.sql import functions as F
 SLICE_BYTES = 1 << 20
 #: Rows of an Arrow batch between the JVM and Python.
 BATCH_ROWS = 256
+#: Bytes of one, about.
+BATCH_BYTES = 16 << 20
 
 
 def ensure_importable(spark: SparkSession) -> None:
     """Let Python workers import this package from where the driver has it."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     root = str(Path(__file__).resolve().parents[2])
     env = spark.sparkContext.environment
     have = env.get("PYTHONPATH", "")
