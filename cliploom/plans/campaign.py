@@ -29,9 +29,10 @@ def post_earnings(spark: SparkSession, d: str) -> DataFrame:
 
 
 def earnings_audit(spark: SparkSession, d: str) -> DataFrame:
+    """Posts that are no longer pending have stored earnings."""
     campaigns, clips, posts = _three(spark, d)
-    posts = posts.groupBy("id", "clip_id").agg(F.max("views_count").alias("views_count"))
-    stored = posts.where("id % 3 != 0").select(F.col("id").alias("post_id"), (F.col("views_count") * F.lit("0.0015").cast("decimal(18,4)")).cast("decimal(18,4)").alias("calculated_earning"), F.when(F.col("id") % 2 == 0, "USD").otherwise("EUR").alias("currency"))
+    posts = posts.groupBy("id", "clip_id").agg(F.max("views_count").alias("views_count"), F.min("status").alias("status"))
+    stored = posts.where("status != 'pending'").select(F.col("id").alias("post_id"), (F.col("views_count") * F.lit("0.0015").cast("decimal(18,4)")).cast("decimal(18,4)").alias("calculated_earning"), F.when(F.col("id") % 2 == 0, "USD").otherwise("EUR").alias("currency"))
     return C.audit(posts, stored, clips, campaigns)
 
 
@@ -114,8 +115,8 @@ FROM rows GROUP BY GROUPING SETS ((campaign_id), (clip_id), (platform), ())""",
 SELECT p.id AS post_id, campaign_id, platform, p.status, views_count, round(CAST(views_count * coalesce(rate_per_1000_views, CAST(0 AS DECIMAL(18,4))) AS DOUBLE) / 1000, 4) AS expected
 FROM posts p JOIN clips k ON p.clip_id = k.id JOIN campaigns c ON k.campaign_id = c.id""",
     "earnings_audit": f"""{BASE},
-p AS (SELECT id, clip_id, max(views_count) AS views_count FROM posts GROUP BY id, clip_id),
-e AS (SELECT id AS post_id, CAST(views_count * CAST(0.0015 AS DECIMAL(18,4)) AS DECIMAL(18,4)) AS calculated_earning, CASE WHEN id % 2 = 0 THEN 'USD' ELSE 'EUR' END AS currency FROM p WHERE id % 3 <> 0),
+p AS (SELECT id, clip_id, max(views_count) AS views_count, min(status) AS status FROM posts GROUP BY id, clip_id),
+e AS (SELECT id AS post_id, CAST(views_count * CAST(0.0015 AS DECIMAL(18,4)) AS DECIMAL(18,4)) AS calculated_earning, CASE WHEN id % 2 = 0 THEN 'USD' ELSE 'EUR' END AS currency FROM p WHERE status <> 'pending'),
 s AS (SELECT post_id, currency, CAST(sum(calculated_earning) AS DOUBLE) AS stored FROM e GROUP BY post_id, currency),
 n AS (SELECT p.id AS post_id, round(CAST(views_count * coalesce(rate_per_1000_views, CAST(0 AS DECIMAL(18,4))) AS DOUBLE) / 1000, 4) AS computed FROM p JOIN clips k ON p.clip_id = k.id JOIN campaigns c ON k.campaign_id = c.id)
 SELECT n.post_id, currency, stored, computed, stored IS DISTINCT FROM computed AS differs FROM n LEFT JOIN s ON n.post_id = s.post_id""",

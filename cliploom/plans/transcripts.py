@@ -32,9 +32,9 @@ def transcript_view(spark: SparkSession, d: str) -> DataFrame:
 
 
 def bilingual_captions(spark: SparkSession, d: str) -> DataFrame:
-    """Marked text stands in for a translation of two sentences in three."""
+    """Marked text stands in for a translation; system messages have none."""
     s = S.sentences(spark, d)
-    t = s.where("sent_idx % 3 != 0").select("video_id", "sent_idx", F.lit("ar").alias("lang"), F.concat(F.lit("[ar] "), "text").alias("text"))
+    t = s.where("speaker != 'system'").select("video_id", "sent_idx", F.lit("ar").alias("lang"), F.concat(F.lit("[ar] "), "text").alias("text"))
     return T.bilingual(s.select("video_id", "sent_idx", "start_ms", "end_ms", "text"), t, "ar")
 
 
@@ -175,8 +175,8 @@ def all_flags(spark: SparkSession, d: str) -> DataFrame:
 
 
 def moment_sentiment(spark: SparkSession, d: str) -> DataFrame:
-    """The share of letters e stands in for a model's score."""
-    s = S.sentences(spark, d).where("sent_idx % 2 = 0")
+    """The share of letters e stands in for a model's score; only what users say has one."""
+    s = S.sentences(spark, d).where("speaker = 'user'")
     scores = s.select("video_id", "sent_idx", (F.length(F.regexp_replace("text", "[^e]", "")) / F.length("text")).alias("score"))
     return planning.sentiment(S.moments(spark, d), scores)
 
@@ -232,7 +232,7 @@ SQL = {
     "sentence_assemble": f"{SENT} SELECT * FROM sentences",
     "transcript_fulltext": f"{SENT} SELECT video_id, string_agg(text, ' ' ORDER BY sent_idx) AS full_text, count(*) AS n_sentences FROM sentences GROUP BY video_id",
     "transcript_view": f"{SENT} SELECT video_id, start_ms, speaker, text FROM sentences ORDER BY video_id, start_ms",
-    "bilingual_captions": f"{SENT} SELECT video_id, sent_idx, start_ms, end_ms, text, CASE WHEN sent_idx % 3 <> 0 THEN '[ar] ' || text END AS translated FROM sentences",
+    "bilingual_captions": f"{SENT} SELECT video_id, sent_idx, start_ms, end_ms, text, CASE WHEN speaker <> 'system' THEN '[ar] ' || text END AS translated FROM sentences",
     "speaker_time": f"{SENT} SELECT video_id, speaker, CAST(sum(end_ms - start_ms) AS BIGINT) AS spoken_ms, count(*) AS n_sentences FROM sentences GROUP BY video_id, speaker",
     "speaker_number": f"""{SENT}, f AS (SELECT video_id, speaker, min(sent_idx) AS first FROM sentences GROUP BY video_id, speaker)
 SELECT video_id, speaker, 'Speaker ' || dense_rank() OVER (PARTITION BY video_id ORDER BY first, speaker) AS label FROM f""",
@@ -282,7 +282,7 @@ SELECT c.conv_id, c.turn, coalesce(h, '') AS hashtags FROM conversations c LEFT
     "safety_flags": f"SELECT doc_id, word, count(*) AS hits FROM (SELECT doc_id, unnest({TOKENS}) AS word FROM documents) WHERE word IN ('idiot', 'scum', 'trash', 'loser') GROUP BY doc_id, word",
     "all_flags": f"""SELECT doc_id, 'word ' || word AS reason FROM (SELECT doc_id, unnest({TOKENS}) AS word FROM documents) WHERE word IN ('idiot', 'scum', 'trash', 'loser')
 UNION SELECT doc_id, 'review' FROM labels WHERE toxic = 1""",
-    "moment_sentiment": f"""{SENT}, {S.MOMENTS}, f AS (SELECT video_id, sent_idx, CAST(length(regexp_replace(text, '[^e]', '', 'g')) AS DOUBLE) / length(text) AS feeling FROM sentences WHERE sent_idx % 2 = 0)
+    "moment_sentiment": f"""{SENT}, {S.MOMENTS}, f AS (SELECT video_id, sent_idx, CAST(length(regexp_replace(text, '[^e]', '', 'g')) AS DOUBLE) / length(text) AS feeling FROM sentences WHERE speaker = 'user')
 SELECT m.video_id, moment_type, count(feeling) AS n, round(avg(feeling), 6) AS mean FROM moments m LEFT JOIN f ON m.video_id = f.video_id AND m.moment_id = f.sent_idx GROUP BY m.video_id, moment_type""",
     "fts_build": f"WITH {POSTINGS} SELECT token, count(*) AS cf, count(DISTINCT doc_id) AS df FROM p GROUP BY token",
     "fts_match": f"WITH {POSTINGS} SELECT doc_id, count(*) AS hits FROM p WHERE token IN ('idiot', 'license', 'nicht') GROUP BY doc_id",
