@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Ranges, ensure_importable, keyed, settle, slices, stored
+from .common import Ranges, discard, ensure_importable, keyed, settle, slices, stored
 
 LENGTH = 400
 WINDOW = 128
@@ -193,13 +193,17 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, window: int = WINDOW, ca
     by_anchor, marks = _settled(left, ["core", "u"])
     blocks = stored(named(marks, _blocks, "core long, u long, v long, "), "blocks")
     settle(spark)
+    by_anchor = stored(by_anchor.select("key", F.expr(f"at div {window}").alias("at")), "repeats")
+    discard(left)
+    settle(spark)
     by_block, marks = _settled(blocks, ["core", "u", "v"])
     starts = stored(named(marks, _starts, "u long, v long, "), "starts")
+    by_block = stored(by_block, "repeats")
+    discard(blocks)
     settle(spark)
     twice = starts.groupBy("u", "v").count().where("count > 1").select("u", "v")
     single = starts.where("need = 1").join(twice, ["u", "v"], "left_semi").select("key", "at")
-    whole = by_anchor.withColumn("at", F.expr(f"at div {window}")).union(by_block)
-    marks = whole.union(single).groupBy("key").agg(F.collect_list("at").alias("marks"))
+    marks = by_anchor.union(by_block).union(single).groupBy("key").agg(F.collect_list("at").alias("marks"))
     out = docs.join(marks, "key", "left").select("doc_id", "text", "marks", *(F.col(f"carry_{c}") for c in carry))
     kinds = "".join(f", `carry_{c}` {docs.schema[f'carry_{c}'].dataType.simpleString()}" for c in carry)
     out = out.mapInArrow(_kept(length, window), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, kept_text string" + kinds)
