@@ -2,7 +2,8 @@
 
 1. language_id: documents whose language is `und` (no text, or no letter) go.
 2. line_dedup: later copies of runs of three lines or more go; a document of which nothing is left goes too.
-3. simhash: of each group of near-duplicates the document with the least doc_id stays.
+3. simhash: of each group of near-duplicates, documents linked by a Jaccard of 0.8 or more of their five-word shingles, the
+   document with the least doc_id stays.
 4. suffix_dedup: strings of PASSAGE bytes that occur more than once go, wherever they stand; a document of which nothing
    is left goes too. Bytes of a character cut in two go with it.
 5. packing: token sequences.
@@ -18,7 +19,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cliploom.llm import line_dedup, packing, ppm, simhash, suffix_dedup
+from cliploom.llm import line_dedup, near_copies as jaccard, packing, ppm, suffix_dedup
 from cliploom.llm.common import keyed, stored
 from cliploom.llm.queries import WORD_FILE
 
@@ -43,7 +44,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     docs = keyed(docs.select(*COLUMNS))
-    first = simhash.simhash_groups(docs.select(F.col("key").alias("doc_id"), "text")).select("component_id").distinct()
+    first = jaccard.jaccard_groups(docs.select(F.col("key").alias("doc_id"), "text")).select("component_id").distinct()
     kept = docs.join(first, F.col("key") == F.col("component_id"), "left_semi")
     return kept.dropDuplicates(["key"]).select(*COLUMNS)
 
