@@ -33,6 +33,7 @@ STEMS = range(3, 9)
 #: A stem gives way to a longer one that holds for this share of its texts: the more exact the better.
 SAME = 0.95
 REMEMBERED = 400_000
+#: Characters from which a token may be several words joined by signs.
 LONGEST = 64
 
 #: Letters that look-alikes stand for.
@@ -87,8 +88,11 @@ def letter_model(docs: DataFrame) -> np.ndarray:
     return -np.log(p).astype(np.float32)
 
 
-def lattice(token: str) -> list[list[tuple[str, float]]]:
-    """What each character may stand for, with its cost; the empty string drops it, a space ends a word."""
+def lattice(token: str, breaks: bool = False) -> list[list[tuple[str, float]]]:
+    """What each character may stand for, with its cost; the empty string drops it, a space ends a word.
+
+    With `breaks` every separator may end a word, not only a space.
+    """
     out = []
     for k, c in enumerate(token):
         again = k and token[k - 1] == c
@@ -103,28 +107,39 @@ def lattice(token: str) -> list[list[tuple[str, float]]]:
             options = [(x, SUBSTITUTED) for x in LOOKALIKES[c]] + [("", DROPPED)]
         else:
             options = [("", SEPARATED if c in SEPARATORS else DROPPED)]
+        if breaks and c in SEPARATORS and c != " ":
+            options.append((" ", ENDED))
         if again and options[0][0]:
             options.append(("", REPEATED if long else DOUBLED))
         out.append(options)
     return out
 
 
-def decode(token: str, model: np.ndarray) -> str:
-    """The restored word of least cost: Viterbi over the last two letters."""
-    best: dict[tuple[int, int], tuple[float, str]] = {(EDGE, EDGE): (0.0, "")}
-    for options in lattice(token):
-        now: dict[tuple[int, int], tuple[float, str]] = {}
-        for (a, b), (cost, word) in best.items():
+def decode(token: str, model: np.ndarray, breaks: bool = False) -> str:
+    """The restored word of least cost: Viterbi over the last two letters, with back pointers, so linear in the length."""
+    best: dict[tuple[int, int], tuple[float, tuple | None]] = {(EDGE, EDGE): (0.0, None)}
+    for options in lattice(token, breaks):
+        now: dict[tuple[int, int], tuple[float, tuple | None]] = {}
+        for (a, b), (cost, back) in best.items():
             for c, own in options:
                 if c:
                     k = letter_class(c)
-                    state, new = (b, k), (cost + own + float(model[a, b, k]), word + c)
+                    state, new, to = (b, k), cost + own + float(model[a, b, k]), (back, c)
                 else:
-                    state, new = (a, b), (cost + own, word)
-                if state not in now or new < now[state]:
-                    now[state] = new
+                    state, new, to = (a, b), cost + own, back
+                if state not in now or new < now[state][0] or new == now[state][0] and len(token) <= LONGEST and spelled(to) < spelled(now[state][1]):
+                    now[state] = (new, to)
         best = now
-    return min((cost + float(model[a, b, EDGE]), word) for (a, b), (cost, word) in best.items())[1]
+    ends = [(cost + float(model[a, b, EDGE]), spelled(back)) for (a, b), (cost, back) in best.items()]
+    return min(ends)[1]
+
+
+def spelled(back: tuple | None) -> str:
+    out = []
+    while back is not None:
+        back, c = back
+        out.append(c)
+    return "".join(reversed(out))
 
 
 JUNK = re.compile(r"^[\W_]+|[\W_]+$")
@@ -140,13 +155,15 @@ class Restorer:
 
     def words(self, token: str) -> tuple[str, ...]:
         bare = JUNK.sub("", token)
-        if len(token) > LONGEST or not INNER.search(token):
+        if not INNER.search(token):
             return (bare,)
         ends = token.strip(SEPARATORS + ",;:?\"()[]{}%&#")
+        if len(token) > LONGEST:  # may be a sentence joined by signs
+            return tuple({bare, *decode(ends, self.model).split(), *decode(ends, self.model, True).split()})
         return tuple({bare, *(decode(x, self.model) for x in {token, ends, bare})})
 
     def spaced(self, text: str) -> list[str]:
-        return [w for m in SPACED.finditer(text) if len(m[0]) <= 4 * LONGEST for w in decode(m[0], self.model).split()]
+        return [w for m in SPACED.finditer(text) for w in decode(m[0], self.model, len(m[0]) > LONGEST).split()]
 
 
 def features(words: tuple[str, ...]) -> set[str]:

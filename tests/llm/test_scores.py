@@ -96,6 +96,19 @@ def test_toxicity_decodes_what_is_hidden(spark):
     assert all(got[k].held_out for k in held) and all(got[k].predicted == labels[k][2] for k in held)
 
 
+def test_toxicity_decodes_long_matches(spark):
+    texts, labels = labelled(spark)
+    filler = [w for k in (1, 2, 3) for w in texts[k][1].split()]
+    sentence = [*filler[:30], "scoundrel", *filler[30:60]]
+    assert len("".join(sentence)) >= 300
+    dotted = [*filler[:6], "blackguard", *filler[6:10]]
+    hidden = [" ".join("".join(sentence)), "  ".join(" ".join(w) for w in sentence), ".".join("".join(dotted)), ".".join("".join(sentence)), "..".join(".".join(w) for w in sentence)]
+    clean = [" ".join("".join(filler)), ".".join("".join(filler)), "x1" * 5000]
+    extra = [(5000 + k, t, "en", 0.0) for k, t in enumerate(hidden + clean)]
+    got = {r.doc_id: r for r in toxicity.toxicity(spark.createDataFrame(texts + extra, DOCS), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()}
+    assert [got[5000 + k].predicted for k in range(len(extra))] == [1] * len(hidden) + [0] * len(clean)
+
+
 def test_toxicity_edges(spark):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert [r.score for r in toxicity.toxicity(spark.createDataFrame([(1, "a", None, 0.0), (None, None, None, 0.0)], DOCS), none).collect()] == [0.0, 0.0]
