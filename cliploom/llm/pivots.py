@@ -1,6 +1,7 @@
 """Embedding near-duplicates by a pivot-permutation index.
 
-Pivots are vectors of a bounded sample. Each vector is described by its nearest pivots in order; an inverted list holds the
+Pivots are vectors of a bounded sample, no two of them alike: among several pivots in one dense group the order would be
+noise, and its members would share few. Each vector is described by its nearest pivots in order; an inverted list holds the
 vectors of each pivot, within each label. Two vectors are candidates if they share at least `shared` of their `near`
 nearest pivots; each pair is counted once, in the list of the first pivot that they share, and verified by the cosine in
 double precision. Equal vectors of a label stand as one, with their number. Lists over `tile` vectors are cut into tiles
@@ -10,7 +11,7 @@ and a spanning forest of the links.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,8 +23,8 @@ from .components import connected
 from .simhash import Forest
 
 THRESHOLD = 0.93
-#: Vectors sampled as pivots, at most 128.
-PIVOTS = 64
+#: Vectors taken as pivots, at most 128, of a sample; the cosine that no two of them reach.
+PIVOTS, SAMPLE, APART = 64, 2048, 0.7
 NEAR, SHARED = 6, 3
 TILE = 1024
 
@@ -45,6 +46,18 @@ def _usable(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(labels, batch.schema.field(2).type), pa.array(out, pa.binary())], ["vec_id", "label", "v"])
 
 
+def apart(vectors: Iterable[bytes], most: int) -> dict[int, list[bytes]]:
+    """The first `most` of the vectors, by size, that have a cosine under APART with all before: a dense group gets one."""
+    out: dict[int, list[bytes]] = {}
+    n = 0
+    for v in vectors:
+        have = out.setdefault(len(v), [])
+        if n < most and (not have or (np.frombuffer(b"".join(have)).reshape(len(have), -1) @ np.frombuffer(v)).max() < APART):
+            have.append(v)
+            n += 1
+    return {size: x for size, x in out.items() if x}
+
+
 def _lists(pivots, near: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by_size = {k: np.frombuffer(b"".join(v)).reshape(len(v), -1) for k, v in pivots.value.items()}
@@ -142,9 +155,7 @@ def embedding_groups(vectors: DataFrame, threshold: float = THRESHOLD, pivots: i
     # a name for each class that no null can spoil
     classes = stored(classes.select("label", "v", "n", "first", F.xxhash64("label", "v").alias("node")), "vectors")
     settle(spark)
-    sample: dict[int, list[bytes]] = {}
-    for r in classes.select("v").orderBy(F.xxhash64("v", F.lit(1))).limit(min(128, pivots)).collect():
-        sample.setdefault(len(r["v"]), []).append(bytes(r["v"]))
+    sample = apart((bytes(r["v"]) for r in classes.select("v").orderBy(F.xxhash64("v", F.lit(1))).limit(SAMPLE).collect()), min(128, pivots))
     shared_pivots = spark.sparkContext.broadcast(sample)
     listed = classes.select("label", "node", "n", "v").mapInArrow(_lists(shared_pivots, near), f"label {kind}, node long, n long, v binary, near array<long>")
     entries = listed.withColumn("pivot", F.explode(F.array_distinct("near")))

@@ -206,6 +206,19 @@ def test_embeddings_recall(spark):
     assert all(r.kept == (r.vec_id == r.component_id) for r in got.values())
 
 
+@pytest.mark.parametrize("share", [1 / 3, 0.8])
+def test_embeddings_recall_with_one_large_group(spark, share):
+    rng = np.random.default_rng(6)
+    n, centre = 900, rng.normal(size=64)
+    v = rng.normal(size=(n, 64))
+    v[: int(n * share)] = centre + v[: int(n * share)] * 0.23  # cosines about 0.95
+    rows = [(int(k), [float(x) for x in v[k].astype(np.float32)], 1, 1) for k in rng.permutation(n)]
+    want = plain_links(rows)
+    got = {r.vec_id: r for r in pivots.embedding_groups(spark.createDataFrame(rows, VECTORS), tile=256).collect()}
+    assert all(got[i].n_links <= m for i, (m, _) in want.items())
+    assert sum(got[i].n_links for i in want) >= 0.9 * sum(m for m, _ in want.values()) > 0
+
+
 def test_embeddings_edge_rows(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0], 1, 1), (1, [2.0, 0.0], 1, 1), (2, [1.0, 0.0], 2, 1), (3, [1.0, 0.0], None, 1), (4, None, 1, 1), (5, [0.0, 0.0], 1, 1), (6, [nan, 1.0], 1, 1), (7, [inf, 1.0], 1, 1), (8, [], 1, 1), (9, [1.0, None], 1, 1), (10, [1.0], 1, 1), (11, [-1.0, 0.0], 1, 1)]
