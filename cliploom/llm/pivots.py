@@ -1,20 +1,27 @@
 """Embedding near-duplicates by a pivot-permutation index.
 
-Pivots are vectors of a bounded sample, no two of them alike: among several pivots in one dense group the order would be
-noise, and its members would share few. Each vector is described by its nearest pivots in order; an inverted list holds the
-vectors of each pivot, within each label. Two vectors are candidates if they share at least `shared` of their `near`
-nearest pivots; each pair is counted once, in the list of the first pivot that they share, and verified by the cosine in
-double precision. Equal vectors of a label stand as one, with their number. Lists over `tile` vectors are cut into tiles
-that are compared two by two, so no task holds a long list. Tasks report, for each vector, how many others it links with,
-and a spanning forest of the links.
+Pivots are reference points: vectors of a bounded sample, no two of them alike (among several pivots in one dense group the
+order would be noise), filled up with random directions. Each vector is described by its nearest pivots in order. The index
+is inverted: a list holds, within each label, the vectors that have the same `shared` pivots among their `near` nearest. Two
+vectors are candidates if they share at least so many; every candidate pair is met in several lists, and is taken in the
+one of the least pivots that it shares, so the shared pivots are counted before any cosine and no pair is compared twice.
+Candidates are verified by the cosine in double precision. Pivots grow with the square root of the largest label, so a
+vector of an evenly spread label meets about as many candidates at every size.
+
+Equal vectors of a label stand as one, with their number. Lists over `tile` vectors are cut into tiles that are compared two
+by two, so no task holds a long list. Tasks report, for each vector, how many others it links with, and a spanning forest of
+the links.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,128 +30,215 @@ from .components import connected
 from .simhash import Forest
 
 THRESHOLD = 0.93
-#: Vectors taken as pivots, at most 128, of a sample; the cosine that no two of them reach.
-PIVOTS, SAMPLE, APART = 64, 2048, 0.7
-NEAR, SHARED = 6, 3
-TILE = 1024
+#: Fewest and most pivots, pivots for each square root of rows, vectors sampled for each pivot, the cosine that no two of them reach.
+LEAST, MOST, GROWTH, SAMPLED, APART = 64, 4096, 4.0, 2, 0.7
+NEAR, SHARED = 6, 2
+TILE = 2048
+#: Bits of a pivot's number in the name of a list, lists up to which pairs are looked at step by step, rows that one pass takes.
+BITS, SHORT, PASS = 12, 128, 1 << 14
+#: Most long lists whose sizes are broadcast (about 40 bytes each).
+BROADCAST = 1 << 17
+
+
+def matrix(raw: list[bytes]) -> np.ndarray:
+    """Vectors of one size, from _usable, scaled to length one in double precision."""
+    kind = np.float32 if raw[0][0] == 4 else np.float64
+    x = np.stack([np.frombuffer(v, kind, offset=kind().itemsize) for v in raw]).astype(np.float64)
+    x /= np.abs(x).max(axis=1, keepdims=True)
+    return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+
+
+def _vector(x: pa.Scalar) -> np.ndarray | None:
+    if not x.is_valid or not len(x) or x.values.null_count:
+        return None
+    v = x.values.to_numpy().astype(np.float64)
+    return v if np.isfinite(v).all() and v.any() else None
 
 
 def _usable(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Vectors with finite components and a length; scaled to length one in double precision, as bytes."""
+    """Vectors with finite components and a length, as bytes: single precision where that says it all, behind its width."""
     for batch in batches:
         ids, labels, out = [], [], []
         for vec_id, label, x in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(1), strict=True):
-            if not x.is_valid or not len(x) or x.values.null_count or label is None:
-                continue
-            v = x.values.to_numpy().astype(np.float64)
-            most = np.abs(v).max() if np.isfinite(v).all() else 0.0
-            if most > 0:
-                v = v / most
+            v = None if label is None else _vector(x)
+            if v is not None:
+                with np.errstate(over="ignore"):
+                    small = v.astype(np.float32)
+                same = (small == v).all()
                 ids.append(vec_id)
                 labels.append(label)
-                out.append((v / np.sqrt((v * v).sum())).tobytes())
+                out.append(b"\4\0\0\0" + small.tobytes() if same else b"\10\0\0\0\0\0\0\0" + v.tobytes())
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(labels, batch.schema.field(2).type), pa.array(out, pa.binary())], ["vec_id", "label", "v"])
 
 
-def apart(vectors: Iterable[bytes], most: int) -> dict[int, list[bytes]]:
-    """The first `most` of the vectors, by size, that have a cosine under APART with all before: a dense group gets one."""
-    out: dict[int, list[bytes]] = {}
-    n = 0
-    for v in vectors:
-        have = out.setdefault(len(v), [])
-        if n < most and (not have or (np.frombuffer(b"".join(have)).reshape(len(have), -1) @ np.frombuffer(v)).max() < APART):
-            have.append(v)
-            n += 1
-    return {size: x for size, x in out.items() if x}
+def _unusable(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """vec_id of the rows that _usable leaves out."""
+    for batch in batches:
+        out = [i for i, label, x in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(1), strict=True) if label is None or _vector(x) is None]
+        yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64())], ["vec_id"])
+
+
+def components_of(v: bytes) -> int:
+    return len(v) // v[0] - 1
+
+
+def apart(sample: Iterable[bytes], most: int) -> dict[int, np.ndarray]:
+    """By number of components: `most` pivots, first those of the sample that have a cosine under APART with all before."""
+    out: dict[int, tuple[list, np.ndarray]] = {}
+    for raw in sample:
+        v, size = matrix([raw])[0], components_of(raw)
+        n, have = out.setdefault(size, ([0], np.zeros((most, size))))
+        if n[0] < most and (not n[0] or (have[: n[0]] @ v).max() < APART):
+            have[n[0]] = v
+            n[0] += 1
+    return {size: filled(have[: n[0]], most) for size, (n, have) in out.items()}
 
 
-def _lists(pivots, near: int):
+def filled(pivots: np.ndarray, most: int) -> np.ndarray:
+    """Pivots, filled up with random directions, the same for each size."""
+    rest = np.random.default_rng(5).normal(size=(most - len(pivots), pivots.shape[1]))
+    return np.concatenate((pivots, rest / np.sqrt((rest * rest).sum(axis=1, keepdims=True))))
+
+
+def _lists(pivots, count: int, near: int, shared: int):
+    """(label, node, n, v) with `near` (16-bit numbers of the nearest pivots, ascending) and the names of its lists."""
+    picks = np.array(list(combinations(range(near), shared)))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by_size = {k: np.frombuffer(b"".join(v)).reshape(len(v), -1) for k, v in pivots.value.items()}
+        by_size = dict(pivots.value)
         for batch in batches:
-            n = batch.num_rows
-            order = np.zeros((n, near), np.int64)
-            sizes = np.array([len(x) for x in batch.column(3).to_pylist()])
-            for size in np.unique(sizes):
-                rows = np.flatnonzero(sizes == size)
-                p = by_size.get(int(size))
-                if p is None:  # a size no pivot has: one list
-                    continue
-                x = np.frombuffer(b"".join(batch.column(3).take(pa.array(rows)).to_pylist())).reshape(len(rows), -1)
-                best = np.argsort(-(x @ p.T), axis=1, kind="stable")[:, :near]
-                order[rows, : best.shape[1]] = best
-                if best.shape[1] < near:
-                    order[np.ix_(rows, range(best.shape[1], near))] = best[:, :1]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(list(order), pa.list_(pa.int64()))], [*batch.schema.names, "near"])
+            raw = batch.column(3).to_pylist()
+            order = np.zeros((len(raw), near), np.int64)
+            sizes = np.array([components_of(v) for v in raw], np.int64)
+            widths = np.array([v[0] for v in raw], np.int64)
+            for size, width in set(zip(sizes.tolist(), widths.tolist(), strict=True)):
+                rows = np.flatnonzero((sizes == size) & (widths == width))
+                p = by_size.get(size)
+                if p is None:
+                    p = by_size[size] = filled(np.zeros((0, size)), count)
+                far = -(matrix([raw[k] for k in rows]) @ p.T)
+                order[rows] = np.argpartition(far, near - 1, axis=1)[:, :near]
+            order.sort(axis=1)
+            names = (order[:, picks] << (BITS * np.arange(shared))).sum(axis=2)
+            kept = [pa.array([x.tobytes() for x in order.astype(np.uint16)], pa.binary()), pa.array(list(names), pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sizes.astype(np.int32)), *kept], [*batch.schema.names, "size", "near", "lists"])
 
     return run
 
 
+GROUP = ["label", "size", "list", "i", "j"]
+
+
 def _links(threshold: float, shared: int):
     """Sorted rows of tiles to (a, b, n): a links with n other vectors here; b is null but for edges of the forest, where n is null."""
 
-    def solve(t: pa.Table) -> Iterator[pa.RecordBatch]:
-        ids, n, side = t["node"].to_numpy(), t["n"].to_numpy(), t["side"].to_numpy()
-        pivot = t["pivot"][0].as_py()
-        near = np.stack(t["near"].to_numpy())
-        lists = [x.as_py() for x in t["v"]]
-        sizes = np.array([len(x) for x in lists])
-        words = np.zeros((len(ids), 2), np.uint64)
-        for k in range(near.shape[1]):
-            p = near[:, k]
-            np.bitwise_or.at(words, (np.arange(len(ids)), p // 64), np.uint64(1) << (p % 64).astype(np.uint64))
-        forest, total = Forest(len(ids)), np.zeros(len(ids), np.int64)
-        for size in np.unique(sizes):
-            rows = np.flatnonzero(sizes == size)
+    def links_of(x: np.ndarray, low: np.ndarray, side: np.ndarray, group: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Index pairs whose cosine is `threshold` or more, of those that share no pivot in low."""
+        bounds = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1], [True])))
+        lengths = np.diff(bounds)
+        alive = np.flatnonzero(np.repeat(lengths <= SHORT, lengths))
+        step = 1
+        while len(alive):  # short lists, all at once: each row with the one `step` rows on
+            alive = alive[alive + step < len(x)]
+            alive = alive[group[alive] == group[alive + step]]
+            i, j = alive, alive + step
+            keep = (side[i] == 0) | (side[i] != side[j])
+            i, j = i[keep], j[keep]
+            keep = ~((low[i][:, :, None] == low[j][:, None, :]) & (low[i] >= 0)[:, :, None]).any(axis=(1, 2))
+            i, j = i[keep], j[keep]
+            keep = np.einsum("ij,ij->i", x[i], x[j]) >= threshold
+            yield i[keep], j[keep]
+            step += 1
+        for k in np.flatnonzero(lengths > SHORT):
+            rows = np.arange(bounds[k], bounds[k + 1])
             left, right = rows[side[rows] != 2], rows[side[rows] != 1]
             if not len(left) or not len(right):
                 continue
-            x = np.frombuffer(b"".join(lists[k] for k in left)).reshape(len(left), -1)
-            y = np.frombuffer(b"".join(lists[k] for k in right)).reshape(len(right), -1)
+            named = np.unique(low[rows])
+            has = np.zeros((len(rows), len(named)), np.float32)
+            np.put_along_axis(has, np.searchsorted(named, low[rows]), 1, axis=1)
+            has = has[:, named >= 0]
+            if has[left - rows[0]].all(axis=0).any() and (side[rows] == 0).all():
+                continue  # all share a lesser pivot
+            held = has[right - rows[0]].T
             for at in range(0, len(left), 256):
-                i, j = np.nonzero(x[at : at + 256] @ y.T >= threshold)
-                i, j = left[i + at], right[j]
-                keep = (i < j) if (side[rows] == 0).all() else np.ones(len(i), bool)
-                i, j = i[keep], j[keep]
-                both = words[i] & words[j]
-                few = np.bitwise_count(both).sum(axis=1)
-                # the least pivot in common is this one: no bit below it
-                low = both & np.array([(1 << min(pivot, 64)) - 1, (1 << max(0, pivot - 64)) - 1], np.uint64)
-                keep = (few >= np.minimum(shared, np.minimum(np.bitwise_count(words[i]).sum(axis=1), np.bitwise_count(words[j]).sum(axis=1)))) & (low == 0).all(axis=1)
-                i, j = i[keep], j[keep]
+                own = left[at : at + 256]
+                may = (has[own - rows[0]] @ held) == 0
+                if (side[rows] == 0).all():
+                    may &= own[:, None] < right[None, :]
+                if not may.any():
+                    continue
+                if may.mean() < 0.05:
+                    i, j = np.nonzero(may)
+                    i, j = own[i], right[j]
+                    for part in range(0, len(i), PASS):
+                        a, b = i[part : part + PASS], j[part : part + PASS]
+                        keep = np.einsum("ij,ij->i", x[a], x[b]) >= threshold
+                        yield a[keep], b[keep]
+                else:
+                    i, j = np.nonzero(may & (x[own] @ x[right].T >= threshold))
+                    yield own[i], right[j]
+
+    def solve(t: pa.Table, group: np.ndarray) -> pa.RecordBatch:
+        ids, n, side, key = (t[c].to_numpy() for c in ("node", "n", "side", "list"))
+        near = np.frombuffer(b"".join(t["near"].to_pylist()), np.uint16).reshape(len(ids), -1).astype(np.int32)
+        named = (key[:, None] >> (BITS * np.arange(shared))) & ((1 << BITS) - 1)
+        low = np.where((near < named[:, -1:]) & ~(near[:, :, None] == named[:, None, :]).any(axis=2), near, -1)
+        raw, size = t["v"].to_pylist(), t["size"].to_numpy()
+        forest, total = Forest(len(ids)), np.zeros(len(ids), np.int64)
+        for s in np.unique(size):
+            rows = np.flatnonzero(size == s)
+            x = np.zeros((len(rows), s))
+            wide = np.array([raw[k][0] for k in rows])
+            for w in np.unique(wide):
+                x[wide == w] = matrix([raw[k] for k in rows[wide == w]])
+            for i, j in links_of(x, low[rows], side[rows], group[rows]):
+                i, j = rows[i], rows[j]
                 np.add.at(total, i, n[j])
                 np.add.at(total, j, n[i])
                 forest.add(i, j)
         some = np.flatnonzero(total)
         e = np.array(forest.edges, np.int64).reshape(-1, 2)
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate((ids[some], ids[e[:, 0]]))), pa.array([None] * len(some) + ids[e[:, 1]].tolist(), pa.int64()), pa.array(total[some].tolist() + [None] * len(e), pa.int64())], ["a", "b", "n"])
+        a = np.concatenate((ids[some], ids[e[:, 0]]))
+        b = pa.array([None] * len(some) + ids[e[:, 1]].tolist(), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(a), b, pa.array(total[some].tolist() + [None] * len(e), pa.int64())], ["a", "b", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
+
+        def groups(t: pa.Table) -> np.ndarray:
+            new = np.zeros(t.num_rows, bool)
+            for c in GROUP:
+                x = t[c].combine_chunks()
+                new[1:] |= pc.not_equal(x.slice(1), x.slice(0, len(x) - 1)).to_numpy(zero_copy_only=False)
+            return np.cumsum(new)
+
         for batch in batches:
-            keys = list(zip(*(batch.column(c).to_pylist() for c in ("label", "pivot", "i", "j")), strict=True))
-            at = 0
-            for k in range(batch.num_rows):
-                before = keys[k - 1] if k else (tuple(held[-1].column(c)[-1].as_py() for c in ("label", "pivot", "i", "j")) if held else None)
-                if before is not None and keys[k] != before:
-                    if k > at:
-                        held.append(batch.slice(at, k - at))
-                    yield from solve(pa.Table.from_batches(held))
-                    held, at = [], k
-            if batch.num_rows > at:
-                held.append(batch.slice(at))
+            if batch.num_rows:
+                held.append(batch)
+            if sum(b.num_rows for b in held) < PASS:
+                continue
+            t = pa.Table.from_batches(held)
+            group = groups(t)
+            last = int(np.searchsorted(group, group[-1]))  # the last list may go on
+            if last:
+                yield solve(t.slice(0, last), group[:last])
+                held = t.slice(last).combine_chunks().to_batches()
         if held:
-            yield from solve(pa.Table.from_batches(held))
+            t = pa.Table.from_batches(held)
+            yield solve(t, groups(t))
 
     return run
 
 
-def embedding_groups(vectors: DataFrame, threshold: float = THRESHOLD, pivots: int = PIVOTS, near: int = NEAR, shared: int = SHARED, tile: int = TILE) -> DataFrame:
+def embedding_groups(vectors: DataFrame, threshold: float = THRESHOLD, pivots: int | None = None, near: int = NEAR, shared: int = SHARED, tile: int = TILE) -> DataFrame:
     """vec_id, n_links, component_id, kept: links of vectors of equal label whose cosine is `threshold` or more.
 
-    Vectors that are null, zero, or hold null or non-finite components link with nothing, nor do those with a null label or
-    of different lengths. Repeated rows are vectors of their own, linked with each other. A null vec_id links like any other;
-    component_id is the smallest known vec_id reachable. Other columns are ignored. An empty table gives no rows.
+    `pivots` is their number, `near` at least and MOST at most; None lets it grow with the largest label. Vectors that are
+    null, zero, or hold null or non-finite components link with nothing, nor do those with a null label or of different
+    lengths. Repeated rows are vectors of their own, linked with each other. A null vec_id links like any other;
+    component_id is the smallest known vec_id reachable. Of pivots equally near those of lower number count. Other columns
+    are ignored. An empty table gives no rows.
     """
     spark = vectors.sparkSession
     ensure_importable(spark)
@@ -155,17 +249,25 @@ def embedding_groups(vectors: DataFrame, threshold: float = THRESHOLD, pivots: i
     # a name for each class that no null can spoil
     classes = stored(classes.select("label", "v", "n", "first", F.xxhash64("label", "v").alias("node")), "vectors")
     settle(spark)
-    sample = apart((bytes(r["v"]) for r in classes.select("v").orderBy(F.xxhash64("v", F.lit(1))).limit(SAMPLE).collect()), min(128, pivots))
-    shared_pivots = spark.sparkContext.broadcast(sample)
-    listed = classes.select("label", "node", "n", "v").mapInArrow(_lists(shared_pivots, near), f"label {kind}, node long, n long, v binary, near array<long>")
-    entries = listed.withColumn("pivot", F.explode(F.array_distinct("near")))
-    large = listed.select("label", F.explode(F.array_distinct("near")).alias("pivot")).groupBy("label", "pivot").count().where(F.col("count") > tile).select("label", "pivot", F.ceil(F.col("count") / tile).cast("int").alias("g"))
-    entries = entries.join(large, ["label", "pivot"], "left").withColumn("g", F.coalesce("g", F.lit(1)))
+    if pivots is None:
+        largest = classes.groupBy("label").count().agg(F.max("count")).first()[0] or 0
+        pivots = 1 << math.ceil(math.log2(max(LEAST, GROWTH * math.sqrt(largest))))
+    pivots = max(near, min(MOST, pivots))
+    sample = apart((bytes(r["v"]) for r in classes.select("v").orderBy(F.xxhash64("v", F.lit(1))).limit(SAMPLED * pivots).collect()), pivots)
+    listed = classes.select("label", "node", "n", "v").mapInArrow(_lists(spark.sparkContext.broadcast(sample), pivots, near, shared), f"label {kind}, node long, n long, v binary, size int, near binary, lists array<long>")
+    listed = stored(listed, "permutations")
+    settle(spark)
+    own_list = ["label", "size", "list"]
+    large = listed.select("label", "size", F.explode("lists").alias("list")).groupBy(*own_list).count().where(F.col("count") > tile)
+    large = stored(large.select(*own_list, F.ceil(F.col("count") / tile).cast("int").alias("g")), "long-lists")
+    if large.count() <= BROADCAST:
+        large = F.broadcast(large)
+    entries = listed.withColumn("list", F.explode("lists")).drop("lists").join(large, own_list, "left").withColumn("g", F.coalesce("g", F.lit(1)))
     own = F.pmod(F.xxhash64("node"), F.col("g").cast("long")).cast("int")
     tiles = F.transform(F.sequence(F.lit(0), F.col("g") - 1), lambda x: F.struct(F.least(x, F.col("own")).alias("i"), F.greatest(x, F.col("own")).alias("j"), F.when(x == F.col("own"), 0).when(F.col("own") < x, 1).otherwise(2).alias("side")))
-    entries = entries.withColumn("own", own).select("label", "pivot", "node", "n", "v", "near", F.explode(tiles).alias("t")).select("label", "pivot", "t.i", "t.j", "t.side", "node", "n", "v", "near")
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    entries = entries.repartition(n, "label", "pivot", "i", "j").sortWithinPartitions("label", "pivot", "i", "j")
+    entries = entries.withColumn("own", own).withColumn("t", F.explode(tiles)).select(*own_list, "t.i", "t.j", "t.side", "node", "n", "near", "v")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    entries = entries.repartition(parts, *GROUP).sortWithinPartitions(*GROUP)
     found = stored(entries.mapInArrow(_links(threshold, shared), "a long, b long, n long"), "cosines")
     degree = found.where("b is null").groupBy("a").agg(F.sum("n").alias("links")).withColumnRenamed("a", "node")
     roots = connected(found.where("b is not null"), "a", "b")
@@ -175,14 +277,3 @@ def embedding_groups(vectors: DataFrame, threshold: float = THRESHOLD, pivots: i
     linked = good.join(known, ["label", "v"]).select("vec_id", "n_links", "component_id")
     alone = rows.mapInArrow(_unusable, "vec_id long").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.union(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
-
-
-def _unusable(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """vec_id of the rows that _usable leaves out."""
-    for batch in batches:
-        out = []
-        for vec_id, label, x in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(1), strict=True):
-            v = x.values.to_numpy(zero_copy_only=False).astype(np.float64) if x.is_valid and len(x) and not x.values.null_count else np.zeros(1)
-            if label is None or not np.isfinite(v).all() or not v.any():
-                out.append(vec_id)
-        yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64())], ["vec_id"])

@@ -219,6 +219,41 @@ def test_embeddings_recall_with_one_large_group(spark, share):
     assert sum(got[i].n_links for i in want) >= 0.9 * sum(m for m, _ in want.values()) > 0
 
 
+@pytest.mark.parametrize(("share", "noise"), [(0.3, 0.1), (0.6, 0.2)])
+def test_embeddings_recall_with_a_crowded_label(spark, share, noise):
+    rng = np.random.default_rng(8)
+    n, centre = 3000, rng.normal(size=64)
+    v = rng.normal(size=(n, 64))
+    v[: int(n * share)] = centre + v[: int(n * share)] * noise  # cosines about 0.99 and 0.96
+    v = v.astype(np.float32).astype(float)
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    want = (u @ u.T >= 0.93).sum(axis=1) - 1
+    rows = [(k, v[k].tolist(), 1, 1) for k in range(n)]
+    got = np.array([r.n_links for r in pivots.embedding_groups(spark.createDataFrame(rows, VECTORS)).orderBy("vec_id").collect()])
+    assert (got <= want).all()
+    assert got.sum() >= 0.9 * want.sum() > 0
+
+
+def test_few_candidates_among_spread_vectors():
+    """A vector of an evenly spread label meets about as many candidates at every size."""
+    rng = np.random.default_rng(9)
+    met = []
+    for n in (1000, 4000):
+        x = rng.normal(size=(n, 64))
+        m = 1 << int(np.ceil(np.log2(pivots.GROWTH * np.sqrt(n))))
+        near = np.argpartition(-(x @ pivots.filled(np.zeros((0, 64)), m).T), pivots.NEAR - 1, axis=1)[:, : pivots.NEAR]
+        has = np.zeros((n, m), np.float32)
+        np.put_along_axis(has, near, 1, axis=1)
+        met.append(((has @ has.T) >= pivots.SHARED).sum() / n)
+    assert met[1] < 1.5 * met[0]
+
+
+def test_embeddings_with_equally_near_pivots(spark):
+    rows = [(k, [float(k % 4 == i) for i in range(4)], 1, 1) for k in range(12)] + [(20 + k, [1.0, 1.0, 1.0, 1.0], 1, 1) for k in range(3)]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in pivots.embedding_groups(spark.createDataFrame(rows, VECTORS), pivots=8, tile=2).collect()}
+    assert got == plain_links(rows)
+
+
 def test_embeddings_edge_rows(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0], 1, 1), (1, [2.0, 0.0], 1, 1), (2, [1.0, 0.0], 2, 1), (3, [1.0, 0.0], None, 1), (4, None, 1, 1), (5, [0.0, 0.0], 1, 1), (6, [nan, 1.0], 1, 1), (7, [inf, 1.0], 1, 1), (8, [], 1, 1), (9, [1.0, None], 1, 1), (10, [1.0], 1, 1), (11, [-1.0, 0.0], 1, 1)]
