@@ -35,20 +35,20 @@ def test_language_edges(spark):
 
 
 def test_code_lengths_by_the_definition():
-    """Trees.bits against a plain search for the longest context."""
+    """Trees.bits against a plain search for the longest context; b has all 256 bytes and many contexts."""
     rng = random.Random(1)
-    texts = {"a": "".join(rng.choice("abca") for _ in range(300)), "b": "".join(rng.choice("abd ") for _ in range(300))}
+    texts = {"a": "".join(rng.choice("abca") for _ in range(300)).encode(), "b": bytes(rng.choice((97, rng.randrange(256), rng.randrange(256), rng.randrange(256))) for _ in range(60000))}
     counts = {}
     for lang, t in texts.items():
-        x = b"\n\n\n" + t.encode()
+        x = b"\n\n\n" + ppm._lower(np.frombuffer(t, np.uint8)).tobytes()
         for i in range(3, len(x)):
             counts[lang, int.from_bytes(x[i - 3 : i + 1], "big")] = counts.get((lang, int.from_bytes(x[i - 3 : i + 1], "big")), 0) + 1
     keys = list(counts)
+    assert len({k[1] >> 8 for k in keys}) > 24_000
     trees = ppm.Trees(["a", "b"], np.array(["ab".index(k[0]) for k in keys]), np.array([k[1] for k in keys]), np.array([counts[k] for k in keys]))
-    probe = b"abcadab z"
-    got = trees.bits(np.array([0, len(probe)]), np.frombuffer(probe, np.uint8))[0]
+    probes = [b"abcadab z", b"", "ab\u0436\u4e2d".encode(), texts["b"][:200].lower(), bytes(range(128, 256))]
+    got = trees.bits(np.cumsum([0, *map(len, probes)]), np.frombuffer(b"".join(probes), np.uint8))
     for k, lang in enumerate("ab"):
-        x, bits = b"\n\n\n" + probe, 0.0
         own = {}
         for (name, g), n in counts.items():
             if name == lang:
@@ -56,18 +56,32 @@ def test_code_lengths_by_the_definition():
                 for order in range(4):
                     own.setdefault(b[3 - order : 3], {}).setdefault(b[3], 0)
                     own[b[3 - order : 3]][b[3]] += n
-        for i in range(3, len(x)):
-            for order in range(3, -1, -1):
-                seen = own.get(x[i - order : i], {})
-                n, kinds = sum(seen.values()), len(seen)
-                if x[i] in seen:
-                    bits -= np.log2(seen[x[i]] / (n + kinds))
-                    break
-                if n:
-                    bits -= np.log2(kinds / (n + kinds))
-            else:
-                bits += np.log2(ppm.SYMBOLS)
-        assert abs(bits - got[k]) < 1e-3
+        for which, probe in enumerate(probes):
+            x, bits = b"\n\n\n" + probe, 0.0
+            for i in range(3, len(x)):
+                for order in range(3, -1, -1):
+                    seen = own.get(x[i - order : i], {})
+                    n, kinds = sum(seen.values()), len(seen)
+                    if x[i] in seen:
+                        bits -= np.log2(seen[x[i]] / (n + kinds))
+                        break
+                    if n:
+                        bits -= np.log2(kinds / (n + kinds))
+                else:
+                    bits += 8
+            assert abs(bits - got[which, k]) < 1e-5 * max(100, bits)
+
+
+def test_languages_of_many_scripts(spark):
+    """Scripts far apart and languages that share one."""
+    letters = {"el": "\u03b1\u03b2\u03b3\u03b4\u03b5\u03bf\u03c2", "ru": "\u0430\u0431\u0432\u0433\u043e\u0435\u0442", "uk": "\u0456\u0457\u0454\u0433\u043e\u0435\u0442", "hi": "\u0905\u0906\u0915\u0916\u0917\u0924", "zh": "\u7684\u4e00\u662f\u4e0d\u4e86\u4eba", "ja": "\u306e\u306b\u306f\u3092\u305f\u4eba", "en": "ethoans", "fr": "\u00e9esaitn"}
+    rng = random.Random(2)
+    text = lambda a: " ".join("".join(rng.choice(a) for _ in range(5)) for _ in range(12))
+    rows = [(k * 40 + i, text(a), lang, 0.0) for k, (lang, a) in enumerate(letters.items()) for i in range(40)]
+    got = ppm.language_id(spark.createDataFrame(rows, DOCS)).collect()
+    lang = {r[0]: r[2] for r in rows}
+    held = [r for r in got if r.held_out]
+    assert sum(r.lang_pred == lang[r.doc_id] for r in held) >= 0.97 * len(held) > 30
 
 
 def labelled(spark, n=900):
