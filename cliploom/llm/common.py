@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -34,31 +35,58 @@ def ensure_importable(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a temporary one only where it is unset."""
+    """The folder that the cluster names in spark.checkpoint.dir; a temporary one only where it is unset and Spark runs in one machine."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors and the driver share")
         folder = "file://" + tempfile.mkdtemp(prefix="cliploom-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
 
 
+#: Folders of the tables that this process has stored and not deleted, oldest first.
+_stored: list[str] = []
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a Parquet table in the shared folder and read it back: cuts lineage, survives lost executors."""
+    """Write df as a Parquet table in the shared folder and read it back: cuts lineage, survives lost executors.
+
+    The table stays until discard() or sweep(), as the DataFrame that an operator returns is still to be read.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_path = path
+    _stored.append(path)
     return out
 
 
-def discard(df: DataFrame) -> None:
-    """Delete a table that stored() wrote."""
-    path = getattr(df, "stored_path", None)
-    if path:
-        jvm = df.sparkSession.sparkContext._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+def _delete(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    if path in _stored:
+        _stored.remove(path)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that stored() wrote; others are left alone."""
+    for df in tables:
+        if path := getattr(df, "stored_path", None):
+            _delete(df.sparkSession, path)
+
+
+def sweep(spark: SparkSession, since: int = 0, keep: tuple[DataFrame, ...] = ()) -> None:
+    """Delete the tables stored since there were `since` of them, but for those to keep: for when all results that rest on them are written."""
+    kept = {getattr(df, "stored_path", None) for df in keep}
+    for path in [x for x in _stored[since:] if x not in kept]:
+        _delete(spark, path)
+
+
+def n_stored() -> int:
+    return len(_stored)
 
 
 def settle(spark: SparkSession) -> None:
@@ -126,36 +154,57 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+PRIME = (1 << 31) - 1
+
+
 class Ranges:
     """Names of byte ranges of one buffer: equal bytes give equal 64-bit names.
 
-    A running sum of table[byte] * base**position, modulo 2**64, gives the name of any range in O(1).
+    A running sum of table[byte] * base**position, modulo 2**64, gives the name of any range in O(1). Strings that double
+    by a rule (Thue and Morse) can agree modulo a power of two whatever the base is, so with `prime` a second sum, modulo
+    2**31 - 1, goes into the name too.
     """
 
-    def __init__(self, data: np.ndarray, seed: int = 1) -> None:
+    def __init__(self, data: np.ndarray, seed: int = 1, prime: bool = False) -> None:
         rng = np.random.default_rng(seed)
         table = rng.integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         base = int(rng.integers(0, 2**63)) * 8 + 5 & (2**64 - 1)
-        self.base, self.back = base, pow(base, -1, 2**64)
         n = len(data)
         self.sum = np.zeros(n + 1, np.uint64)
         np.cumsum(table[data] * powers(base, n), out=self.sum[1:])
-        self.undo = powers(self.back, n + 1)
+        self.undo = powers(pow(base, -1, 2**64), n + 1)
+        self.prime = prime
+        if prime:
+            table = rng.integers(1, PRIME, 256, dtype=np.uint64)
+            base = int(rng.integers(2, PRIME))
+            self.second = np.zeros(n + 1, np.uint64)  # terms are below 2**31, so 2**33 bytes fit
+            np.cumsum(table[data] * powers(base, n, PRIME) % np.uint64(PRIME), out=self.second[1:])
+            self.undo_second = powers(pow(base, -1, PRIME), n + 1, PRIME)
 
     def name(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix((self.sum[end] - self.sum[start]) * self.undo[start] + (end - start).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        out = mix((self.sum[end] - self.sum[start]) * self.undo[start] + (end - start).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        if self.prime:
+            out += mix((self.second[end] - self.second[start]) % np.uint64(PRIME) * self.undo_second[start] % np.uint64(PRIME))
+        return out
 
 
-_powers: dict[int, np.ndarray] = {}
+_powers: dict[tuple[int, int], np.ndarray] = {}
 
 
-def powers(base: int, n: int) -> np.ndarray:
-    have = _powers.get(base)
+def powers(base: int, n: int, modulus: int = 0) -> np.ndarray:
+    """base**0, base**1, ... modulo 2**64 or a modulus under 2**32."""
+    have = _powers.get((base, modulus))
     if have is None or len(have) < n:
         size = max(n, SLICE_BYTES + (1 << 17))
-        x = np.full(size, base, np.uint64)
-        x[0] = 1
-        have = np.multiply.accumulate(x)
+        have = np.full(size, base, np.uint64)
+        have[0] = 1
+        if modulus:
+            done, step = 1, base
+            while done < size:  # what is done, times base**done
+                have[done : 2 * done] = have[: min(done, size - done)] * np.uint64(step) % np.uint64(modulus)
+                done, step = 2 * done, step * step % modulus
+        else:
+            have = np.multiply.accumulate(have)
         if size <= SLICE_BYTES * 4:
-            _powers[base] = have
+            _powers[base, modulus] = have
     return have[:n]

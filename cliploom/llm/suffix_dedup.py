@@ -14,7 +14,7 @@ that drops what is unique:
 In rounds 3 and 4 one member stands for all with an equal pair (a repeated row names its starts twice, but none of them
 is in question then).
 
-Ranks are 64-bit names of byte ranges (two independent ones, 128 bits, where they decide). Only equality counts
+Ranks are 64-bit names of byte ranges (two independent ones, one of them also modulo a prime, where they decide). Only equality counts
 here, so names need no order. What each round leaves is written to the shared folder.
 """
 
@@ -42,7 +42,7 @@ def _anchor_rows(offsets: np.ndarray, data: np.ndarray, length: int, window: int
     starts_of = np.maximum(sizes - length + 1, 0)
     if not starts_of.any():
         return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.int64, np.uint64, np.uint64))
-    names, more = Ranges(data, 1), Ranges(data, 2)
+    names, more = Ranges(data, 1), Ranges(data, 2, prime=True)
     n = len(data) - GRAM + 1
     at = np.arange(n)
     key = names.name(at, at + GRAM)
@@ -119,7 +119,7 @@ def _named(rows, columns: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, offsets, data in slices(batch):
-                names, more = Ranges(data, 1), Ranges(data, 2)
+                names, more = Ranges(data, 1), Ranges(data, 2, prime=True)
                 made = [rows(part.column(2)[k].values.to_numpy(), offsets[k], names, more) for k in range(part.num_rows)]
                 ids = pa.array(np.repeat(np.arange(part.num_rows), [len(x[0]) for x in made]))
                 arrays = [pa.array(np.concatenate(x).view(np.int64)) for x in zip(*made, strict=True)]
@@ -128,16 +128,17 @@ def _named(rows, columns: list[str]):
     return run
 
 
-def _settled(rows: DataFrame, rank: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Rows in need whose rank (all its columns) repeats; marks by document of those still in question and of their like.
+def _settled(rows: DataFrame, rank: list[str]) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+    """Rows in need whose rank (all its columns) repeats; marks by document of those still in question and of their like; tables both rest on.
 
-    Rows that share the first column of rank may still share strings; one of each rank is enough to find out.
+    Rows that share the first column of rank may still share strings; one of each rank is enough to find out. Classes are
+    counted before any join, and both sides of every join are tables, so that a rank that many rows share is split.
     """
-    classes = rows.groupBy(*rank).agg(F.count("*").alias("n"), F.min(F.struct("key", "at", "need")).alias("rep"))
-    several = classes.groupBy(rank[0]).count().where("count > 1").select(rank[0])
+    classes = stored(rows.groupBy(*rank).agg(F.count("*").alias("n"), F.min(F.struct("key", "at", "need")).alias("rep")), "classes")
+    several = stored(classes.groupBy(rank[0]).count().where("count > 1").select(rank[0]), "several")
     question = classes.join(several, rank[0], "left_semi").select("rep.key", (F.col("rep.at") * 2 + F.when(F.col("n") == 1, F.col("rep.need")).otherwise(0)).alias("mark"))
     repeated = rows.where("need = 1").join(classes.where("n > 1").select(*rank), rank, "left_semi").select("key", "at")
-    return repeated, question.groupBy("key").agg(F.collect_list("mark").alias("marks"))
+    return repeated, question.groupBy("key").agg(F.collect_list("mark").alias("marks")), [rows, classes, several]
 
 
 def spans_of(marks: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -187,22 +188,23 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, window: int = WINDOW, ca
         return texts.mapInArrow(how(length, window), f"key long, {kinds}at long, need long")
 
     anchors = long.mapInArrow(_anchors(length, window), "core long, u long, key long, at long")
-    again = anchors.groupBy("core").count().where("count > 1").select("core")
+    again = stored(anchors.groupBy("core").count().where("count > 1").select("core"), "ranks")
     left = stored(anchors.join(again, "core", "left_semi").withColumn("need", F.lit(1).cast("long")), "anchors")
+    discard(again)
     settle(spark)
-    by_anchor, marks = _settled(left, ["core", "u"])
+    by_anchor, marks, used = _settled(left, ["core", "u"])
     blocks = stored(named(marks, _blocks, "core long, u long, v long, "), "blocks")
-    settle(spark)
     by_anchor = stored(by_anchor.select("key", F.expr(f"at div {window}").alias("at")), "repeats")
-    discard(left)
+    discard(*used)
     settle(spark)
-    by_block, marks = _settled(blocks, ["core", "u", "v"])
+    by_block, marks, used = _settled(blocks, ["core", "u", "v"])
     starts = stored(named(marks, _starts, "u long, v long, "), "starts")
     by_block = stored(by_block, "repeats")
-    discard(blocks)
+    discard(*used)
     settle(spark)
-    twice = starts.groupBy("u", "v").count().where("count > 1").select("u", "v")
-    single = starts.where("need = 1").join(twice, ["u", "v"], "left_semi").select("key", "at")
+    twice = stored(starts.groupBy("u", "v").count().where("count > 1").select("u", "v"), "ranks")
+    single = stored(starts.where("need = 1").join(twice, ["u", "v"], "left_semi").select("key", "at"), "repeats")
+    discard(starts, twice)
     marks = by_anchor.union(by_block).union(single).groupBy("key").agg(F.collect_list("at").alias("marks"))
     out = docs.join(marks, "key", "left").select("doc_id", "text", "marks", *(F.col(f"carry_{c}") for c in carry))
     kinds = "".join(f", `carry_{c}` {docs.schema[f'carry_{c}'].dataType.simpleString()}" for c in carry)

@@ -260,3 +260,22 @@ def test_embeddings_edge_rows(spark):
     got = {r.vec_id: (r.n_links, r.component_id) for r in pivots.embedding_groups(spark.createDataFrame(rows, VECTORS)).collect()}
     assert got == plain_links(rows)
     assert pivots.embedding_groups(spark.createDataFrame([], VECTORS)).count() == 0
+
+
+def test_names_of_strings_that_double_by_a_rule():
+    """Thue-Morse strings of 1024 letters and more agree modulo 2**64 under any base; a prime tells them apart."""
+    from cliploom.llm.common import Ranges
+
+    for size in (128, 1024, 2048):
+        a = np.array([97 + bin(k).count("1") % 2 for k in range(size)], np.uint8)
+        data = np.concatenate((a, 195 - a, a))
+        name = Ranges(data, 2, prime=True).name(np.array([0, size, 2 * size]), np.array([size, 2 * size, 3 * size]))
+        assert name[0] == name[2] != name[1]
+
+
+def test_suffix_dedup_of_long_and_repetitive_texts(spark):
+    rng = random.Random(12)
+    long = prose(rng, 60_000)
+    texts = [(1, long), (2, "z" * 20_000), (3, "z" * 410), (4, "ab" * 3000), (5, prose(rng, 500) + long[100:1700] + prose(rng, 500)), (6, "z" * 399)]
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.suffix_dedup(frame(spark, texts)).collect()}
+    assert [got[k] for k, _ in texts] == cut([t for _, t in texts], 400)
