@@ -1,4 +1,7 @@
-"""Near copies by exact Jaccard of word shingles: an inverted list of prefixes, then verification.
+"""Near copies by exact Jaccard of word shingles: SimHash links, then an inverted list of prefixes; every link is verified.
+
+First come pairs whose SimHash fingerprints (of the distinct shingles) differ in few bits, found by the pivot distance tables
+of .simhash. They join most copies, but sets at a Jaccard of 0.8 differ in some ten of 64 bits, so they can't be all.
 
 Sets of Jaccard `alike` or more share at least alike * n of the n shingles of either, so under any one order of all
 shingles they share one of their first n - ceil(alike * n) + 1: no pair is missed. The order puts shingles that are common
@@ -20,11 +23,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import simhash
 from .common import ensure_importable, settle, stored
 from .components import connected
 
 ALIKE, SHINGLE = 0.8, 5
 TILE = 1024
+#: Shingles whose bits are counted in one pass.
+PASS = 1 << 16
 #: Rounds of leaders before all pairs, and members of the lists that take part.
 ROUNDS, LONG = 2, 64
 #: Most document numbers that are broadcast.
@@ -68,7 +74,7 @@ def _prefixes(common, alike: float, shingle: int):
         last = common.value  # the commonest at the end
         by_hash = np.argsort(last)
         for batch in batches:
-            nodes, sizes, prefixes = [], [], []
+            nodes, sizes, prefixes, prints = [], [], [], []
             for x in batch.column(1).cast(pa.large_binary()).fill_null(b""):
                 own = shingles(x.as_py(), shingle)
                 place = np.zeros(len(own), np.int64)
@@ -77,8 +83,10 @@ def _prefixes(common, alike: float, shingle: int):
                     place = np.where(last[by_hash[at]] == own, by_hash[at] + 1, 0)
                 nodes.append(xxhash.xxh64_intdigest(own.tobytes(), 7))
                 sizes.append(len(own))
+                counts = sum((simhash.bit_counts(own[at : at + PASS]) for at in range(0, len(own), PASS)), np.zeros(64, np.int64))
+                prints.append(simhash.majority(counts, len(own)))
                 prefixes.append(own[np.lexsort((own, place))][: len(own) - math.ceil(alike * len(own) - 1e-9) + 1].view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))], ["doc_id", "node", "n", "prefix"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(np.array(prints, np.uint64).view(np.int64))], ["doc_id", "node", "n", "prefix", "fp"])
 
     return run
 
@@ -104,6 +112,15 @@ def _common(docs: DataFrame, shingle: int) -> np.ndarray:
     return found[::-1].astype(np.int64).view(np.uint64)
 
 
+def _fingerprinted(once: DataFrame, distance: int) -> DataFrame:
+    """(a, b): sets of equal fingerprint with the least of them, and those of fingerprints that SimHash links."""
+    least = stored(once.groupBy("fp").agg(F.min("node").alias("least")), "near-fingerprints")
+    same = once.join(least, "fp").where(F.col("node") != F.col("least")).select(F.col("least").alias("a"), F.col("node").alias("b"))
+    near = simhash.links(least.select("fp"), distance)
+    near = near.join(least.select(F.col("fp").alias("a"), F.col("least").alias("x")), "a").join(least.select(F.col("fp").alias("b"), F.col("least").alias("y")), "b")
+    return same.union(near.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))).distinct()
+
+
 def _possible(alike: float, n: Column, m: Column, most: Column) -> Column:
     """Whether sets of n and m shingles with at most so many in common can be alike."""
     return most >= (n + m) * (alike / (1 + alike)) - 1e-6
@@ -134,7 +151,7 @@ def _pairs(entries: DataFrame, alike: float, tile: int) -> DataFrame:
     return met.where(_possible(alike, F.col("n"), F.col("m"), most)).select("a", "b")
 
 
-def jaccard_groups(docs: DataFrame, alike: float = ALIKE, shingle: int = SHINGLE, tile: int = TILE, rounds: int = ROUNDS) -> DataFrame:
+def jaccard_groups(docs: DataFrame, alike: float = ALIKE, shingle: int = SHINGLE, tile: int = TILE, rounds: int = ROUNDS, distance: int = simhash.DISTANCE) -> DataFrame:
     """doc_id, component_id (smallest doc_id reachable over pairs whose shingles have Jaccard `alike` or more).
 
     docs has one text for each doc_id; repeated rows give repeated rows. Null and blank texts are alike. Other columns are
@@ -144,7 +161,7 @@ def jaccard_groups(docs: DataFrame, alike: float = ALIKE, shingle: int = SHINGLE
     ensure_importable(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     common = spark.sparkContext.broadcast(_common(docs, shingle))  # KEPT numbers at most
-    prints = stored(docs.mapInArrow(_prefixes(common, alike, shingle), "doc_id long, node long, n long, prefix array<long>"), "near-prefixes")
+    prints = stored(docs.mapInArrow(_prefixes(common, alike, shingle), "doc_id long, node long, n long, prefix array<long>, fp long"), "near-prefixes")
     nodes = stored(prints.groupBy("node").agg(F.min("doc_id").alias("first")), "near-firsts")
     once = prints.join(nodes.select("node", F.col("first").alias("doc_id")), ["node", "doc_id"]).dropDuplicates(["node"])
     entries = once.select("node", "n", F.posexplode("prefix").alias("pos", "key"))
@@ -166,12 +183,13 @@ def jaccard_groups(docs: DataFrame, alike: float = ALIKE, shingle: int = SHINGLE
         return out
 
     long = entries.where(F.col("c") > LONG)
-    links, roots = spark.createDataFrame([], "a long, b long"), None
+    links = verified(_fingerprinted(once.select("node", "fp"), distance))
+    roots = connected(links, "a", "b")
     for k in range(0 if long.isEmpty() else rounds):
-        now = long.withColumn("root", F.col("node")) if roots is None else long.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        now = long.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         links = links.union(verified(_led(now, alike, k)))
         roots = connected(links, "a", "b")
-    now = entries.withColumn("root", F.col("node")) if roots is None else entries.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    now = entries.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     roots = connected(links.union(verified(_pairs(now, alike, tile))), "a", "b")
     named = prints.select("doc_id", "node").join(roots, "node", "left").select("doc_id", F.coalesce("root", "node").alias("root"))
     least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))

@@ -41,9 +41,18 @@ def fingerprint(text: bytes, shingle: int = SHINGLE, limit: int = 1 << 16) -> in
     ends = ends[shingle - 1 :].tolist()
     counts, digest = np.zeros(64, np.int64), xxhash.xxh64_intdigest
     for at in range(0, len(ends), limit):
-        hashes = np.array([digest(joined[i:j], 42) for i, j in zip(begins[at : at + limit], ends[at : at + limit], strict=True)], dtype=">u8")
-        counts += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(counts * 2 > len(ends)).tobytes(), "big")
+        counts += bit_counts(np.array([digest(joined[i:j], 42) for i, j in zip(begins[at : at + limit], ends[at : at + limit], strict=True)], np.uint64))
+    return majority(counts, len(ends))
+
+
+def bit_counts(hashes: np.ndarray) -> np.ndarray:
+    """How many hashes have each of 64 bits, highest first."""
+    return np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+
+
+def majority(counts: np.ndarray, n: int) -> int:
+    """The bits that more than half of n hashes have."""
+    return int.from_bytes(np.packbits(counts * 2 > n).tobytes(), "big")
 
 
 def _fingerprints(shingle: int):
