@@ -1,9 +1,10 @@
 """A corpus from documents to packed token sequences, in five stages.
 
-1. language_id: documents whose language is `und` (no text, or no letter) go.
+1. language_id: documents whose language is `und` (no text, or no letter) go, and those that fit no learned language: their
+   shortest code is SLACK bits longer than their plain bytes, or more.
 2. line_dedup: later copies of runs of three lines or more go; a document of which nothing is left goes too.
 3. simhash: of each group of near-duplicates, documents linked by a Jaccard of 0.8 or more of their five-word shingles, the
-   document with the least doc_id stays.
+   document with the least doc_id stays. SimHash links come first; an inverted list finds the pairs beyond its reach.
 4. suffix_dedup: strings of PASSAGE bytes that occur more than once go, wherever they stand; a document of which nothing
    is left goes too. Bytes of a character cut in two go with it.
 5. packing: token sequences.
@@ -20,13 +21,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cliploom.llm import line_dedup, near_copies as jaccard, packing, ppm, suffix_dedup
-from cliploom.llm.common import keyed, stored
+from cliploom.llm.common import keyed, n_stored, stored, sweep
 from cliploom.llm.queries import WORD_FILE
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 OTHERS = ("lang", "source")
 #: Bytes of a repeated passage; some forty words.
 PASSAGE, WINDOW = 200, 80
+#: Bits by which the shortest code of a text may be longer than its bytes.
+SLACK = 64
 
 
 def _documents(df: DataFrame) -> DataFrame:
@@ -34,7 +37,8 @@ def _documents(df: DataFrame) -> DataFrame:
 
 
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return ppm.language_id(docs, carry=("text", "lang", "source", "n_chars")).where(F.col("lang_pred") != ppm.UNKNOWN).select(*COLUMNS)
+    found = ppm.language_id(docs, carry=("text", "lang", "source", "n_chars")).where(F.col("lang_pred") != ppm.UNKNOWN)
+    return found.where((F.col("rate") - 8) * F.octet_length("text") < SLACK).select(*COLUMNS)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -65,7 +69,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, first = spark.read.parquet(f"{sf_dir}/documents.parquet"), n_stored()
     for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), name)
+        sweep(spark, first, (docs,))  # what the stage stored on its way, and the stage before
     return STAGES[-1][1](spark, docs, sf_dir)
