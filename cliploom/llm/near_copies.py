@@ -8,8 +8,9 @@ shingles they share one of their first n - ceil(alike * n) + 1: no pair is misse
 in a bounded sample last, which keeps lists short; it has no influence on the result. Equal sets stand as one.
 
 In long lists members are first compared with one leader, over a few rounds of other leaders; then all pairs of a list that
-no link joins yet are candidates, long lists in tiles. A bound on what they can have in common drops most; every link is
-verified on the whole sets.
+no link joins yet are candidates, long lists in tiles. Bounds on what they can have in common drop most: from sizes and
+places in the lists, then from a sketch of each set, the number of its shingles in each of CELLS ranges of hashes (two sets
+share no more than the lesser number in each). Neither drops a pair that is alike; every link is verified on the whole sets.
 """
 
 from __future__ import annotations
@@ -24,13 +25,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import simhash
-from .common import ensure_importable, settle, stored
+from .common import discard, ensure_importable, settle, stored
 from .components import connected
 
 ALIKE, SHINGLE = 0.8, 5
 TILE = 1024
 #: Shingles whose bits are counted in one pass.
 PASS = 1 << 16
+#: Ranges of hashes that a sketch counts in.
+CELLS = 256
 #: Rounds of leaders before all pairs, and members of the lists that take part.
 ROUNDS, LONG = 2, 64
 #: Most document numbers that are broadcast.
@@ -51,6 +54,28 @@ def shingles(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
     return np.unique(np.fromiter((digest(joined[i:j], 42) for i, j in zip(begins, ends[shingle - 1 :].tolist(), strict=True)), np.uint64, len(begins)))
 
 
+def sketch(own: np.ndarray) -> bytes:
+    """Shingles in each range, as 16-bit numbers; a set with more in any range than these hold has none (an empty sketch)."""
+    cells = np.bincount((own >> np.uint64(56)).astype(np.int64), minlength=CELLS)
+    return cells.astype("<u2").tobytes() if cells.max() < 1 << 16 else b""
+
+
+def _maybe(alike: float):
+    """Pairs that their sketches let be alike."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = np.ones(batch.num_rows, bool)
+            x, y = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+            both = np.flatnonzero([bool(i and j) for i, j in zip(x, y, strict=True)])
+            if len(both):
+                a, b = (np.frombuffer(b"".join(side[k] for k in both), "<u2").reshape(-1, CELLS).astype(np.int64) for side in (x, y))
+                keep[both] = np.minimum(a, b).sum(axis=1) >= (a.sum(axis=1) + b.sum(axis=1)) * (alike / (1 + alike)) - 1e-6
+            yield batch.select(["a", "b"]).filter(pa.array(keep))
+
+    return run
+
+
 def _sets(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -74,7 +99,7 @@ def _prefixes(common, alike: float, shingle: int):
         last = common.value  # the commonest at the end
         by_hash = np.argsort(last)
         for batch in batches:
-            nodes, sizes, prefixes, prints = [], [], [], []
+            nodes, sizes, prefixes, prints, sketches = [], [], [], [], []
             for x in batch.column(1).cast(pa.large_binary()).fill_null(b""):
                 own = shingles(x.as_py(), shingle)
                 place = np.zeros(len(own), np.int64)
@@ -83,10 +108,11 @@ def _prefixes(common, alike: float, shingle: int):
                     place = np.where(last[by_hash[at]] == own, by_hash[at] + 1, 0)
                 nodes.append(xxhash.xxh64_intdigest(own.tobytes(), 7))
                 sizes.append(len(own))
+                sketches.append(sketch(own))
                 counts = sum((simhash.bit_counts(own[at : at + PASS]) for at in range(0, len(own), PASS)), np.zeros(64, np.int64))
                 prints.append(simhash.majority(counts, len(own)))
                 prefixes.append(own[np.lexsort((own, place))][: len(own) - math.ceil(alike * len(own) - 1e-9) + 1].view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(np.array(prints, np.uint64).view(np.int64))], ["doc_id", "node", "n", "prefix", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(np.array(prints, np.uint64).view(np.int64)), pa.array(sketches, pa.binary())], ["doc_id", "node", "n", "prefix", "fp", "sketch"])
 
     return run
 
@@ -161,7 +187,7 @@ def jaccard_groups(docs: DataFrame, alike: float = ALIKE, shingle: int = SHINGLE
     ensure_importable(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     common = spark.sparkContext.broadcast(_common(docs, shingle))  # KEPT numbers at most
-    prints = stored(docs.mapInArrow(_prefixes(common, alike, shingle), "doc_id long, node long, n long, prefix array<long>, fp long"), "near-prefixes")
+    prints = stored(docs.mapInArrow(_prefixes(common, alike, shingle), "doc_id long, node long, n long, prefix array<long>, fp long, sketch binary"), "near-prefixes")
     nodes = stored(prints.groupBy("node").agg(F.min("doc_id").alias("first")), "near-firsts")
     once = prints.join(nodes.select("node", F.col("first").alias("doc_id")), ["node", "doc_id"]).dropDuplicates(["node"])
     entries = once.select("node", "n", F.posexplode("prefix").alias("pos", "key"))
@@ -169,16 +195,26 @@ def jaccard_groups(docs: DataFrame, alike: float = ALIKE, shingle: int = SHINGLE
     entries = stored(entries.join(again, "key"), "near-entries")
     settle(spark)
 
+    sketches = stored(once.select("node", "sketch"), "near-sketches")
+
+    def sided(pairs: DataFrame, table: DataFrame, column: str) -> DataFrame:
+        """Pairs with `column` of both."""
+        rows = pairs.join(table.select(F.col("node").alias("a"), F.col(column).alias("x")), "a")
+        return rows.join(table.select(F.col("node").alias("b"), F.col(column).alias("y")), "b").select("a", "b", "x", "y")
+
+    def ends(pairs: DataFrame) -> DataFrame:
+        return pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+
     def verified(pairs: DataFrame) -> DataFrame:
         pairs = stored(pairs, "near-pairs")
-        some = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-        some = stored(nodes.join(some, "node").select("node", F.col("first").alias("doc_id")), "near-nodes")
-        if some.count() <= BROADCAST:
-            some = F.broadcast(some)
-        texts = docs.join(some, "doc_id").select("node", "text")
-        sets = stored(texts.mapInArrow(_sets(shingle), "node long, set binary"), "near-sets").dropDuplicates(["node"])
-        rows = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
-        out = stored(rows.select("a", "b", "x", "y").mapInArrow(_alike(alike), "a long, b long"), "near-links")
+        likely = stored(sided(pairs, sketches.join(ends(pairs), "node", "left_semi"), "sketch").mapInArrow(_maybe(alike), "a long, b long"), "near-likely")
+        discard(pairs)
+        settle(spark)
+        some = stored(nodes.join(ends(likely), "node").select("node", F.col("first").alias("doc_id")), "near-nodes")
+        ids = F.broadcast(some) if some.count() <= BROADCAST else some
+        sets = stored(docs.join(ids, "doc_id").select("node", "text").mapInArrow(_sets(shingle), "node long, set binary"), "near-sets")
+        out = stored(sided(likely, sets.dropDuplicates(["node"]), "set").mapInArrow(_alike(alike), "a long, b long"), "near-links")
+        discard(likely, some, sets)
         settle(spark)
         return out
 
