@@ -1,10 +1,16 @@
-"""Repeated runs of lines, by prefix doubling over the sequences of line ids of all documents.
-
-Round 1 ranks the pairs of adjacent lines; each further round ranks pairs of the ranks so far at the offset that reaches
-the next length (at most doubling it), and drops positions whose rank is unique, until runs of `least` lines are ranked. A
-rank that several positions share is an interval of the suffix array whose common prefix has `least` lines at least;
-positions after the first of an interval are later copies. Their lines are deleted; adjacent copies merge into maximal runs.
-Ranks are 128-bit names; survivors of each round are written to the shared folder.
+"""Repeated runs of lines, from a suffix array over the sequences of line ids of all documents.
+
+The suffix array is built by prefix doubling, and only as far as repeats go. Round 1 ranks single lines; each further round
+ranks pairs of the ranks so far, the second at the offset that the first reaches (at most doubling the length), until
+prefixes of `least` lines are ranked. Suffixes whose rank is unique have no neighbour with a common prefix so long and are
+dropped from later rounds. Equal ranks are an interval of the suffix array whose longest common prefix has `least` lines
+at least. Within an interval suffixes stand by document and line: those after the first are later copies. How long the
+common prefix of a later copy and the first of its interval is follows as in Kasai's method, from the next suffix of the
+same document, whose common prefix with the next line of the first is shorter by one: consecutive copies of consecutive
+lines are one maximal run. Later copies are deleted.
+
+Ranks are 128-bit names (only equality counts, so any order of line ids will do). Survivors of each round are written to
+the shared folder, and ranks are counted before they are joined, so that a line that many documents share is split.
 """
 
 from __future__ import annotations
@@ -22,51 +28,70 @@ from .common import discard, ensure_importable, settle, stored
 LEAST = 3
 
 
-def _repeated(rows: DataFrame) -> DataFrame:
-    again = rows.groupBy("a", "b").count().where("count > 1").select("a", "b")
-    return rows.join(again, ["a", "b"], "left_semi")
+def _repeated(rows: DataFrame, length: int) -> DataFrame:
+    """Suffixes that share the prefix of `length` lines with another."""
+    again = stored(rows.groupBy("a", "b").count().where("count > 1").select("a", "b"), "ranks")
+    out = stored(rows.join(again, ["a", "b"], "left_semi"), f"suffixes-{length}")
+    discard(again)
+    settle(rows.sparkSession)
+    return out
 
 
-def _pairs(docs: DataFrame, least: int) -> DataFrame:
-    """(doc_id, h, s, a, b): the name (a, b) of lines s and s + 1 of each text."""
-    line = lambda i: F.get("lines", i)
-    name = lambda i: F.struct(F.xxhash64(line(i), line(i + 1)).alias("a"), F.xxhash64(F.lit(1), line(i), line(i + 1)).alias("b"))
-    rows = docs.select("doc_id", "h", F.split("text", "\n", -1).alias("lines")).where(F.size("lines") >= least)
-    rows = rows.select("doc_id", "h", F.posexplode(F.transform(F.sequence(F.lit(0), F.size("lines") - 2), name)).alias("s", "n"))
+def _lines(docs: DataFrame, least: int) -> DataFrame:
+    """(doc_id, h, s, a, b): the name (a, b) of line s of each text that has `least` lines."""
+    lines = F.split("text", "\n", -1)
+    name = lambda x: F.struct(F.xxhash64(x).alias("a"), F.xxhash64(F.lit(1), x).alias("b"))
+    rows = docs.select("doc_id", "h", lines.alias("lines")).where(F.size("lines") >= least)
+    rows = rows.select("doc_id", "h", F.posexplode(F.transform("lines", name)).alias("s", "n"))
     return rows.select("doc_id", "h", F.col("s").cast("long"), "n.a", "n.b")
 
 
-def later_copies(docs: DataFrame, least: int = LEAST) -> DataFrame:
-    """(doc_id, h, s): runs of `least` >= 2 lines from line s that also begin earlier, by doc_id, text hash and line.
+def suffixes(docs: DataFrame, least: int = LEAST) -> DataFrame:
+    """(doc_id, h, s, a, b): suffixes, from line s, in intervals (a, b) of the suffix array whose common prefix has `least` lines.
 
     docs has one row for each doc_id and text hash h.
     """
-    rows, length = stored(_repeated(_pairs(docs, least)), "lines"), 2
-    settle(docs.sparkSession)
+    rows, length = _repeated(_lines(docs, least), 1), 1
     in_doc = W.partitionBy("doc_id", "h").orderBy("s").rangeBetween
     while length < least:
         step = min(length, least - length)
         after = [F.max(x).over(in_doc(step, step)) for x in ("a", "b")]
         longer = rows.select("doc_id", "h", "s", "a", "b", after[0].alias("c"), after[1].alias("d")).where("c is not null")
         longer = longer.select("doc_id", "h", "s", F.xxhash64("a", "c").alias("a"), F.xxhash64(F.lit(1), "b", "d").alias("b"))
-        before, rows, length = rows, stored(_repeated(longer), "lines"), length + step
+        before, rows, length = rows, _repeated(longer, length + step), length + step
         discard(before)
+    return rows
+
+
+def repeated_runs(docs: DataFrame, least: int = LEAST) -> DataFrame:
+    """(doc_id, h, start, n, of_doc, of_h, of_start): maximal runs of n lines from line `start` that begin earlier too, at of_start.
+
+    Earlier goes by doc_id, text hash and line; the place named is the earliest of the run's first `least` lines.
+    """
+    rows = suffixes(docs, least)
     here = F.struct("doc_id", "h", "s")
-    first = rows.groupBy("a", "b").agg(F.min(here).alias("first"))
-    return rows.join(first, ["a", "b"]).where(~here.eqNullSafe(F.col("first"))).select("doc_id", "h", "s")
+    first = stored(rows.groupBy("a", "b").agg(F.min(here).alias("first")), "intervals")
+    copies = rows.join(first, ["a", "b"]).where(~here.eqNullSafe(F.col("first")))
+    copies = copies.select("doc_id", "h", "s", F.col("first.doc_id").alias("of_doc"), F.col("first.h").alias("of_h"), (F.col("s") - F.col("first.s")).alias("ahead"))
+    same = ["doc_id", "h", "of_doc", "of_h", "ahead"]
+    place = F.col("s") - F.row_number().over(W.partitionBy(*same).orderBy("s"))
+    found = copies.withColumn("run", place).groupBy(*same, "run").agg(F.min("s").alias("start"), (F.count("*") + least - 1).alias("n"))
+    return found.select("doc_id", "h", "start", "n", "of_doc", "of_h", (F.col("start") - F.col("ahead")).alias("of_start"))
 
 
-def _kept(least: int):
+def _kept():
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[list] = [[], [], [], []]
             for row, text in enumerate(batch.column(1)):
-                text, marks = text.as_py() or "", batch.column(2)[row]
+                text, found = text.as_py() or "", batch.column(2)[row]
                 n_lines, removed, runs = text.count("\n") + 1, 0, 0
-                if marks.is_valid and len(marks):
-                    gone = np.zeros(n_lines + 2, bool)
-                    for k in range(least):
-                        gone[marks.values.to_numpy() + k + 1] = True
+                if found.is_valid and len(found):
+                    begin, n = (found.values.field(k).to_numpy() for k in (0, 1))
+                    change = np.zeros(n_lines + 3, np.int64)
+                    np.add.at(change, begin + 1, 1)
+                    np.add.at(change, begin + n + 1, -1)
+                    gone = np.cumsum(change)[:-1] > 0
                     runs = int((gone[1:] & ~gone[:-1]).sum())
                     removed = int(gone.sum())
                     text = "\n".join(x for x, g in zip(text.split("\n"), gone[1:].tolist(), strict=False) if not g)
@@ -80,19 +105,20 @@ def _kept(least: int):
 def line_dedup(docs: DataFrame, least: int = LEAST, carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, n_lines, n_removed, n_runs, kept and the columns in `carry`: texts without later copies of runs of lines.
 
-    Lines end at newlines. A line goes if a run of `least` lines that covers it also begins earlier, in the order of
-    doc_id, text hash and line; a run that overlaps its own copy loses all but its first lines. A null text counts as one empty
+    Lines end at newlines. A line goes if a run of `least` lines (two or more) that covers it also begins earlier, in the
+    order of doc_id, text hash and line; a run that overlaps its own copy loses all but its first lines. A null text counts as one empty
     line; repeated rows (same doc_id, same text) count as one document and all get its result; a null doc_id comes first.
-    An empty table gives no rows.
+    Texts of any length are looked at whole. Columns beyond doc_id, text and `carry` are ignored, whatever their names. An
+    empty table gives no rows.
     """
     spark = docs.sparkSession
     ensure_importable(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), *(F.col(c).alias(f"carry_{c}") for c in carry))
     docs = docs.withColumn("h", F.xxhash64("text"))
     once = docs.where(F.contains("text", F.lit("\n"))).select("doc_id", "h", "text")
-    copies = later_copies(once, least).groupBy("doc_id", "h").agg(F.collect_set("s").alias("marks"))
+    copies = repeated_runs(once, least).groupBy("doc_id", "h").agg(F.collect_list(F.struct("start", "n")).alias("runs"))
     same = F.expr("d.doc_id <=> m.doc_id and d.h = m.h")
-    rows = docs.alias("d").join(copies.alias("m"), same, "left").select("d.doc_id", "text", "marks", *(F.col(f"carry_{c}") for c in carry))
+    rows = docs.alias("d").join(copies.alias("m"), same, "left").select("d.doc_id", "text", "runs", *(F.col(f"carry_{c}") for c in carry))
     kinds = "".join(f", `carry_{c}` {docs.schema[f'carry_{c}'].dataType.simpleString()}" for c in carry)
-    out = rows.mapInArrow(_kept(least), "doc_id long, n_lines long, n_removed long, n_runs long, kept string" + kinds)
+    out = rows.mapInArrow(_kept(), "doc_id long, n_lines long, n_removed long, n_runs long, kept string" + kinds)
     return out.withColumnsRenamed({f"carry_{c}": c for c in carry})

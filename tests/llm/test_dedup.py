@@ -279,3 +279,24 @@ def test_suffix_dedup_of_long_and_repetitive_texts(spark):
     texts = [(1, long), (2, "z" * 20_000), (3, "z" * 410), (4, "ab" * 3000), (5, prose(rng, 500) + long[100:1700] + prose(rng, 500)), (6, "z" * 399)]
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.suffix_dedup(frame(spark, texts)).collect()}
     assert [got[k] for k, _ in texts] == cut([t for _, t in texts], 400)
+
+
+def test_repeated_runs_are_maximal(spark):
+    rng = random.Random(13)
+    texts = {k: "\n".join(rng.choice("abcd") for _ in range(rng.randrange(1, 20))) for k in range(25)} | {40: "x\n" * 30, 41: "\n".join(map(str, range(5000)))}
+    texts[42] = "new\n" + texts[41] + "\nend"
+    docs = spark.createDataFrame([(k, 0, t) for k, t in texts.items()], "doc_id long, h long, text string")
+    lines, first, want = {k: t.split("\n") for k, t in texts.items()}, {}, set()
+    for d in sorted(texts):
+        x, before = lines[d], None
+        for i in range(len(x) - 1):
+            at = first.setdefault(tuple(x[i : i + 3]), (d, i)) if i + 3 <= len(x) else None
+            at = None if at == (d, i) else at
+            if at and not (before and at == (before[0], before[1] + 1)):
+                n = 3
+                while i + n < len(x) and first.setdefault(tuple(x[i + n - 2 : i + n + 1]), (d, i + n - 2)) == (at[0], at[1] + n - 2):
+                    n += 1
+                want.add((d, i, n, at[0], at[1]))
+            before = at
+    got = {(r.doc_id, r.start, r.n, r.of_doc, r.of_start) for r in line_dedup.repeated_runs(docs).collect()}
+    assert got == want and (42, 1, 5000, 41, 0) in got
