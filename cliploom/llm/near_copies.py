@@ -7,7 +7,7 @@ Sets of Jaccard `alike` or more share at least alike * n of the n shingles of ei
 shingles they share one of their first n - ceil(alike * n) + 1: no pair is missed. The order puts shingles that are common
 in a bounded sample last, which keeps lists short; it has no influence on the result. Equal sets stand as one.
 
-In long lists members are first compared with one leader, over a few rounds of other leaders; then all pairs of a list that
+In long lists members are first compared with one leader, over rounds of other leaders as long as many pairs are open and rounds close a fifth of them; then all pairs of a list that
 no link joins yet are candidates, long lists in tiles. Bounds on what they can have in common drop most: from sizes and
 places in the lists, then from a sketch of each set, the number of its shingles in each of CELLS ranges of hashes (two sets
 share no more than the lesser number in each). Neither drops a pair that is alike; every link is verified on the whole sets.
@@ -34,8 +34,9 @@ TILE = 1024
 PASS = 1 << 16
 #: Ranges of hashes that a sketch counts in.
 CELLS = 256
-#: Rounds of leaders before all pairs, and members of the lists that take part.
-ROUNDS, LONG = 2, 64
+#: Most rounds of leaders before all pairs, members of the lists that take part, open pairs for each entry of any list that
+#: make an end of rounds.
+ROUNDS, LONG, FEW = 8, 64, 4
 #: Most document numbers that are broadcast.
 BROADCAST = 1 << 17
 #: Documents of the sample, how many of them hold a common shingle, most common shingles kept.
@@ -153,26 +154,49 @@ def _possible(alike: float, n: Column, m: Column, most: Column) -> Column:
 
 
 def _led(entries: DataFrame, alike: float, k: int) -> DataFrame:
-    """(a, b): members of a list with its leader of round k, where their roots differ."""
-    leaders = entries.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", F.lit(k)).alias("h"), "node", "n", "pos", "root")).alias("l"))
-    most = F.least("pos", "l.pos") + F.least(F.col("n") - F.col("pos"), F.col("l.n") - F.col("l.pos"))
-    met = entries.join(leaders, "key").where((F.col("root") != F.col("l.root")) & _possible(alike, F.col("n"), F.col("l.n"), most))
+    """(a, b): members of a list with its leader of round k, where their roots differ.
+
+    The first leader is the member with most company in its lists, in a group of edited copies the one least edited; later
+    ones are of any root of the list, each as likely.
+    """
+    order = F.struct((-F.col("w")).alias("w"), "node", "n", "pos", "root") if k == 0 else F.struct(F.xxhash64("root", F.lit(k)).alias("h"), (-F.col("w")).alias("w"), "node", "n", "pos", "root")
+    leaders = entries.groupBy("key").agg(F.min(order).alias("l"))
+    met = entries.join(leaders, "key").where((F.col("root") != F.col("l.root")) & _possible(alike, F.col("n"), F.col("l.n"), _reach("", "l.")))
     return met.select(F.least("node", "l.node").alias("a"), F.greatest("node", "l.node").alias("b")).distinct()
 
 
-def _pairs(entries: DataFrame, alike: float, tile: int) -> DataFrame:
+def _reach(x: str, y: str) -> Column:
+    """What two sets can have in common, by the places of a shared shingle in either order: what is before it and from it on."""
+    return F.least(f"{x}pos", f"{y}pos") + F.least(F.col(f"{x}n") - F.col(f"{x}pos"), F.col(f"{y}n") - F.col(f"{y}pos"))
+
+
+def _open_pairs(entries: DataFrame) -> int:
+    """Pairs of a list whose roots differ, over all lists."""
+    lists = entries.groupBy("key", "root").agg(F.count("*").alias("k")).groupBy("key").agg(F.sum("k").alias("c"), F.sum(F.col("k") * F.col("k")).alias("same"))
+    return lists.agg(F.sum((F.col("c") * F.col("c") - F.col("same")).cast("decimal(38,0)"))).first()[0] or 0
+
+
+def _pairs(entries: DataFrame, alike: float, tile: int, long: int) -> DataFrame:
     """(a, b): pairs of a list whose roots differ; lists over `tile` members are compared tile by tile.
 
-    What two sets have in common is what their prefixes have, up to the last shared shingle, and at most the rest of either.
+    In lists over `long` members a pair is met in the first such list of both only, where all of them are counted. What two
+    sets have in common is at most what their prefixes have, and the rest of either beyond the last shared shingle met.
     """
-    rows = entries.select("key", "node", "n", "pos", "root", F.ceil(F.col("c") / tile).cast("int").alias("g"))
+    keep = ["key", "node", "n", "pos", "root"]
+    in_long = entries.where(F.col("c") > long)
+    lists = in_long.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("pos", "key"))).alias("l")).select("node", F.col("l.key").alias("lists"))
+    rows = in_long.join(lists, "node").select(*keep, "lists", F.ceil(F.col("c") / tile).cast("int").alias("g"))
     own = F.pmod(F.xxhash64("node"), F.col("g").cast("long")).cast("int")
     tiles = F.transform(F.sequence(F.lit(0), F.col("g") - 1), lambda x: F.struct(F.least(x, F.col("own")).alias("i"), F.greatest(x, F.col("own")).alias("j")))
-    rows = rows.withColumn("own", own).select("key", "node", "n", "pos", "root", "own", F.explode(tiles).alias("t")).select("key", "t.i", "t.j", "own", "node", "n", "pos", "root")
+    rows = rows.withColumn("own", own).withColumn("t", F.explode(tiles)).select(*keep, "lists", "own", "t.i", "t.j")
+    may = F.expr("x.root != y.root and x.node < y.node") & _possible(alike, F.col("x.n"), F.col("y.n"), _reach("x.", "y."))
+    both = F.array_intersect("x.lists", "y.lists")
     x, y = rows.alias("x"), rows.alias("y")
-    met = x.join(y, F.expr("x.key = y.key and x.i = y.i and x.j = y.j and x.root != y.root and x.node < y.node and (x.i = x.j or x.own != y.own)"))
-    met = met.where(_possible(alike, F.col("x.n"), F.col("y.n"), F.least("x.n", "y.n")))
-    met = met.groupBy(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.n").alias("n"), F.col("y.n").alias("m")).agg(F.count("*").alias("both"), F.max("x.pos").alias("i"), F.max("y.pos").alias("j"))
+    met_long = x.join(y, F.expr("x.key = y.key and x.i = y.i and x.j = y.j and (x.i = x.j or x.own != y.own)") & may & (F.get(both, F.lit(0)) == F.col("x.key")))
+    x, y = (entries.where(F.col("c") <= long).select(*keep).alias(side) for side in "xy")
+    met = x.join(y, F.expr("x.key = y.key") & may)
+    found = lambda rows, count: rows.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.n").alias("n"), F.col("y.n").alias("m"), count.alias("both"), F.col("x.pos").alias("i"), F.col("y.pos").alias("j"))
+    met = found(met, F.lit(1)).union(found(met_long, F.size(both))).groupBy("a", "b", "n", "m").agg(F.sum("both").alias("both"), F.max("i").alias("i"), F.max("j").alias("j"))
     most = F.col("both") + F.least(F.col("n") - F.col("i"), F.col("m") - F.col("j")) - 1
     return met.where(_possible(alike, F.col("n"), F.col("m"), most)).select("a", "b")
 
@@ -219,14 +243,21 @@ def jaccard_groups(docs: DataFrame, alike: float = ALIKE, shingle: int = SHINGLE
         return out
 
     long = entries.where(F.col("c") > LONG)
+    long = stored(long.join(long.groupBy("node").agg(F.sum("c").alias("w")), "node"), "near-long")
+    few = FEW * entries.count()
     links = verified(_fingerprinted(once.select("node", "fp"), distance))
     roots = connected(links, "a", "b")
-    for k in range(0 if long.isEmpty() else rounds):
-        now = long.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    before = None
+    for k in range(rounds):
+        now = stored(long.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "near-rooted")
+        pairs = int(_open_pairs(now))
+        if pairs <= few or before and pairs > 0.8 * before:
+            break
+        before = pairs
         links = links.union(verified(_led(now, alike, k)))
         roots = connected(links, "a", "b")
     now = entries.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    roots = connected(links.union(verified(_pairs(now, alike, tile))), "a", "b")
-    named = prints.select("doc_id", "node").join(roots, "node", "left").select("doc_id", F.coalesce("root", "node").alias("root"))
-    least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return named.join(least, "root").select("doc_id", "component_id")
+    roots = connected(links.union(verified(_pairs(now, alike, tile, LONG))), "a", "b")
+    roots = stored(nodes.join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root")), "near-roots")
+    least = stored(roots.groupBy("root").agg(F.min("first").alias("component_id")), "near-least")
+    return prints.select("doc_id", "node").join(roots.join(least, "root").select("node", "component_id"), "node")
