@@ -12,5 +12,5 @@ def views_value(views: Column, rate: Column) -> Column:
 
 
 def earning(value: Column) -> Column:
-    """views / 1000 * rate from views_value or its sum."""
-    return F.round(value.cast("double") / 1000, 4)
+    """views / 1000 * rate from views_value or its sum: exact decimals until it is rounded to four places, then a double."""
+    return F.round(value.cast("decimal(30,4)") * F.lit("0.001").cast("decimal(4,3)"), 4).cast("double")

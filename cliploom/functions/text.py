@@ -24,6 +24,19 @@ def is_question(text: Column) -> Column:
     return F.coalesce(text.rlike("[?؟]"), F.lit(False))
 
 
+#: Words that announce a surprise, in English and Arabic.
+SURPRISE_WORDS = ("suddenly", "unbelievable", "incredible", "shocking", "surprisingly", "unexpected", "secret", "فجأة", "صدمة", "مفاجأة", "لن تصدق")
+
+
+def surprise_pattern() -> str:
+    return r"(?i)!|(^|[^\p{L}])(" + "|".join(SURPRISE_WORDS) + r")($|[^\p{L}])"
+
+
+def is_surprising(text: Column) -> Column:
+    """An exclamation mark, or a word that announces a surprise. A simple rule; a model may add to it (plans.stages)."""
+    return F.coalesce(text.rlike(surprise_pattern()), F.lit(False))
+
+
 def is_url(text: Column) -> Column:
     return F.coalesce(text.rlike("^https?://[^/\\s]+"), F.lit(False))
 

@@ -24,10 +24,21 @@ def export_manifest(clips: DataFrame, formats: tuple[str, ...] = ("mp4", "srt",
     return clips.select("clip_id", F.explode(F.array(*map(F.lit, formats))).alias("format")).withColumn("path", F.concat(F.lit("clips/"), F.col("clip_id").cast("string"), F.lit("."), "format"))
 
 
+#: Most words of a list that is sent to every task.
+LISTED = 100_000
+
+
 def flags(texts: DataFrame, banned: DataFrame) -> DataFrame:
-    """(doc_id, word, hits): banned words found as whole tokens, not as parts of others. Spark picks the join by the list's size."""
+    """(doc_id, word, hits): banned words found as whole tokens, not as parts of others.
+
+    A list of up to LISTED words is broadcast; only hits are shuffled then. Beyond that both sides meet by word, and tokens
+    are counted within their document first.
+    """
+    listed = banned.select(F.lower("word").alias("word")).distinct()
     found = texts.select("doc_id", F.explode(tokens(F.col("text"))).alias("word"))
-    return found.join(banned.select(F.lower("word").alias("word")).distinct(), "word").groupBy("doc_id", "word").agg(F.count("*").alias("hits"))
+    if listed.limit(LISTED + 1).count() <= LISTED:
+        return found.join(F.broadcast(listed), "word").groupBy("doc_id", "word").agg(F.count("*").alias("hits"))
+    return found.groupBy("doc_id", "word").agg(F.count("*").alias("hits")).join(listed, "word").select("doc_id", "word", "hits")
 
 
 def licensed(videos: DataFrame) -> DataFrame:

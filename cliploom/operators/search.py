@@ -1,8 +1,13 @@
-"""Full-text search over postings (doc_id, pos, token)."""
+"""Full-text search over a stored index.
+
+The index is two Parquet tables: postings (token, doc_id, tf, positions), ordered by token and document over its files, and
+lengths (doc_id, len). The statistics of the files lead a search to the row groups that hold its words, so texts are
+tokenized once, when the index is written, and never again.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
@@ -12,18 +17,37 @@ K1, B = 1.2, 0.75
 
 
 def postings(docs: DataFrame) -> DataFrame:
-    """(doc_id, pos, token) of docs (doc_id, text); positions from 0."""
-    return docs.select("doc_id", F.posexplode(tokens(F.col("text"))).alias("pos", "token"))
+    """(token, doc_id, tf, positions) of docs (doc_id, text); positions from 0, ascending.
+
+    One shuffle, by ranges of token and document, so that a token in most documents is spread over tasks.
+    """
+    rows = docs.select("doc_id", F.posexplode(tokens(F.col("text"))).alias("pos", "token"))
+    own = rows.repartitionByRange("token", "doc_id").groupBy("token", "doc_id")
+    return own.agg(F.count("*").alias("tf"), F.array_sort(F.collect_list("pos")).alias("positions"))
+
+
+def lengths(docs: DataFrame) -> DataFrame:
+    """(doc_id, len): tokens of each document."""
+    return docs.select("doc_id", F.size(tokens(F.col("text"))).alias("len"))
+
+
+def write_index(docs: DataFrame, path: str) -> None:
+    postings(docs).sortWithinPartitions("token", "doc_id").write.mode("overwrite").parquet(f"{path}/postings")
+    lengths(docs).write.mode("overwrite").parquet(f"{path}/lengths")
+
+
+def read_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    return spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/lengths")
 
 
 def match_any(index: DataFrame, words: list[str]) -> DataFrame:
     """(doc_id, hits): documents with any of the words."""
-    return index.where(F.col("token").isin(words)).groupBy("doc_id").agg(F.count("*").alias("hits"))
+    return index.where(F.col("token").isin(words)).groupBy("doc_id").agg(F.sum("tf").alias("hits"))
 
 
 def match_all(index: DataFrame, words: list[str]) -> DataFrame:
     """(doc_id, hits): documents with all of the words."""
-    found = index.where(F.col("token").isin(words)).groupBy("doc_id").agg(F.count("*").alias("hits"), F.count_distinct("token").alias("n"))
+    found = index.where(F.col("token").isin(words)).groupBy("doc_id").agg(F.sum("tf").alias("hits"), F.count("*").alias("n"))
     return found.where(F.col("n") == len(set(words))).drop("n")
 
 
@@ -33,28 +57,35 @@ def phrase(index: DataFrame, words: list[str]) -> DataFrame:
     Each posting of the k-th word votes for the place k before it; a place with all votes begins the phrase. No self-join.
     """
     votes = F.array(*(F.when(F.col("token") == w, F.lit(k)) for k, w in enumerate(words)))
-    hits = index.where(F.col("token").isin(words)).select("doc_id", "pos", F.explode(F.filter(votes, lambda x: x.isNotNull())).alias("k"))
-    starts = hits.groupBy("doc_id", (F.col("pos") - F.col("k")).alias("start")).agg(F.count("*").alias("n"))
+    hits = index.where(F.col("token").isin(words)).select("doc_id", "positions", F.explode(F.filter(votes, lambda x: x.isNotNull())).alias("k"))
+    places = hits.select("doc_id", "k", F.explode("positions").alias("pos"))
+    starts = places.groupBy("doc_id", (F.col("pos") - F.col("k")).alias("start")).agg(F.count("*").alias("n"))
     return starts.where(F.col("n") == len(words)).select("doc_id", F.col("start").cast("long").alias("start"))
 
 
-def _times(word: str) -> Column:
-    return F.size(F.filter("t", lambda x: x == F.lit(word)))
-
-
-def ranked(docs: DataFrame, words: list[str]) -> DataFrame:
-    """(doc_id, score): BM25 of documents with any of the words, rounded to 6 places.
-
-    One scan gives both lengths and term counts; only rows with a hit are shuffled.
-    """
-    own = docs.select("doc_id", tokens(F.col("text")).alias("t"))
-    size = F.size("t")
-    stats = own.agg(F.count("*").alias("n"), F.avg(size).alias("mean"), *(F.count_if(F.array_contains("t", F.lit(w))).alias(f"df{k}") for k, w in enumerate(words)))
-    counted = own.select("doc_id", size.alias("len"), *(_times(w).alias(f"tf{k}") for k, w in enumerate(words)))
-    rows = counted.where(" or ".join(f"tf{k} > 0" for k in range(len(words)))).crossJoin(F.broadcast(stats))  # stats is one row
+def ranked(index: DataFrame, sizes: DataFrame, words: list[str]) -> DataFrame:
+    """(doc_id, score): BM25 of documents with any of the words, rounded to 6 places. Only postings of the words are read."""
+    hits = index.where(F.col("token").isin(words))
+    tfs = hits.groupBy("doc_id").agg(*(F.coalesce(F.sum(F.when(F.col("token") == w, F.col("tf"))), F.lit(0)).alias(f"tf{k}") for k, w in enumerate(words)))
+    rows = tfs.join(sizes, "doc_id")
+    dfs = hits.agg(*(F.count_if(F.col("token") == w).alias(f"df{k}") for k, w in enumerate(words)))
+    stats = sizes.agg(F.count("*").alias("n"), F.avg("len").alias("mean")).crossJoin(dfs)
+    rows = rows.crossJoin(F.broadcast(stats))  # stats is one row
     score = F.lit(0.0)
     for k in range(len(words)):
         tf, df = F.col(f"tf{k}").cast("double"), F.col(f"df{k}").cast("double")
         idf = F.log(1 + (F.col("n") - df + 0.5) / (df + 0.5))
         score = score + idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("len") / F.col("mean")))
     return rows.select("doc_id", F.round(score, 6).alias("score"))
+
+
+def frequencies(index: DataFrame) -> DataFrame:
+    """(token, cf, df): how often a token occurs, and in how many documents."""
+    return index.groupBy("token").agg(F.sum("tf").alias("cf"), F.count("*").alias("df"))
+
+
+def importance(index: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(token, cf, df, importance): occurrences weighed by rarity, cf * ln((n + 1) / (df + 1)), rounded to 6 places."""
+    n = sizes.agg(F.count("*").alias("n"))  # one row
+    rows = frequencies(index).crossJoin(F.broadcast(n))
+    return rows.select("token", "cf", "df", F.round(F.col("cf") * F.log((F.col("n") + 1) / (F.col("df") + 1)), 6).alias("importance"))

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .intervals import overlap_join
+
 #: Milliseconds of silence that count as long.
 LONG = 700
 
@@ -44,3 +46,10 @@ def cut(words: DataFrame, start_ms: int | Column, end_ms: int | Column) -> DataF
     a, b = (x if isinstance(x, Column) else F.lit(x).cast("long") for x in (start_ms, end_ms))
     kept = words.where((F.col("start_ms") < b) & (F.col("end_ms") > a))
     return kept.withColumn("start_ms", F.greatest("start_ms", a) - a).withColumn("end_ms", F.least("end_ms", b) - a)
+
+
+def clip_words(words: DataFrame, clips: DataFrame, width: int = 3_600_000) -> DataFrame:
+    """(clip_id, sent_idx, word_idx, start_ms, end_ms, word): the words of each clip (video_id, clip_id, start_ms, end_ms), as cut() does for one."""
+    pairs = overlap_join(words.select("video_id", "sent_idx", "word_idx", "start_ms", "end_ms", "word"), clips.select("video_id", "clip_id", "start_ms", "end_ms"), "video_id", width)
+    begin = F.greatest("start_ms", "r_start_ms") - F.col("r_start_ms")
+    return pairs.select(F.col("r_clip_id").alias("clip_id"), "sent_idx", "word_idx", begin.alias("start_ms"), (F.least("end_ms", "r_end_ms") - F.col("r_start_ms")).alias("end_ms"), "word")

@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import campaign, transcripts
+from . import campaign, stored_files, transcripts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (*campaign.QUERIES, *transcripts.QUERIES)}
+    return {f.__name__: f for f in (*campaign.QUERIES, *transcripts.QUERIES, *stored_files.QUERIES)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return campaign.SQL | transcripts.SQL
+    return campaign.SQL | transcripts.SQL | stored_files.SQL

@@ -9,9 +9,10 @@ from ..functions import geometry, text
 from ..operators import captions, intervals, ordering, planning, search, silence
 from ..operators import transcripts as T
 from ..sources import standins as S
+from .shared import library_index
 
 WORDS, SENT = f"WITH {S.WORDS}", f"WITH {S.WORDS}, {S.SENTENCES}"
-HOOK_MS, PART_MS, MOMENTS = 15_000, 60_000, 10
+HOOK_MS, PART_MS, MOMENTS = 15_000, 60_000, 3
 
 
 def explode_words(spark: SparkSession, d: str) -> DataFrame:
@@ -55,6 +56,12 @@ def hook_text_window(spark: SparkSession, d: str) -> DataFrame:
     return captions.joined(first, F.col("word"), " ", ("sent_idx", "word_idx")).withColumnRenamed("body", "hook")
 
 
+def clip_words(spark: SparkSession, d: str) -> DataFrame:
+    """A clip for every question, with a second before and after it."""
+    clips = S.moments(spark, d).where("moment_type = 'question'").select("video_id", (F.col("video_id") * 1000 + F.col("moment_id")).alias("clip_id"), (F.col("start_ms") - 1000).alias("start_ms"), (F.col("end_ms") + 1000).alias("end_ms"))
+    return silence.clip_words(S.words(spark, d), clips, 60_000)
+
+
 def silence_gaps(spark: SparkSession, d: str) -> DataFrame:
     return silence.gaps(S.words(spark, d))
 
@@ -139,6 +146,12 @@ def detect_questions(spark: SparkSession, d: str) -> DataFrame:
     return t.where(text.is_question(F.col("text"))).select("conv_id", "turn", "text")
 
 
+def surprising_sentences(spark: SparkSession, d: str) -> DataFrame:
+    """Every fifth turn gets an Arabic word of surprise."""
+    t = S.read(spark, d, "conversations").withColumn("text", F.when(F.col("turn") % 5 == 1, F.concat("text", F.lit(" فجأة"))).otherwise(F.col("text")))
+    return t.where(text.is_surprising(F.col("text"))).select("conv_id", "turn")
+
+
 def arabic_fold(spark: SparkSession, d: str) -> DataFrame:
     """Texts marked with diacritics after every e, then folded."""
     marked = F.replace(F.col("text"), F.lit("e"), F.lit("مَـّ"))
@@ -146,6 +159,7 @@ def arabic_fold(spark: SparkSession, d: str) -> DataFrame:
 
 
 def hashtags(spark: SparkSession, d: str) -> DataFrame:
+    """The first five of each turn, as a post shows a handful: a limit of this query, text.hashtags has none."""
     return S.read(spark, d, "conversations").select("conv_id", "turn", F.array_join(F.slice(text.hashtags(text.tokens(F.col("text"))), 1, 5), " ").alias("hashtags"))
 
 
@@ -182,23 +196,27 @@ def moment_sentiment(spark: SparkSession, d: str) -> DataFrame:
 
 
 def fts_build(spark: SparkSession, d: str) -> DataFrame:
-    return search.postings(S.docs(spark, d)).groupBy("token").agg(F.count("*").alias("cf"), F.count_distinct("doc_id").alias("df"))
+    return search.frequencies(library_index(spark, d)[0])
+
+
+def word_importance(spark: SparkSession, d: str) -> DataFrame:
+    return search.importance(*library_index(spark, d))
 
 
 def fts_match(spark: SparkSession, d: str) -> DataFrame:
-    return search.match_any(search.postings(S.docs(spark, d)), ["idiot", "license", "nicht"])
+    return search.match_any(library_index(spark, d)[0], ["idiot", "license", "nicht"])
 
 
 def fts_match_all(spark: SparkSession, d: str) -> DataFrame:
-    return search.match_all(search.postings(S.docs(spark, d)), ["the", "license", "of"])
+    return search.match_all(library_index(spark, d)[0], ["the", "license", "of"])
 
 
 def fts_phrase(spark: SparkSession, d: str) -> DataFrame:
-    return search.phrase(search.postings(S.docs(spark, d)), ["of", "the"])
+    return search.phrase(library_index(spark, d)[0], ["of", "the"])
 
 
 def fts_ranked(spark: SparkSession, d: str) -> DataFrame:
-    return search.ranked(S.docs(spark, d), ["license", "the"])
+    return search.ranked(*library_index(spark, d), ["license", "the"])
 
 
 def fts_by_speaker(spark: SparkSession, d: str) -> DataFrame:
@@ -211,7 +229,7 @@ def scan_parquet(spark: SparkSession, d: str) -> DataFrame:
     return S.read(spark, d, "lineitem").where("l_quantity < 3").select("l_orderkey", "l_linenumber", "l_quantity")
 
 
-QUERIES = [explode_words, sentence_assemble, transcript_fulltext, transcript_view, bilingual_captions, speaker_time, speaker_number, clip_cut, hook_text_window, silence_gaps, speech_runs, silence_retime, idea_parts, top_moments, ideas_per_video, srt_export, vtt_export, ass_karaoke, assign_speaker, active_speaker, asof_latest, face_smooth, best_frame, crop_box, crop_follow, url_valid, detect_questions, arabic_fold, hashtags, json_stage, docs_by_lang, word_freq, safety_flags, all_flags, moment_sentiment, fts_build, fts_match, fts_match_all, fts_phrase, fts_ranked, fts_by_speaker, scan_parquet]
+QUERIES = [explode_words, sentence_assemble, transcript_fulltext, transcript_view, bilingual_captions, speaker_time, speaker_number, clip_cut, hook_text_window, clip_words, silence_gaps, speech_runs, silence_retime, idea_parts, top_moments, ideas_per_video, srt_export, vtt_export, ass_karaoke, assign_speaker, active_speaker, asof_latest, face_smooth, best_frame, crop_box, crop_follow, url_valid, detect_questions, surprising_sentences, arabic_fold, hashtags, json_stage, docs_by_lang, word_freq, safety_flags, all_flags, moment_sentiment, fts_build, word_importance, fts_match, fts_match_all, fts_phrase, fts_ranked, fts_by_speaker, scan_parquet]
 
 TOKENS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}]+')"
 POSTINGS = f"p AS (SELECT doc_id, unnest(t) AS token, generate_subscripts(t, 1) - 1 AS pos FROM (SELECT doc_id, {TOKENS} AS t FROM documents))"
@@ -287,7 +305,12 @@ SELECT m.video_id, moment_type, count(feeling) AS n, round(avg(feeling), 6) AS m
     "fts_build": f"WITH {POSTINGS} SELECT token, count(*) AS cf, count(DISTINCT doc_id) AS df FROM p GROUP BY token",
     "fts_match": f"WITH {POSTINGS} SELECT doc_id, count(*) AS hits FROM p WHERE token IN ('idiot', 'license', 'nicht') GROUP BY doc_id",
     "fts_match_all": f"WITH {POSTINGS} SELECT doc_id, count(*) AS hits FROM p WHERE token IN ('the', 'license', 'of') GROUP BY doc_id HAVING count(DISTINCT token) = 3",
-    "fts_phrase": f"WITH {POSTINGS} SELECT a.doc_id, CAST(a.pos AS BIGINT) AS start FROM p a JOIN p b ON a.doc_id = b.doc_id AND b.pos = a.pos + 1 WHERE a.token = 'of' AND b.token = 'the'",
+    "fts_phrase": f"WITH {POSTINGS} SELECT doc_id, CAST(pos AS BIGINT) AS start FROM (SELECT *, lead(token) OVER (PARTITION BY doc_id ORDER BY pos) AS next FROM p) WHERE token = 'of' AND next = 'the'",
+    "word_importance": f"""WITH {POSTINGS}, f AS (SELECT token, count(*) AS cf, count(DISTINCT doc_id) AS df FROM p GROUP BY token)
+SELECT token, cf, df, round(cf * ln((n + 1)::DOUBLE / (df + 1)), 6) AS importance FROM f, (SELECT count(*) AS n FROM documents)""",
+    "clip_words": f"""{SENT}, {S.MOMENTS}, c AS (SELECT video_id, video_id * 1000 + moment_id AS clip_id, start_ms - 1000 AS a, end_ms + 1000 AS b FROM moments WHERE moment_type = 'question')
+SELECT clip_id, sent_idx, word_idx, greatest(start_ms, a) - a AS start_ms, least(end_ms, b) - a AS end_ms, word FROM words JOIN c ON words.video_id = c.video_id AND start_ms < b AND end_ms > a""",
+    "surprising_sentences": f"SELECT conv_id, turn FROM conversations WHERE regexp_matches(CASE WHEN turn % 5 = 1 THEN text || ' فجأة' ELSE text END, '{text.surprise_pattern()}')",
     "fts_ranked": f"""WITH t AS (SELECT doc_id, {TOKENS} AS t FROM documents),
 c AS (SELECT doc_id, len(t) AS l, len(list_filter(t, lambda x: x = 'license')) AS a, len(list_filter(t, lambda x: x = 'the')) AS b FROM t),
 s AS (SELECT count(*) AS n, avg(l) AS m, count(*) FILTER (a > 0) AS da, count(*) FILTER (b > 0) AS db FROM c)

@@ -28,6 +28,11 @@ def read_moments(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schemas.MOMENTS).json(path)
 
 
+def write_moments(moments: DataFrame, path: str) -> None:
+    """Suggested moments as JSON lines, in the form that read_moments takes."""
+    moments.select("video_id", "moment_id", "start_ms", "end_ms", "moment_type", "score").write.json(path)
+
+
 def read_templates(spark: SparkSession, path: str) -> DataFrame:
     """Design templates, each a JSON file, with defaults for what is left out."""
     t = spark.read.option("multiLine", True).schema(schemas.TEMPLATES).json(path)
@@ -67,3 +72,8 @@ def write_library(table: DataFrame, path: str) -> None:
 def write_captions(bodies: DataFrame, path: str, ending: str) -> None:
     """Caption files of (video_id, body): one row a file of text in a folder by video and format."""
     bodies.select("video_id", F.lit(ending).alias("format"), F.col("body").alias("value")).write.mode("append").partitionBy("format", "video_id").text(path, lineSep="\n")
+
+
+def write_by_platform(plan: DataFrame, path: str) -> None:
+    """Export jobs (clip_id, platform, ...) in a folder for each platform, all platforms in one pass."""
+    plan.repartition("platform", F.pmod(F.xxhash64("clip_id"), F.lit(64))).write.mode("append").partitionBy("platform").parquet(path)

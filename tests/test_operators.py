@@ -216,3 +216,48 @@ def test_interval_joins_are_keyed(spark, sf_dir):
         assert "BroadcastNestedLoopJoin" not in plan and "CartesianProduct" not in plan
     plan = registry.queries()["scan_parquet"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "LessThan(l_quantity,3.0)" in plan
+
+
+def test_clip_words_of_several_clips(spark):
+    w = words_of(spark, [(0, 100), (150, 250), (300, 400)])
+    clips = spark.createDataFrame([(1, 10, 50, 200), (1, 11, 160, 170), (2, 12, 0, 999), (1, 13, 100, 150)], "video_id long, clip_id long, start_ms long, end_ms long")
+    assert rows(silence.clip_words(w, clips, 60).select("clip_id", "start_ms", "end_ms", "word")) == [(10, 0, 50, "w0"), (10, 100, 150, "w1"), (11, 0, 10, "w1")]
+
+
+def test_surprise(spark):
+    texts = ["What!", "Suddenly it fell", "insuddenly", "calm", None, "ثم فجأة وقع"]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k long, t string")
+    assert rows(df.select("k", text.is_surprising(F.col("t")))) == [(0, True), (1, True), (2, False), (3, False), (4, False), (5, True)]
+
+
+def test_money_beyond_doubles(spark):
+    big = Decimal("99999999999999999")
+    df = spark.createDataFrame([(big,)], "v decimal(30,4)")
+    from cliploom.functions.money import earning
+
+    assert df.select(earning(F.col("v"))).first()[0] == 99999999999999.999
+
+
+def test_stored_index(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "to be or not to be"), (2, "be"), (3, None), (4, "")], "doc_id long, text string")
+    search.write_index(docs, str(tmp_path / "i"))
+    index, sizes = search.read_index(spark, str(tmp_path / "i"))
+    assert rows(index.where("token = 'be'").select("doc_id", "tf", F.concat_ws(",", "positions"))) == [(1, 2, "1,5"), (2, 1, "0")]
+    assert rows(search.phrase(index, ["to", "be"])) == [(1, 0), (1, 4)] and sizes.count() == 4
+    plan = search.match_any(index, ["be"])._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(token,be)" in plan or "In(token" in plan
+
+
+def test_flags_beyond_a_short_list(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "bad bad good"), (2, "worse")], "doc_id long, text string")
+    banned = spark.createDataFrame([("bad",), ("worse",)], "word string")
+    monkeypatch.setattr(planning, "LISTED", 1)
+    assert rows(planning.flags(docs, banned)) == [(1, "bad", 2), (2, "worse", 1)]
+
+
+def test_moments_and_platforms_as_files(spark, tmp_path):
+    m = spark.createDataFrame([(1, 2, 3, 4, "story", 0.5)], schemas.MOMENTS)
+    files.write_moments(m, str(tmp_path / "m"))
+    assert rows(files.read_moments(spark, str(tmp_path / "m"))) == rows(m)
+    files.write_by_platform(spark.createDataFrame([(1, "YT", True), (1, "X", False)], "clip_id long, platform string, fits boolean"), str(tmp_path / "p"))
+    assert sorted(x.name for x in (tmp_path / "p").glob("platform=*")) == ["platform=X", "platform=YT"]
