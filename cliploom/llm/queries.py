@@ -108,7 +108,7 @@ SELECT d.doc_id, n_lines, n_removed, n_runs, kept_sha256 FROM d JOIN done ON d.d
 
 
 LICENSES = f"""
-WITH templates(k, license, text) AS (VALUES {", ".join(f"({k}, '{name}', '{text}')" for k, (name, text) in enumerate(licenses.TEMPLATES.items()))}),
+WITH templates(k, license, text) AS (VALUES {", ".join(f"({k}, '{name}', '{text}')" for k, (name, text) in enumerate(licenses.flat(licenses.TEMPLATES)))}),
 t AS (SELECT k, license, term, count(*) AS tf FROM (SELECT k, license, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM templates) GROUP BY ALL),
 d AS (
   SELECT doc_id, concat_ws('/', source, CAST(doc_id // 5000 AS VARCHAR), CASE WHEN contains(text, chr(10)) THEN CAST(doc_id // 500 AS VARCHAR) END, CAST(doc_id AS VARCHAR) || '.txt') AS path, coalesce(text, '') AS text FROM documents
@@ -118,7 +118,7 @@ lines AS (SELECT doc_id, path, generate_subscripts(string_split(text, chr(10)),
 tokens AS (SELECT doc_id, path, line, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM lines),
 df AS (SELECT term, count(DISTINCT (doc_id, path)) AS df FROM tokens WHERE term IN (SELECT term FROM t) GROUP BY term),
 idf AS (SELECT v.term, ln((n + 1) / (coalesce(df, 0) + 1)) + 1 AS idf FROM (SELECT DISTINCT term FROM t) v LEFT JOIN df USING (term), size),
-units AS (SELECT * FROM tokens UNION ALL SELECT doc_id, path, -1, term FROM tokens),
+units AS (SELECT * FROM tokens UNION ALL SELECT doc_id, path, -1, term FROM tokens UNION ALL SELECT doc_id, path, -2, term FROM tokens WHERE line <= {licenses.OPENING} AND regexp_matches(path, '{licenses.NAMED}')),
 tf AS (SELECT doc_id, path, line, i.term, count(*) AS tf, any_value(idf) AS idf FROM units u LEFT JOIN idf i ON u.term = i.term GROUP BY doc_id, path, line, i.term),
 norms AS (
   SELECT doc_id, path, line, sqrt(sum(CASE WHEN term IS NULL THEN tf * power(ln(n + 1) + 1, 2) ELSE tf * tf * idf * idf END)) AS norm FROM tf, size GROUP BY doc_id, path, line

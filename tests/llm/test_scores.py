@@ -141,7 +141,7 @@ def test_licenses_equal_sql(spark, sf_dir):
 
 
 def test_license_inheritance(spark):
-    mit, gpl = licenses.TEMPLATES["MIT"], licenses.TEMPLATES["GPL-3.0"]
+    mit, gpl = licenses.TEMPLATES["MIT"][0], licenses.TEMPLATES["GPL-3.0"][0]
     prose = "some words of no matter at all stand in this long line here"
     rows = [(1, "r/LICENSE", mit), (2, "r/a/x.c", prose), (3, "r/a/b/LICENSE", gpl), (4, "r/a/b/c/y.c", prose), (5, "r/a/z.c", f"{prose}\n{gpl}\n{prose} {prose}"), (6, "other/q.c", prose), (7, None, mit), (8, "r/e.c", ""), (9, "r/n.c", None), (None, "r/a/k.c", prose), (2, "r/a/x.c", prose)]
     got = {(r.doc_id, r.path): (r.license, r.basis) for r in licenses.license_scan(spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, path string, text string, line int")).collect()}
@@ -149,6 +149,35 @@ def test_license_inheritance(spark):
     assert licenses.license_scan(spark.createDataFrame([], "doc_id long, path string, text string")).count() == 0
 
 
+def test_real_licence_files(spark):
+    """Full short licences, shortened ones, and long ones by their opening; a notice in code licenses that file only."""
+    full = {name: max(texts, key=len) for name, texts in licenses.TEMPLATES.items()}
+    rng = random.Random(3)
+    wrapped = lambda t: "\n".join(" ".join(t.split()[k : k + 12]) for k in range(0, len(t.split()), 12))
+    clauses = "\n".join(" ".join(rng.choice(["such", "work", "grant", "patent", "derivative", "hereby", "party", "section", "the", "of", "any"]) for _ in range(12)) for _ in range(300))
+    files = {
+        "mit/LICENSE": ("MIT", "MIT License\n\nCopyright (c) 2020 Jane Roe\n\n" + wrapped(full["MIT"][12:])),
+        "short/LICENSE.txt": ("MIT", "Copyright 2019 J. Roe and others\n" + wrapped(full["MIT"][12:720])),
+        "bsd/LICENSE": ("BSD-3-Clause", "Copyright (c) 2011, R. Roe. All rights reserved.\n" + wrapped(full["BSD-3-Clause"])),
+        "bsd2/COPYING": ("BSD-2-Clause", "Copyright (c) 2011, R. Roe. All rights reserved.\n" + wrapped(full["BSD-2-Clause"])),
+        "apache/LICENSE": ("Apache-2.0", wrapped(licenses.TEMPLATES["Apache-2.0"][1]) + "\n" + clauses),
+        "gpl/COPYING": ("GPL-3.0", wrapped(licenses.TEMPLATES["GPL-3.0"][1]) + "\n" + clauses),
+        "gpl2/COPYING": ("GPL-2.0", wrapped(full["GPL-2.0"]) + "\n" + clauses),
+        "lgpl/COPYING.LESSER": ("LGPL-3.0", wrapped(full["LGPL-3.0"]) + "\n" + clauses),
+        "mpl/LICENSE": ("MPL-2.0", wrapped(licenses.TEMPLATES["MPL-2.0"][1]) + "\n" + clauses),
+    }
+    prose = [" ".join(rng.choice(["rain", "falls", "on", "the", "old", "house", "and", "of", "is", "to", "use", "any"]) for _ in range(80)) for _ in range(60)]
+    rows = [(k, path, text) for k, (path, (_, text)) in enumerate(files.items())]
+    rows += [(100 + k, f"{path.split('/')[0]}/src/a.c", prose[k]) for k, path in enumerate(files)]
+    rows += [(200 + k, f"plain/{k}.txt", t) for k, t in enumerate(prose)]
+    rows += [(300, "code/x.c", licenses.TEMPLATES["Apache-2.0"][0] + "\n" + "\n".join(prose[:20])), (301, "code/y.c", prose[3]), (302, "long/LICENSE", "word " * 200_000 + "\n" + full["MIT"])]
+    got = {r.path: (r.license, r.basis) for r in licenses.license_scan(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()}
+    for path, (name, _) in files.items():
+        assert got[path] == (name, "file") and got[path.split("/")[0] + "/src/a.c"] == (name, "inherited")
+    assert all(got[f"plain/{k}.txt"] == (None, "none") for k in range(60))
+    assert got["code/x.c"] == ("Apache-2.0", "header") and got["code/y.c"] == (None, "none")
+
+
 SONG = " ".join(random.Random(4).choice(["do", "re", "mi", "fa", "sol", "la", "ti", "ut", "si", "so"]) + str(k % 7) for k in range(150))
 
 
