@@ -153,8 +153,8 @@ def test_real_licence_files(spark):
     """Full short licences, shortened ones, and long ones by their opening; a notice in code licenses that file only."""
     full = {name: max(texts, key=len) for name, texts in licenses.TEMPLATES.items()}
     rng = random.Random(3)
-    wrapped = lambda t: "\n".join(" ".join(t.split()[k : k + 12]) for k in range(0, len(t.split()), 12))
-    clauses = "\n".join(" ".join(rng.choice(["such", "work", "grant", "patent", "derivative", "hereby", "party", "section", "the", "of", "any"]) for _ in range(12)) for _ in range(300))
+    wrapped = lambda t: "\n".join(" ".join(t.split()[k : k + 6]) for k in range(0, len(t.split()), 6))
+    clauses = "\n".join(" ".join(rng.choice(["such", "work", "grant", "patent", "derivative", "hereby", "party", "section", "the", "of", "any"]) for _ in range(6)) for _ in range(600))
     files = {
         "mit/LICENSE": ("MIT", "MIT License\n\nCopyright (c) 2020 Jane Roe\n\n" + wrapped(full["MIT"][12:])),
         "short/LICENSE.txt": ("MIT", "Copyright 2019 J. Roe and others\n" + wrapped(full["MIT"][12:720])),
