@@ -214,36 +214,84 @@ def test_recordings(spark):
 
 def test_stereo_and_widths():
     mono, rate = chroma.samples(chroma.render(SONG))
-    for width, kind, scale in ((2, "<i2", 2**15), (4, "<i4", 2**31)):
+    for width, kind, scale in ((2, "<i2", 2**15), (3, "<i4", 2**31), (4, "<i4", 2**31)):
         out = io.BytesIO()
         with wave.open(out, "wb") as f:
             f.setnchannels(2)
             f.setsampwidth(width)
             f.setframerate(rate)
-            f.writeframes(np.repeat((mono * scale).astype(kind), 2).tobytes())
+            data = np.repeat((mono * scale).astype(kind), 2)
+            f.writeframes(data.view(np.uint8).reshape(-1, 4)[:, 1:].tobytes() if width == 3 else data.tobytes())
         x, r = chroma.samples(out.getvalue())
         assert r == rate and np.abs(x - mono).max() < 1e-3
 
 
-def test_references_by_brute_force(spark, sf_dir):
-    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").orderBy("conv_id", "turn").collect()
-    texts = {}
-    for t in turns:
-        texts.setdefault(t.conv_id, []).append(t.text or "")
-    own = {k: prints("\n".join(v)) for k, v in texts.items()}
-    marks = {k: chroma.landmarks(p) for k, p in own.items() if len(p)}
-    leader = {}
-    for k in sorted(marks):
-        for m in marks[k]:
-            leader.setdefault(m, k)
-    for r in Q.op8_chroma(spark, sf_dir).collect():
-        found = []
-        for ref in {leader[m] for m in marks.get(r.rec_id, [])} - {r.rec_id}:
-            o, n, e = chroma.align(own[ref], own[r.rec_id])
-            if e <= chroma.ERROR and n >= chroma.OVERLAP:
-                found.append((e, -n, ref, o, n))
-        best = min(found, default=None)
-        assert (r.bit_error, r.ref_id, r.offset, r.overlap) == ((best[0], best[2], best[3], best[4]) if best else (None,) * 4)
+def plain_offset(a, b):
+    """The offset with most equal integers, then the least distance, then the least; frames in common; share of differing bits."""
+    best = None
+    for o in range(1 - len(b), len(a)):
+        x, y = a[max(0, o) : len(b) + o], b[max(0, -o) : len(a) - o]
+        same = int((x == y).sum())
+        if same and (best is None or (-same, abs(o), o) < best[0]):
+            best = (-same, abs(o), o), (o, len(x), float(np.unpackbits((x ^ y).view(np.uint8)).mean()))
+    return best and best[1]
+
+
+def noisy(media, rng, level):
+    x, rate = chroma.samples(media)
+    out = io.BytesIO()
+    with wave.open(out, "wb") as f:
+        f.setnchannels(1)
+        f.setsampwidth(2)
+        f.setframerate(rate)
+        f.writeframes((np.clip(x + rng.normal(size=len(x)) * level, -1, 1) * 32767).astype("<i2").tobytes())
+    return out.getvalue()
+
+
+def recordings(rng):
+    """Long recordings, excerpts of them, noisy copies, exact copies, and some that share an opening only."""
+    word = lambda: rng.choice("bcdfglmnprst") + rng.choice("aeiou") + rng.choice("lmnrst") + str(rng.randrange(60))
+    opening = [word() for _ in range(40)]
+    long = [[word() for _ in range(rng.randrange(200, 300))] for _ in range(14)] + [opening + [word() for _ in range(100)] for _ in range(12)]
+    media = [chroma.render(" ".join(x)) for x in long]
+    for k in range(30):
+        x, n = long[k % 14], rng.choice((48, 60, 90, 120))
+        at = rng.randrange(len(x) - n)
+        media.append(chroma.render(" ".join(x[at : at + n])))
+    noise = np.random.default_rng(5)
+    media += [noisy(media[k], noise, level) for k, level in enumerate((0.02, 0.05, 0.1, 0.15, 0.2, 0.05, 0.1))]
+    return media + [media[0], media[0], media[30], chroma.render("a b c")]
+
+
+@pytest.mark.parametrize("most", [64, 4])
+def test_references_by_brute_force(spark, most):
+    """References against the alignment of all pairs, offset by offset; with short lists runs and leaders are used too."""
+    media = recordings(random.Random(17))
+    random.Random(18).shuffle(media)
+    own = [chroma.fingerprint(chroma.chroma(*chroma.samples(m))) for m in media]
+    want = {}
+    for b in range(len(own)):
+        found = [(e, -n, a) for a in range(b) if (r := plain_offset(own[a], own[b])) and (e := r[2]) <= chroma.ERROR and (n := r[1]) >= chroma.OVERLAP]
+        want[b] = min(found, default=(None, None, None))
+    got = {r.rec_id: r for r in chroma.align_recordings(spark.createDataFrame(list(enumerate(media)), "rec_id long, media binary"), most=most).collect()}
+    have = [k for k in want if want[k][2] is not None]
+    assert len(have) >= 30 and all(got[k].ref_id is None for k in want.keys() - set(have))
+    for k in have:  # what is found is a true alignment
+        if got[k].ref_id is not None:
+            o, n, e = plain_offset(own[got[k].ref_id], own[k])
+            assert (got[k].overlap, round(got[k].bit_error, 9)) == (n, round(e, 9)) and (abs(got[k].offset) == abs(o))
+    assert sum(got[k].ref_id is not None for k in have) >= 0.97 * len(have)
+    assert sum(got[k].ref_id == want[k][2] for k in have) >= 0.9 * len(have)
+
+
+def test_pairs_of_a_common_opening_grow_with_its_recordings(spark):
+    def pairs(n):
+        rng = np.random.default_rng(3)
+        opening = rng.integers(0, 2**32, 40, dtype=np.uint32)
+        rows = [(k, np.concatenate((opening, rng.integers(0, 2**32, 30, dtype=np.uint32))).astype("<u4").tobytes()) for k in range(n)]
+        return chroma.candidates(spark.createDataFrame(rows, "own long, prints binary"), most=8).count()
+
+    assert pairs(200) <= 2.2 * pairs(100) <= 2.2 * 2 * 100
 
 
 @pytest.mark.parametrize("name", ["op2_toxicity", "op9_ppm"])
