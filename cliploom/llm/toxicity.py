@@ -1,7 +1,7 @@
 """Toxicity of whole texts after noisy-channel deobfuscation.
 
-A writer who hides a word sends it through a channel: letters become look-alike digits or signs, letters repeat, and
-separators come between letters. For each suspicious token a lattice holds what every character may stand for, with the
+A writer who hides a word sends it through a channel: letters become look-alike digits, signs or letters of other scripts,
+letters repeat, and separators or combining marks come between letters. For each suspicious token a lattice holds what every character may stand for, with the
 channel's cost; a Viterbi search finds the restored word that a character trigram model likes best. The model is counted
 over all documents. Restored tokens are scored by rules, words or stems that are far more frequent in toxic texts,
 learned from labelled rows; near copies among these count once, so what a copied text holds besides is no evidence. A
@@ -11,6 +11,7 @@ text's score is one minus the chance that each of its rules is wrong.
 from __future__ import annotations
 
 import re
+import unicodedata
 import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
@@ -38,6 +39,8 @@ LONGEST = 64
 
 #: Letters that look-alikes stand for.
 LOOKALIKES = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "¡": "i", "¥": "y"}
+#: Latin letters that letters of other scripts look like.
+SCRIPTS = {"а": "a", "в": "b", "е": "e", "ё": "e", "і": "i", "ї": "i", "ј": "j", "к": "k", "м": "m", "н": "h", "о": "o", "р": "p", "с": "c", "ѕ": "s", "т": "t", "у": "uy", "х": "x", "ԁ": "d", "ո": "n", "α": "a", "β": "b", "ε": "e", "η": "n", "ι": "i", "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "τ": "t", "υ": "u", "χ": "x", "ı": "i", "ł": "l", "ø": "o"}
 SEPARATORS = ".-_*~·,'’`^=:;/\\ ​‌‍­"
 #: Costs in nats of the channel: a look-alike, a letter hidden by a star, a letter repeated in a run of three or more or
 #: of two, a separator, any other sign, and a space that ends a word of spaced letters.
@@ -88,6 +91,16 @@ def letter_model(docs: DataFrame) -> np.ndarray:
     return -np.log(p).astype(np.float32)
 
 
+def plain(text: str | None) -> str:
+    """Lowered; full-width, circled and other variants of ASCII characters as those."""
+    low = (text or "").lower()
+    return low if low.isascii() else low.translate(VARIANTS)
+
+
+#: By rule: what NFKC makes a single ASCII letter, digit or sign of, but for spaces.
+VARIANTS = {k: x for k in [*range(0x2100, 0x2140), *range(0x2460, 0x2500), *range(0xFF01, 0xFF5F), *range(0x1D400, 0x1D800)] if len(x := unicodedata.normalize("NFKC", chr(k)).lower()) == 1 and x.isascii() and x != " "}
+
+
 def lattice(token: str, breaks: bool = False) -> list[list[tuple[str, float]]]:
     """What each character may stand for, with its cost; the empty string drops it, a space ends a word.
 
@@ -99,6 +112,8 @@ def lattice(token: str, breaks: bool = False) -> list[list[tuple[str, float]]]:
         long = again and (token[k - 2 : k - 1] == c and k > 1 or token[k + 1 : k + 2] == c)
         if c.isalpha():
             options = [(c, 0.0)]
+            if c > "z":
+                options += [(x, SUBSTITUTED) for x in SCRIPTS.get(c, "")]
         elif c == " ":
             options = [("", SEPARATED), (" ", ENDED)]
         elif c == "*":
@@ -106,7 +121,7 @@ def lattice(token: str, breaks: bool = False) -> list[list[tuple[str, float]]]:
         elif c in LOOKALIKES:
             options = [(x, SUBSTITUTED) for x in LOOKALIKES[c]] + [("", DROPPED)]
         else:
-            options = [("", SEPARATED if c in SEPARATORS else DROPPED)]
+            options = [("", SEPARATED if c in SEPARATORS or unicodedata.combining(c) else DROPPED)]
         if breaks and c in SEPARATORS and c != " ":
             options.append((" ", ENDED))
         if again and options[0][0]:
@@ -182,7 +197,7 @@ def _restored(model):
         for batch in batches:
             out = []
             for text in batch.column(1).to_pylist():
-                low = (text or "").lower()
+                low = plain(text)
                 words = set()
                 for token in set(low.split()):
                     words.update(restorer.words(token))
@@ -284,7 +299,7 @@ def _scored(model, rules: dict[str, float], base: float):
         for batch in batches:
             scores, why = [], []
             for text in batch.column(2).to_pylist():
-                low = (text or "").lower()
+                low = plain(text)
                 met = set()
                 for x in map(found.__getitem__, set(low.split())):
                     met.update(x)
@@ -306,7 +321,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, c
     Learns from labels (doc_id, toxic) of rows where crc32(doc_id as text) mod 3 is not 1; held_out says that it is. Null
     labels and null doc_ids are not learned from; a document with both labels counts once under each. A null text is empty;
     a text without rules has the share of toxic ones among such. Without labels every score is 0. Rows stay one for one, other
-    columns are ignored, and an empty table gives no rows.
+    columns are ignored, and an empty table gives no rows. Texts, tokens and spaced words of any length are read whole. A
+    text that stands twice scores the same twice; of decodings of equal cost (up to LONGEST characters) the first by spelling wins.
     """
     spark = docs.sparkSession
     ensure_importable(spark)

@@ -6,6 +6,7 @@ import wave
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from cliploom.llm import chroma, licenses, ppm, toxicity
@@ -123,6 +124,28 @@ def test_toxicity_decodes_long_matches(spark):
     assert [got[5000 + k].predicted for k in range(len(extra))] == [1] * len(hidden) + [0] * len(clean)
 
 
+def test_look_alikes_of_other_scripts():
+    rng = np.random.default_rng(0)
+    words = ["scoundrel", "blackguard", "villain", "house", "garden", "window", "\u0434\u043e\u043c", "\u0441\u0430\u0434", "\u0441\u043e\u0440"]
+    text = " ".join(rng.choice(words, 4000))
+    rows = next(toxicity._trigrams(iter([pa.RecordBatch.from_arrays([pa.array([text])], ["text"])])))
+    count = np.zeros(toxicity.CLASSES**3)
+    count[rows["gram"].to_numpy()] = rows["n"].to_numpy()
+    model = -np.log((count.reshape((toxicity.CLASSES,) * 3) + 0.01) / (count.reshape((toxicity.CLASSES,) * 3).sum(axis=2, keepdims=True) + 0.64)).astype(np.float32)
+    restorer = toxicity.Restorer(model)
+    for hidden in ("sc\u043eundr\u0435l", "\u0455\u0441oundrel", "s\u0336c\u0336oundrel", toxicity.plain("\uff33\uff43ound\uff52el"), "s.c.\u043e.u.n.d.r.\u0435.l"):
+        assert "scoundrel" in restorer.words(hidden), hidden
+    assert "\u0441\u043e\u0440" in restorer.words("\u0441\u043e\u0440")
+    assert toxicity.plain("\u24b6\uff41 \u00c9") == "aa \u00e9" and toxicity.plain(None) == ""
+
+
+def test_toxicity_ties_and_repeats(spark):
+    texts, labels = labelled(spark)
+    extra = [(9000, texts[0][1], "en", 0.0), (9000, texts[0][1], "en", 0.0), (9001, texts[0][1] + " " + "word " * 60000, "en", 0.0)]
+    got = toxicity.toxicity(spark.createDataFrame(texts + extra, DOCS), spark.createDataFrame(labels + labels, "doc_id long, quality int, toxic int")).where("doc_id >= 9000").collect()
+    assert len(got) == 3 and len({(r.score, tuple(r.rules)) for r in got if r.doc_id == 9000}) == 1 and set(got[0].rules) <= set(next(r.rules for r in got if r.doc_id == 9001))
+
+
 def test_toxicity_edges(spark):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert [r.score for r in toxicity.toxicity(spark.createDataFrame([(1, "a", None, 0.0), (None, None, None, 0.0)], DOCS), none).collect()] == [0.0, 0.0]
