@@ -8,8 +8,8 @@ shingles they share one of their first n - ceil(alike * n) + 1: no pair is misse
 in a bounded sample last, which keeps lists short; it has no influence on the result. Equal sets stand as one.
 
 In long lists members are first compared with one leader, over rounds of other leaders as long as many pairs are open and rounds close a fifth of them; then all pairs of a list that
-no link joins yet are candidates, long lists in tiles. Bounds on what they can have in common drop most: from sizes and
-places in the lists, then from a sketch of each set, the number of its shingles in each of CELLS ranges of hashes (two sets
+no link joins yet are candidates, long lists in tiles. Bounds on what they can have in common drop most: from sizes,
+places in the lists and how many lists they are in, then from a sketch of each set, the number of its shingles in each of CELLS ranges of hashes (two sets
 share no more than the lesser number in each). Neither drops a pair that is alike; every link is verified on the whole sets.
 """
 
@@ -176,29 +176,85 @@ def _open_pairs(entries: DataFrame) -> int:
     return lists.agg(F.sum((F.col("c") * F.col("c") - F.col("same")).cast("decimal(38,0)"))).first()[0] or 0
 
 
-def _pairs(entries: DataFrame, alike: float, tile: int, long: int) -> DataFrame:
-    """(a, b): pairs of a list whose roots differ; lists over `tile` members are compared tile by tile.
+def _needed(alike: float, x: str, y: str) -> Column:
+    """Shingles that the prefixes of two sets must share: what they need in common less all that follows the shorter prefix."""
+    rest = lambda side: F.ceil(F.col(f"{side}n") * alike - 1e-9) - 1
+    return (F.col(f"{x}n") + F.col(f"{y}n")) * (alike / (1 + alike)) - F.greatest(rest(x), rest(y)) - 1e-6
+
+
+def _met(alike: float):
+    """Sorted rows of tiles to pairs (a, b) that all bounds let be alike, each in the first long list that both are in."""
+
+    def solve(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        n, pos, root, node, short, side = (t[c].to_numpy() for c in ("n", "pos", "root", "node", "short", "side"))
+        key, lists = t["key"][0].as_py(), [np.asarray(x) for x in t["lists"].to_pylist()]
+        flat, sizes = np.concatenate(lists), np.array([len(x) for x in lists])
+        names, at = np.unique(flat, return_inverse=True)
+        row = np.repeat(np.arange(len(n)), sizes)
+        has, before = np.zeros((len(n), len(names)), np.float32), np.zeros((len(n), len(names)), np.float32)
+        has[row, at] = 1
+        place = np.array([int(np.flatnonzero(x == key)[0]) for x in lists])
+        early = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes) < place[row]
+        before[row[early], at[early]] = 1
+        rest = np.ceil(n * alike - 1e-9) - 1
+        cells = [np.frombuffer(x, "<u2").astype(np.int64) if x else None for x in t["sketch"].to_pylist()]
+        left, right = np.flatnonzero(side != 2), np.flatnonzero(side != 1)
+        same = bool((side == 0).all())
+        for start in range(0, len(left), 256):
+            x = left[start : start + 256]
+            need = (n[x][:, None] + n[right][None, :]) * (alike / (1 + alike))
+            may = (before[x] @ before[right].T == 0) & (root[x][:, None] != root[right][None, :])
+            if same:
+                may &= x[:, None] < right[None, :]
+            may &= np.minimum(pos[x][:, None], pos[right][None, :]) + np.minimum((n - pos)[x][:, None], (n - pos)[right][None, :]) >= need - 1e-6
+            may &= has[x] @ has[right].T + np.minimum(short[x][:, None], short[right][None, :]) >= need - np.maximum(rest[x][:, None], rest[right][None, :]) - 1e-6
+            i, j = np.nonzero(may)
+            need, i, j = need[i, j], x[i], right[j]
+            keep = np.array([a is None or b is None or np.minimum(a, b).sum() >= m - 1e-6 for a, b, m in zip((cells[k] for k in i), (cells[k] for k in j), need, strict=True)], bool)
+            a, b = node[i[keep]], node[j[keep]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
-    In lists over `long` members a pair is met in the first such list of both only, where all of them are counted. What two
-    sets have in common is at most what their prefixes have, and the rest of either beyond the last shared shingle met.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        last = None
+        for batch in batches:
+            keys = np.stack([batch.column(c).to_numpy() for c in range(3)], 1)
+            cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
+            for at, end in zip([0, *cuts.tolist()], [*cuts.tolist(), len(keys)], strict=True):
+                if at == end:
+                    continue
+                if last is not None and last != tuple(keys[at].tolist()):
+                    yield from solve(pa.Table.from_batches(held))
+                    held = []
+                held.append(batch.slice(at, end - at))
+                last = tuple(keys[at].tolist())
+        if held:
+            yield from solve(pa.Table.from_batches(held))
+
+    return run
+
+
+def _pairs(entries: DataFrame, sketches: DataFrame, alike: float, tile: int, long: int) -> DataFrame:
+    """(a, b): pairs of a list whose roots differ and that the bounds let be alike.
+
+    A shingle that only one set has is in no list, so two sets share at most as many shingles of their prefixes as the
+    lesser of them has entries. In lists over `long` members a task counts what two sets share there, and looks at their
+    sketches, before it names a pair; lists over `tile` members are compared tile by tile.
     """
-    keep = ["key", "node", "n", "pos", "root"]
-    in_long = entries.where(F.col("c") > long)
-    lists = in_long.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("pos", "key"))).alias("l")).select("node", F.col("l.key").alias("lists"))
-    rows = in_long.join(lists, "node").select(*keep, "lists", F.ceil(F.col("c") / tile).cast("int").alias("g"))
+    kept = entries.groupBy("node").agg(F.count("*").alias("r"), F.count_if(F.col("c") <= long).alias("short"), F.sort_array(F.collect_list(F.when(F.col("c") > long, F.struct("pos", "key")))).alias("l"))
+    kept = stored(kept.select("node", "r", "short", F.col("l.key").alias("lists")), "near-kept")
+    rows = entries.where(F.col("c") > long).select("key", "node", "n", "pos", "root", F.ceil(F.col("c") / tile).cast("int").alias("g"))
+    rows = rows.join(kept.where(F.size("lists") > 0).join(sketches, "node").select("node", "short", "lists", "sketch"), "node")
     own = F.pmod(F.xxhash64("node"), F.col("g").cast("long")).cast("int")
-    tiles = F.transform(F.sequence(F.lit(0), F.col("g") - 1), lambda x: F.struct(F.least(x, F.col("own")).alias("i"), F.greatest(x, F.col("own")).alias("j")))
-    rows = rows.withColumn("own", own).withColumn("t", F.explode(tiles)).select(*keep, "lists", "own", "t.i", "t.j")
-    may = F.expr("x.root != y.root and x.node < y.node") & _possible(alike, F.col("x.n"), F.col("y.n"), _reach("x.", "y."))
-    both = F.array_intersect("x.lists", "y.lists")
-    x, y = rows.alias("x"), rows.alias("y")
-    met_long = x.join(y, F.expr("x.key = y.key and x.i = y.i and x.j = y.j and (x.i = x.j or x.own != y.own)") & may & (F.get(both, F.lit(0)) == F.col("x.key")))
-    x, y = (entries.where(F.col("c") <= long).select(*keep).alias(side) for side in "xy")
-    met = x.join(y, F.expr("x.key = y.key") & may)
-    found = lambda rows, count: rows.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.n").alias("n"), F.col("y.n").alias("m"), count.alias("both"), F.col("x.pos").alias("i"), F.col("y.pos").alias("j"))
-    met = found(met, F.lit(1)).union(found(met_long, F.size(both))).groupBy("a", "b", "n", "m").agg(F.sum("both").alias("both"), F.max("i").alias("i"), F.max("j").alias("j"))
-    most = F.col("both") + F.least(F.col("n") - F.col("i"), F.col("m") - F.col("j")) - 1
-    return met.where(_possible(alike, F.col("n"), F.col("m"), most)).select("a", "b")
+    tiles = F.transform(F.sequence(F.lit(0), F.col("g") - 1), lambda x: F.struct(F.least(x, F.col("own")).alias("i"), F.greatest(x, F.col("own")).alias("j"), F.when(x == F.col("own"), 0).when(F.col("own") < x, 1).otherwise(2).alias("side")))
+    rows = rows.withColumn("own", own).withColumn("t", F.explode(tiles)).select("key", "t.i", "t.j", "t.side", "node", "n", F.col("pos").cast("long"), "root", "short", "lists", "sketch")
+    rows = rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key", "i", "j").sortWithinPartitions("key", "i", "j")
+    met_long = rows.mapInArrow(_met(alike), "a long, b long")
+    few = entries.where(F.col("c") <= long).join(kept.select("node", "r"), "node").select("key", "node", "n", "pos", "root", "r")
+    x, y = few.alias("x"), few.alias("y")
+    may = F.expr("x.key = y.key and x.root != y.root and x.node < y.node") & _possible(alike, F.col("x.n"), F.col("y.n"), _reach("x.", "y.")) & (F.least("x.r", "y.r") >= _needed(alike, "x.", "y."))
+    met = x.join(y, may).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+    return met.union(met_long).distinct()
 
 
 def jaccard_groups(docs: DataFrame, alike: float = ALIKE, shingle: int = SHINGLE, tile: int = TILE, rounds: int = ROUNDS, distance: int = simhash.DISTANCE) -> DataFrame:
@@ -257,7 +313,7 @@ def jaccard_groups(docs: DataFrame, alike: float = ALIKE, shingle: int = SHINGLE
         links = links.union(verified(_led(now, alike, k)))
         roots = connected(links, "a", "b")
     now = entries.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    roots = connected(links.union(verified(_pairs(now, alike, tile, LONG))), "a", "b")
+    roots = connected(links.union(verified(_pairs(now, sketches, alike, tile, LONG))), "a", "b")
     roots = stored(nodes.join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root")), "near-roots")
     least = stored(roots.groupBy("root").agg(F.min("first").alias("component_id")), "near-least")
     return prints.select("doc_id", "node").join(roots.join(least, "root").select("node", "component_id"), "node")
