@@ -21,6 +21,8 @@ SLICE_BYTES = 1 << 20
 BATCH_ROWS = 256
 #: Bytes of one, about.
 BATCH_BYTES = 16 << 20
+#: Settings of the allocators of Python workers: what a pass frees goes back to the system at once.
+ALLOCATION = {"MALLOC_MMAP_THRESHOLD_": "1048576", "MALLOC_TRIM_THRESHOLD_": "1048576", "MALLOC_ARENA_MAX": "2", "ARROW_DEFAULT_MEMORY_POOL": "system"}
 
 
 def ensure_importable(spark: SparkSession) -> None:
@@ -32,6 +34,8 @@ def ensure_importable(spark: SparkSession) -> None:
     have = env.get("PYTHONPATH", "")
     if root not in have.split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (root, have) if x)
+    for name, value in ALLOCATION.items():
+        env.setdefault(name, value)
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -188,12 +192,10 @@ class Ranges:
         return out
 
 
-_powers: dict[tuple[int, int], np.ndarray] = {}
-
-
 def powers(base: int, n: int, modulus: int = 0) -> np.ndarray:
     """base**0, base**1, ... modulo 2**64 or a modulus under 2**32."""
-    have = _powers.get((base, modulus))
+    kept = resident("powers", dict)
+    have = kept.get((base, modulus))
     if have is None or len(have) < n:
         size = max(n, SLICE_BYTES + (1 << 17))
         have = np.full(size, base, np.uint64)
@@ -206,5 +208,5 @@ def powers(base: int, n: int, modulus: int = 0) -> np.ndarray:
         else:
             have = np.multiply.accumulate(have)
         if size <= SLICE_BYTES * 4:
-            _powers[base, modulus] = have
+            kept[base, modulus] = have
     return have[:n]

@@ -303,8 +303,10 @@ def jaccard_groups(docs: DataFrame, alike: float = ALIKE, shingle: int = SHINGLE
     few = FEW * entries.count()
     links = verified(_fingerprinted(once.select("node", "fp"), distance))
     roots = connected(links, "a", "b")
-    before = None
+    before = now = None
     for k in range(rounds):
+        if now is not None:
+            discard(now)
         now = stored(long.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "near-rooted")
         pairs = int(_open_pairs(now))
         if pairs <= few or before and pairs > 0.8 * before:
@@ -312,8 +314,13 @@ def jaccard_groups(docs: DataFrame, alike: float = ALIKE, shingle: int = SHINGLE
         before = pairs
         links = links.union(verified(_led(now, alike, k)))
         roots = connected(links, "a", "b")
+    if now is not None:
+        discard(now)
+    discard(long)
     now = entries.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    roots = connected(links.union(verified(_pairs(now, sketches, alike, tile, LONG))), "a", "b")
+    links = links.union(verified(_pairs(now, sketches, alike, tile, LONG)))
+    discard(entries, sketches)
+    roots = connected(links, "a", "b")
     roots = stored(nodes.join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root")), "near-roots")
     least = stored(roots.groupBy("root").agg(F.min("first").alias("component_id")), "near-least")
     return prints.select("doc_id", "node").join(roots.join(least, "root").select("node", "component_id"), "node")
