@@ -21,8 +21,8 @@ SLICE_BYTES = 1 << 20
 BATCH_ROWS = 256
 #: Bytes of one, about.
 BATCH_BYTES = 16 << 20
-#: Settings of the allocators of Python workers: what a pass frees goes back to the system at once.
-ALLOCATION = {"MALLOC_MMAP_THRESHOLD_": "1048576", "MALLOC_TRIM_THRESHOLD_": "1048576", "MALLOC_ARENA_MAX": "2", "ARROW_DEFAULT_MEMORY_POOL": "system"}
+#: Settings of the allocators of Python workers: large arrays that a pass frees go back to the system at once.
+ALLOCATION = {"MALLOC_MMAP_THRESHOLD_": "8388608", "MALLOC_TRIM_THRESHOLD_": "33554432", "MALLOC_ARENA_MAX": "2", "ARROW_DEFAULT_MEMORY_POOL": "system"}
 
 
 def ensure_importable(spark: SparkSession) -> None:

@@ -65,13 +65,26 @@ TABLE = np.array([letter_class(chr(k)) for k in range(0x250)] + [OTHER], np.int6
 
 def _trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(CLASSES**3, np.int64)
+
+    def count(parts: list[str]) -> None:
+        """Trigrams within each part, all parts in one pass."""
+        x = TABLE[np.minimum(np.frombuffer("".join(parts).encode("utf-32-le", "surrogatepass"), np.uint32), 0x250)]
+        grams = (x[:-2] * CLASSES + x[1:-1]) * CLASSES + x[2:]
+        ends = np.cumsum([len(p) for p in parts])[:-1]  # the two that begin before an end go beyond it
+        np.add(total, np.bincount(np.delete(grams, np.concatenate((ends - 2, ends - 1))), minlength=CLASSES**3), out=total)
+
     for batch in batches:
+        parts, size = [], 0
         for text in batch.column(0):
             text = text.as_py() or ""
             for at in range(0, len(text), 1 << 20):  # chunks overlap by two characters
-                part = f"\n\n{text[:1 << 20]}\n" if not at else text[at - 2 : at + (1 << 20)] + "\n"
-                x = TABLE[np.minimum(np.frombuffer(part.lower().encode("utf-32-le", "surrogatepass"), np.uint32), 0x250)]
-                total += np.bincount((x[:-2] * CLASSES + x[1:-1]) * CLASSES + x[2:], minlength=CLASSES**3)
+                parts.append((f"\n\n{text[:1 << 20]}\n" if not at else text[at - 2 : at + (1 << 20)] + "\n").lower())
+                size += len(parts[-1])
+                if size >= 1 << 20:
+                    count(parts)
+                    parts, size = [], 0
+        if parts:
+            count(parts)
     k = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(total[k])], ["gram", "n"])
 
@@ -94,11 +107,12 @@ def letter_model(docs: DataFrame) -> np.ndarray:
 def plain(text: str | None) -> str:
     """Lowered; full-width, circled and other variants of ASCII characters as those."""
     low = (text or "").lower()
-    return low if low.isascii() else low.translate(VARIANTS)
+    return low.translate(VARIANTS) if not low.isascii() and VARIANT.search(low) else low
 
 
 #: By rule: what NFKC makes a single ASCII letter, digit or sign of, but for spaces.
 VARIANTS = {k: x for k in [*range(0x2100, 0x2140), *range(0x2460, 0x2500), *range(0xFF01, 0xFF5F), *range(0x1D400, 0x1D800)] if len(x := unicodedata.normalize("NFKC", chr(k)).lower()) == 1 and x.isascii() and x != " "}
+VARIANT = re.compile("[" + "".join(map(chr, VARIANTS)) + "]")
 
 
 def lattice(token: str, breaks: bool = False) -> list[list[tuple[str, float]]]:
