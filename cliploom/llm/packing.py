@@ -14,8 +14,10 @@ import re
 import zlib
 from array import array
 from collections.abc import Iterator
+from itertools import chain, filterfalse
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 from pyspark import SparkFiles, TaskContext
 from pyspark.sql import DataFrame
@@ -28,6 +30,10 @@ SIZE = 2048
 OPEN = 32
 END = 1
 REMEMBERED = 400_000
+#: Characters of text whose pieces are held at once (a longer text is held whole).
+GROUP = 1 << 16
+#: Pieces that the tokenizer meets at once, and the fixed mark of a token that ends a word.
+LINE, WORD_END = 64, "</w>"
 #: Sequence ids of one partition.
 PER_PARTITION = 1 << 40
 
@@ -51,14 +57,42 @@ class Words:
         self.tokenizer = Tokenizer.from_file(path)
         self.chunks = re.compile(r"[^ \t\n\r]+")
         self.ids: dict[str, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith(WORD_END)]] = True
+
+    def _learn(self, pieces: list[str]) -> None:
+        """Ids of new pieces, LINE of them to a line: a space parts pieces, and the last token of each, and no other, ends a word."""
+        lines = [pieces[k : k + LINE] for k in range(0, len(pieces), LINE)]
+        for line, e in zip(lines, self.tokenizer.encode_batch_fast([" ".join(x) for x in lines], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, np.uint32)
+            ends = (np.flatnonzero(self.ends[ids]) * 4 + 4).tolist()
+            raw = ids.tobytes()
+            self.ids.update(zip(line, map(raw.__getitem__, map(slice, [0, *ends], ends)), strict=True))
 
     def encode_all(self, texts: list[str]) -> Iterator[bytes]:
-        found = [self.chunks.findall(x) if ODD.search(x) else PIECES.findall(x.lower()) for x in texts]
+        """Ids of each text; GROUP characters of them at once, so that their pieces stay in the processor's cache."""
+        at, held = 0, 0
+        for k, x in enumerate(texts):
+            held += len(x)
+            if held >= GROUP:
+                yield from self._encode(texts[at : k + 1])
+                at, held = k + 1, 0
+        yield from self._encode(texts[at:])
+
+    def _encode(self, texts: list[str]) -> Iterator[bytes]:
+        odd = ["<|" in x if x.isascii() else ODD.search(x) is not None for x in texts]
+        found = [self.chunks.findall(x) if o else PIECES.findall(x.lower()) for x, o in zip(texts, odd, strict=True)]
         if len(self.ids) > REMEMBERED:
             self.ids.clear()
-        new = list(set().union(*found).difference(self.ids))
-        for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.ids[w] = array("I", e.ids).tobytes()
+        for kind in (False, True):
+            new = set(filterfalse(self.ids.__contains__, chain.from_iterable(x for x, o in zip(found, odd, strict=True) if o is kind)))
+            if kind:
+                new = list(new)
+                for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
+                    self.ids[w] = array("I", e.ids).tobytes()
+            else:
+                self._learn(list(new))
         for pieces in found:
             yield b"".join(map(self.ids.__getitem__, pieces))
 
