@@ -144,10 +144,19 @@ def lattice(token: str, breaks: bool = False) -> list[list[tuple[str, float]]]:
     return out
 
 
+#: Letters of which none stands twice in a row have one path through their lattice.
+ONE_PATH = re.compile(r"(?:([a-z])(?!\1))*")
+
+
 def decode(token: str, model: np.ndarray, breaks: bool = False) -> str:
     """The restored word of least cost: Viterbi over the last two letters, with back pointers, so linear in the length."""
+    if ONE_PATH.fullmatch(token):
+        return token
+    steps = lattice(token, breaks)
+    if max(map(len, steps), default=0) < 2:  # a single path
+        return "".join(options[0][0] for options in steps)
     best: dict[tuple[int, int], tuple[float, tuple | None]] = {(EDGE, EDGE): (0.0, None)}
-    for options in lattice(token, breaks):
+    for options in steps:
         now: dict[tuple[int, int], tuple[float, tuple | None]] = {}
         for (a, b), (cost, back) in best.items():
             for c, own in options:
