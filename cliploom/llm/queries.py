@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chroma, licenses, line_dedup, packing, pivots, ppm, simhash, suffix_dedup, toxicity
+from . import bpe, chroma, conversation_trie, divergence, licenses, line_dedup, packing, pivots, ppm, simhash, suffix_dedup, toxicity, url_filter
 
 BPE_FILE = "byte_bpe_multi_50k.tiktoken"
 WORD_FILE = "word_bpe_49k.json"
@@ -65,6 +65,30 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_scan(docs.select("doc_id", path.alias("path"), "text"))
 
 
+#: Rules of the query, and names of hosts that are blocked wherever no rule fits.
+RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
+LISTED = ("adult-x", "ads-track", "casino-win", "cheap-pills", "free-bets", "spam-farm")
+ZONES = ("example.com", "example.net", "example.org")
+
+
+def url_lists(spark: SparkSession) -> DataFrame:
+    rows = [*RULES, *((f"{name}.{zone}", "listed") for name in LISTED for zone in ZONES)]
+    return spark.range(1).select(F.explode(F.array(*(F.struct(F.lit(k).alias("key"), F.lit(v).alias("list")) for k, v in rows))).alias("x")).select("x.*")
+
+
+def op11_url_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.url_filter(table(spark, sf_dir, "pages"), url_lists(spark))
+
+
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(table(spark, sf_dir, "documents"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = conversation_trie.numbered_turns(table(spark, sf_dir, "conversations"))
+    return conversation_trie.prefix_trie(*conversation_trie.grafted(turns)).drop("name", "parent")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_suffix_dedup": op1_suffix_dedup,
@@ -77,6 +101,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_chroma": op8_chroma,
         "op9_ppm": op9_ppm,
         "op10_licenses": op10_licenses,
+        "op11_url_cascade": op11_url_cascade,
+        "op12_divergence": op12_divergence,
+        "op13_prefix_trie": op13_prefix_trie,
     }
 
 
@@ -139,5 +166,79 @@ LEFT JOIN nearest n ON regexp_extract(d.path, '^(.*)/[^/]*$', 1) = n.folder
 """
 
 
+ALPHABET = f"'{url_filter.UPPER}', '{url_filter.LOWER}'"
+
+URLS = f"""
+WITH p AS (
+  SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), {ALPHABET}) AS host, coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages
+),
+rules(rule, h, p, verdict) AS (VALUES {", ".join(f"('{k}', '{k.partition('/')[0]}', '/{k.partition('/')[2]}', '{v}')" for k, v in RULES)}),
+listed(h) AS (VALUES {", ".join(f"('{name}.{zone}')" for name in LISTED for zone in ZONES)}),
+hosts AS (
+  SELECT DISTINCT host, EXISTS (SELECT 1 FROM listed WHERE host = h OR ends_with(host, '.' || h)) AS bad FROM p
+),
+fits AS (
+  SELECT host, path, arg_max(rule, length(rule)) AS rule, arg_max(verdict, length(rule)) AS verdict
+  FROM (SELECT DISTINCT host, path FROM p) u JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY host, path
+)
+SELECT page_id, p.host, p.path, rule, coalesce(verdict, CASE WHEN bad THEN 'block' ELSE 'allow' END) AS verdict
+FROM p LEFT JOIN fits ON p.host = fits.host AND p.path = fits.path JOIN hosts ON p.host = hosts.host
+"""
+
+DIVERGENCE = f"""
+WITH d AS (SELECT coalesce(text, '') AS text, coalesce(lang, '') AS lang, coalesce(source, '') AS source, row_number() OVER () AS r FROM documents),
+t AS (SELECT r, lang, source, unnest(regexp_extract_all(translate(text, {ALPHABET}), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+kept AS (SELECT lang, term FROM t GROUP BY lang, term HAVING count(DISTINCT r) >= {divergence.LEAST}),
+g AS (SELECT DISTINCT lang, source FROM d),
+v AS (SELECT l.lang, count(k.term) AS v FROM (SELECT DISTINCT lang FROM d) l LEFT JOIN kept k ON l.lang = k.lang GROUP BY l.lang),
+c AS (SELECT lang, source, term, count(*) AS n FROM t JOIN kept USING (lang, term) GROUP BY ALL),
+cells AS (SELECT g.lang, g.source, k.term, coalesce(n, 0) AS n FROM g JOIN kept k ON g.lang = k.lang LEFT JOIN c ON g.lang = c.lang AND g.source = c.source AND k.term = c.term),
+own AS (SELECT lang, source, term, n, 1 + CAST({divergence.SCALE} AS HUGEINT) * (n + 1) // (sum(n) OVER (PARTITION BY lang, source) + v) AS p FROM cells JOIN v USING (lang)),
+whole AS (SELECT lang, term, 1 + CAST({divergence.SCALE} AS HUGEINT) * (n + 1) // (sum(n) OVER (PARTITION BY lang) + v) AS q FROM (SELECT lang, term, sum(n) AS n FROM cells GROUP BY lang, term) JOIN v USING (lang)),
+paid AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value FROM own a JOIN own b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pairs AS (SELECT a.lang, a.source, b.source AS item, coalesce(value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN paid p ON a.lang = p.lang AND a.source = p.source AND b.source = p.item),
+terms AS (SELECT lang, source, term AS item, (p - q) * (p - q) // q AS value FROM own JOIN whole USING (lang, term) WHERE n > 0 AND p > q),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank
+  FROM (SELECT lang, source, 'pair' AS part, item, value FROM pairs UNION ALL SELECT lang, source, 'term', item, value FROM terms)
+)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM ranked WHERE part = 'pair' OR rank <= {divergence.RANKS}
+"""
+
+#: crc32 goes bit by bit over the decimal number; a node's name strings the digests of its turns together.
+TRIE = r"""
+WITH RECURSIVE t AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS pos
+  FROM conversations WHERE conv_id IS NOT NULL
+),
+crc(conv_id, s, i, v) AS (
+  SELECT DISTINCT conv_id, CAST(conv_id AS VARCHAR), 0, CAST(4294967295 AS BIGINT) FROM t
+  UNION ALL
+  SELECT conv_id, s, i + 1, xor(x >> 1, 3988292384 * (x & 1)) FROM (SELECT *, CASE WHEN i % 8 = 0 THEN xor(v, CAST(ascii(s[i // 8 + 1]) AS BIGINT)) ELSE v END AS x FROM crc WHERE i < 8 * length(s))
+),
+n AS (SELECT conv_id, count(*) AS n FROM t GROUP BY conv_id),
+c AS (
+  SELECT crc.conv_id, xor(v, 4294967295) % 4 AS h, crc.conv_id - crc.conv_id % 20 AS base, n, least(xor(v, 4294967295) % 4, coalesce(n_base, 0)) AS taken
+  FROM crc JOIN n ON crc.conv_id = n.conv_id LEFT JOIN (SELECT conv_id AS base, n AS n_base FROM n) b ON b.base = crc.conv_id - crc.conv_id % 20 WHERE i = 8 * length(s)
+),
+turns AS (
+  SELECT c.conv_id, pos - h + taken + 1 AS depth, role, text FROM c JOIN t ON t.conv_id = c.conv_id AND pos >= h
+  UNION ALL SELECT c.conv_id, pos + 1, role, text FROM c JOIN t ON t.conv_id = c.base AND pos < taken
+),
+m AS (
+  SELECT conv_id, depth, string_agg(sha256(strlen(role) || ':' || role || text), '') OVER (PARTITION BY conv_id ORDER BY depth) AS name, len(regexp_extract_all(text, '[^ 	-]+')) AS words FROM turns
+  UNION ALL SELECT conv_id, 0, '', 0 FROM c
+),
+sizes AS (SELECT conv_id, max(depth) AS n FROM m GROUP BY conv_id),
+nodes AS (SELECT name, depth, min(m.conv_id) AS conv_id, count(*) AS n_convs, any_value(words) AS words, coalesce(string_agg(CAST(m.conv_id AS VARCHAR), ',' ORDER BY m.conv_id) FILTER (n = depth), '') AS ends FROM m JOIN sizes ON m.conv_id = sizes.conv_id GROUP BY name, depth),
+edges AS (SELECT u.name, m.name AS parent FROM nodes u JOIN m ON m.conv_id = u.conv_id AND m.depth = u.depth - 1),
+kids AS (SELECT parent AS name, count(*) AS n_children FROM edges GROUP BY parent),
+own AS (SELECT u.*, coalesce(n_children, 0) AS n_children, (n_convs - 1) * words AS saved FROM nodes u LEFT JOIN kids USING (name)),
+sums AS (SELECT m.name, count(*) FILTER (n_children = 0) AS n_leaves, sum(saved) AS saved FROM own u JOIN m ON m.conv_id = u.conv_id AND m.depth <= u.depth GROUP BY m.name)
+SELECT u.conv_id, u.depth, p.conv_id AS parent_conv_id, u.n_convs, u.n_children, n_leaves, CAST(sums.saved AS BIGINT) AS saved_tokens, sha256(u.ends) AS ends_sha256
+FROM own u JOIN sums ON u.name = sums.name LEFT JOIN edges ON edges.name = u.name LEFT JOIN nodes p ON p.name = edges.parent
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_line_dedup": LINE_DEDUP, "op10_licenses": LICENSES}
+    return {"op5_line_dedup": LINE_DEDUP, "op10_licenses": LICENSES, "op11_url_cascade": URLS, "op12_divergence": DIVERGENCE, "op13_prefix_trie": TRIE}
