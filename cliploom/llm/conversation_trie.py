@@ -78,7 +78,8 @@ def _block_names(whole: DataFrame) -> DataFrame:
         before = now.select("conv_id", (F.col("block") + span).alias("block"), F.col("name").alias("earlier"))
         joined = now.join(before, ["conv_id", "block"], "left")
         after = stored(joined.select("conv_id", "block", F.when(F.col("earlier").isNull(), F.col("name")).otherwise(_digest(F.lit(SPAN), "earlier", "name")).alias("name")), "block-names")
-        discard(now)
+        if now is not whole:
+            discard(now)
         now, span = after, 2 * span
     return now
 
