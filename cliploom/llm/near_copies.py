@@ -37,6 +37,8 @@ CELLS = 256
 #: Most rounds of leaders before all pairs, members of the lists that take part, open pairs for each entry of any list that
 #: make an end of rounds.
 ROUNDS, LONG, FEW = 8, 64, 4
+#: Entries of a tile, about: lists of long texts are cut into more tiles. Rows of a name that count pair by pair; cells of a pass.
+ENTRIES, LIGHT, CHUNK = 1 << 20, 48, 1 << 20
 #: Most document numbers that are broadcast.
 BROADCAST = 1 << 17
 #: Documents of the sample, how many of them hold a common shingle, most common shingles kept.
@@ -182,32 +184,63 @@ def _needed(alike: float, x: str, y: str) -> Column:
     return (F.col(f"{x}n") + F.col(f"{y}n")) * (alike / (1 + alike)) - F.greatest(rest(x), rest(y)) - 1e-6
 
 
+def shared(row: np.ndarray, name: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """How many names each row of `left` shares with each of `right`, of entries (row, name).
+
+    Names of a few rows add to their pairs one by one, those of many rows as products of chunks; names of one row add
+    nothing (a row is not compared with itself). Beside the entries this holds the counts of the pairs and one chunk.
+    """
+    out = np.zeros((len(left), len(right)), np.int32)
+    if not len(name):
+        return out
+    n_rows = int(row.max()) + 1
+    of_left, of_right = np.full(max(n_rows, left.max() + 1, right.max() + 1), -1), np.full(max(n_rows, left.max() + 1, right.max() + 1), -1)
+    of_left[left], of_right[right] = np.arange(len(left)), np.arange(len(right))
+    order = np.argsort(name, kind="stable")
+    row, name = row[order], name[order]
+    starts = np.flatnonzero(np.concatenate(([True], name[1:] != name[:-1])))
+    sizes = np.diff(np.append(starts, len(name)))
+    for c in np.unique(sizes[(sizes > 1) & (sizes <= LIGHT)]).tolist():
+        own, step = starts[sizes == c], max(1, CHUNK // (c * c))
+        for at in range(0, len(own), step):
+            rows = row[own[at : at + step, None] + np.arange(c)]
+            a, b = of_left[rows][:, :, None], of_right[rows][:, None, :]
+            cell = (a * len(right) + b)[(a >= 0) & (b >= 0)]
+            out += np.bincount(cell, minlength=out.size).reshape(out.shape).astype(np.int32)
+    many = np.flatnonzero(sizes > LIGHT)
+    step = max(1, CHUNK // len(of_left))
+    for at in range(0, len(many), step):
+        x = many[at : at + step]
+        has = np.zeros((len(of_left), len(x)), np.float32)
+        for k, m in enumerate(x):
+            has[row[starts[m] : starts[m] + sizes[m]], k] = 1
+        out += (has[left] @ has[right].T).astype(np.int32)
+    return out
+
+
 def _met(alike: float):
     """Sorted rows of tiles to pairs (a, b) that all bounds let be alike, each in the first long list that both are in."""
 
     def solve(t: pa.Table) -> Iterator[pa.RecordBatch]:
         n, pos, root, node, short, side = (t[c].to_numpy() for c in ("n", "pos", "root", "node", "short", "side"))
-        key, lists = t["key"][0].as_py(), [np.asarray(x) for x in t["lists"].to_pylist()]
-        flat, sizes = np.concatenate(lists), np.array([len(x) for x in lists])
-        names, at = np.unique(flat, return_inverse=True)
-        row = np.repeat(np.arange(len(n)), sizes)
-        has, before = np.zeros((len(n), len(names)), np.float32), np.zeros((len(n), len(names)), np.float32)
-        has[row, at] = 1
-        place = np.array([int(np.flatnonzero(x == key)[0]) for x in lists])
+        key, lists = t["key"][0].as_py(), t["lists"].combine_chunks()
+        sizes, flat = lists.value_lengths().to_numpy(), lists.flatten().to_numpy()
+        row = np.repeat(np.arange(len(n), dtype=np.int32), sizes)
+        place = np.flatnonzero(flat == key) - (np.cumsum(sizes) - sizes)  # once in each row
         early = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes) < place[row]
-        before[row[early], at[early]] = 1
         rest = np.ceil(n * alike - 1e-9) - 1
         cells = [np.frombuffer(x, "<u2").astype(np.int64) if x else None for x in t["sketch"].to_pylist()]
         left, right = np.flatnonzero(side != 2), np.flatnonzero(side != 1)
         same = bool((side == 0).all())
+        both, before = shared(row, flat, left, right), shared(row[early], flat[early], left, right)
         for start in range(0, len(left), 256):
             x = left[start : start + 256]
             need = (n[x][:, None] + n[right][None, :]) * (alike / (1 + alike))
-            may = (before[x] @ before[right].T == 0) & (root[x][:, None] != root[right][None, :])
+            may = (before[start : start + 256] == 0) & (root[x][:, None] != root[right][None, :])
             if same:
                 may &= x[:, None] < right[None, :]
             may &= np.minimum(pos[x][:, None], pos[right][None, :]) + np.minimum((n - pos)[x][:, None], (n - pos)[right][None, :]) >= need - 1e-6
-            may &= has[x] @ has[right].T + np.minimum(short[x][:, None], short[right][None, :]) >= need - np.maximum(rest[x][:, None], rest[right][None, :]) - 1e-6
+            may &= both[start : start + 256] + np.minimum(short[x][:, None], short[right][None, :]) >= need - np.maximum(rest[x][:, None], rest[right][None, :]) - 1e-6
             i, j = np.nonzero(may)
             need, i, j = need[i, j], x[i], right[j]
             keep = np.array([a is None or b is None or np.minimum(a, b).sum() >= m - 1e-6 for a, b, m in zip((cells[k] for k in i), (cells[k] for k in j), need, strict=True)], bool)
@@ -239,11 +272,14 @@ def _pairs(entries: DataFrame, sketches: DataFrame, alike: float, tile: int, lon
 
     A shingle that only one set has is in no list, so two sets share at most as many shingles of their prefixes as the
     lesser of them has entries. In lists over `long` members a task counts what two sets share there, and looks at their
-    sketches, before it names a pair; lists over `tile` members are compared tile by tile.
+    sketches, before it names a pair; lists over `tile` members, or whose members are in more than ENTRIES long lists in all,
+    are compared tile by tile.
     """
     kept = entries.groupBy("node").agg(F.count("*").alias("r"), F.count_if(F.col("c") <= long).alias("short"), F.sort_array(F.collect_list(F.when(F.col("c") > long, F.struct("pos", "key")))).alias("l"))
     kept = stored(kept.select("node", "r", "short", F.col("l.key").alias("lists")), "near-kept")
-    rows = entries.where(F.col("c") > long).select("key", "node", "n", "pos", "root", F.ceil(F.col("c") / tile).cast("int").alias("g"))
+    rows = entries.where(F.col("c") > long).select("key", "node", "n", "pos", "root", "c")
+    wide = rows.join(kept.select("node", F.size("lists").alias("k")), "node").groupBy("key").agg(F.sum("k").alias("e"))
+    rows = rows.join(wide, "key").withColumn("g", F.greatest(F.ceil(F.col("c") / tile), F.ceil(F.col("e") / ENTRIES)).cast("int")).drop("c", "e")
     rows = rows.join(kept.where(F.size("lists") > 0).join(sketches, "node").select("node", "short", "lists", "sketch"), "node")
     own = F.pmod(F.xxhash64("node"), F.col("g").cast("long")).cast("int")
     tiles = F.transform(F.sequence(F.lit(0), F.col("g") - 1), lambda x: F.struct(F.least(x, F.col("own")).alias("i"), F.greatest(x, F.col("own")).alias("j"), F.when(x == F.col("own"), 0).when(F.col("own") < x, 1).otherwise(2).alias("side")))

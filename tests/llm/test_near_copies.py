@@ -1,6 +1,7 @@
 """The pipeline's near copies against brute-force Jaccard."""
 
 import random
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -73,3 +74,31 @@ def test_sketches_drop_no_pair_that_is_alike():
         kept = next(near_copies._maybe(0.8)([rows]))["a"].to_pylist()
         assert kept[:2] == [1, 2] and (n != 300 or 3 not in kept)
     assert near_copies.sketch(np.arange(70000, dtype=np.uint64)) == b""
+
+
+def test_shared_counts_by_brute_force(monkeypatch):
+    rng = np.random.default_rng(5)
+    for light, chunk in ((48, 1 << 20), (3, 64), (0, 16)):
+        monkeypatch.setattr(near_copies, "LIGHT", light)
+        monkeypatch.setattr(near_copies, "CHUNK", chunk)
+        own = [np.unique(rng.integers(0, 30, rng.integers(0, 20))) for _ in range(40)]
+        row, name = np.repeat(np.arange(40), [len(x) for x in own]), np.concatenate(own)
+        for left, right in ((np.arange(40), np.arange(40)), (np.arange(0, 25), np.arange(25, 40)), (np.array([3, 30]), np.array([7]))):
+            got = near_copies.shared(row, name, left, right)
+            assert all(got[i, j] == len(np.intersect1d(own[a], own[b])) for i, a in enumerate(left) for j, b in enumerate(right) if a != b)
+    assert near_copies.shared(np.zeros(0, np.int32), np.zeros(0, np.int64), np.arange(2), np.arange(2)).tolist() == [[0, 0], [0, 0]]
+
+
+def test_a_tile_of_long_texts_takes_little_memory():
+    """2048 texts of 20,000 words in one list, each in 4000 long lists of 24 others: the tiles that ENTRIES allows."""
+    tile = near_copies.ENTRIES // 4000
+    rng = np.random.default_rng(6)
+    lists = [np.concatenate(([-1], np.unique(rng.integers(0, tile * 4000 // 24, 4000)))) for _ in range(2 * tile)]
+    side = np.repeat([1, 2], tile)
+    columns = {"key": np.full(2 * tile, -1), "i": np.zeros(2 * tile, int), "j": np.ones(2 * tile, int), "side": side, "node": np.arange(2 * tile), "n": np.full(2 * tile, 20000), "pos": np.zeros(2 * tile, int), "root": np.arange(2 * tile), "short": np.zeros(2 * tile, int)}
+    batch = pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in columns.values()), pa.array(lists, pa.list_(pa.int64())), pa.array([b""] * 2 * tile, pa.binary())], [*columns, "lists", "sketch"])
+    tracemalloc.start()
+    found = sum(x.num_rows for x in near_copies._met(0.8)([batch]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found == 0 and peak < 400e6
