@@ -30,12 +30,6 @@ OTHERS = ("lang", "source")
 PASSAGE, WINDOW = 200, 80
 #: Bits by which the shortest code of a text may be longer than its bytes.
 SLACK = 64
-#: Bytes of an array from which Python workers give its memory back at once: less than elsewhere, as one worker serves all stages.
-RETURNED = 1 << 20
-
-
-def _frugal(spark: SparkSession) -> None:
-    spark.sparkContext.environment["MALLOC_MMAP_THRESHOLD_"] = str(RETURNED)
 
 
 def _documents(df: DataFrame) -> DataFrame:
@@ -43,19 +37,16 @@ def _documents(df: DataFrame) -> DataFrame:
 
 
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    _frugal(spark)
     found = ppm.language_id(docs, carry=("text", "lang", "source", "n_chars")).where(F.col("lang_pred") != ppm.UNKNOWN)
     return found.where((F.col("rate") - 8) * F.octet_length("text") < SLACK).select(*COLUMNS)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    _frugal(spark)
     kept = line_dedup.line_dedup(docs, carry=OTHERS).where("kept != '' or n_removed = 0")
     return _documents(kept.withColumnRenamed("kept", "text"))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    _frugal(spark)
     docs = keyed(docs.select(*COLUMNS))
     first = jaccard.jaccard_groups(docs.select(F.col("key").alias("doc_id"), "text")).select("component_id").distinct()
     kept = docs.join(first, F.col("key") == F.col("component_id"), "left_semi")
@@ -63,13 +54,11 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    _frugal(spark)
     kept = suffix_dedup.suffix_dedup(docs, PASSAGE, WINDOW, carry=OTHERS).where("kept_text != '' or n_removed = 0")
     return _documents(kept.withColumnRenamed("kept_text", "text"))
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    _frugal(spark)
     return packing.pack(docs, public_tokenizers.path(WORD_FILE))
 
 
