@@ -19,6 +19,19 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(arabic_fold(text)), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
+#: A token as a text spells it, at the end of what is before and in it: diacritics may stand in it but not alone.
+SPELT = r"(?!\x{0640})[\p{L}\p{N}][\p{L}\p{N}\x{064B}-\x{0652}\x{0640}]*"
+LAST_TOKEN = f"({SPELT})$"
+
+
+def pieces(text: Column) -> Column:
+    """The text cut after each token: as many pieces as tokens() gives, each with what stands before its token; what follows the last is left out.
+
+    A capital I with a dot is two letters in lower case, of which one ends a token; it is taken apart first.
+    """
+    return F.regexp_extract_all(F.replace(text, F.lit("\u0130"), F.lit("i\u0307")), F.lit(rf"(?:[^\p{{L}}\p{{N}}]|\x{{0640}})*{SPELT}"), F.lit(0))
+
+
 def is_question(text: Column) -> Column:
     """A Latin or Arabic question mark."""
     return F.coalesce(text.rlike("[?؟]"), F.lit(False))

@@ -6,11 +6,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
+from . import phrases
+
+
+#: Most platform profiles.
+PROFILES = 1000
 
 
 def platform_plan(clips: DataFrame, profiles: DataFrame) -> DataFrame:
-    """Each clip for each platform, and whether it fits the platform's longest duration. profiles is a handful of rows."""
-    return clips.crossJoin(F.broadcast(profiles)).withColumn("fits", F.col("duration_ms") <= F.col("max_duration_ms"))
+    """Each clip for each platform, and whether it fits the platform's longest duration.
+
+    Profiles are a handful of rows and go with each clip as an array; more than PROFILES are refused.
+    """
+    rows = profiles.limit(PROFILES + 1).collect()
+    if len(rows) > PROFILES:
+        raise ValueError(f"more than {PROFILES} platform profiles")
+    own = [F.struct(*(F.lit(r[f.name]).cast(f.dataType).alias(f.name) for f in profiles.schema.fields)) for r in rows]
+    kind = f"array<{profiles.schema.simpleString()}>"
+    out = clips.withColumn("_p", F.explode(F.array(*own).cast(kind))).select(*clips.columns, "_p.*")
+    return out.withColumn("fits", F.col("duration_ms") <= F.col("max_duration_ms"))
 
 
 def variants(clips: DataFrame, templates: list[str], hooks: list[str]) -> DataFrame:
@@ -25,20 +39,23 @@ def export_manifest(clips: DataFrame, formats: tuple[str, ...] = ("mp4", "srt",
 
 
 #: Most words of a list that is sent to every task.
-LISTED = 100_000
+LISTED = phrases.LISTED
 
 
 def flags(texts: DataFrame, banned: DataFrame) -> DataFrame:
-    """(doc_id, word, hits): banned words found as whole tokens, not as parts of others.
+    """(doc_id, word, hits): banned words and phrases found as whole tokens that follow each other, not as parts of others.
 
-    A list of up to LISTED words is broadcast; only hits are shuffled then. Beyond that both sides meet by word, and tokens
-    are counted within their document first.
+    Entries of one word in a list of up to LISTED entries are broadcast and met without leaving the JVM; phrases go by a
+    trie or, in long lists, by their rarest token (operators.phrases).
     """
-    listed = banned.select(F.lower("word").alias("word")).distinct()
+    listed = phrases.normal(banned)
+    single, longer = listed.where(~F.contains("word", F.lit(" "))), listed.where(F.contains("word", F.lit(" ")))
     found = texts.select("doc_id", F.explode(tokens(F.col("text"))).alias("word"))
-    if listed.limit(LISTED + 1).count() <= LISTED:
-        return found.join(F.broadcast(listed), "word").groupBy("doc_id", "word").agg(F.count("*").alias("hits"))
-    return found.groupBy("doc_id", "word").agg(F.count("*").alias("hits")).join(listed, "word").select("doc_id", "word", "hits")
+    if single.limit(LISTED + 1).count() <= LISTED:
+        hits = found.join(F.broadcast(single), "word").groupBy("doc_id", "word").agg(F.count("*").alias("hits"))
+    else:
+        hits = found.groupBy("doc_id", "word").agg(F.count("*").alias("hits")).join(single, "word").select("doc_id", "word", "hits")
+    return hits if longer.isEmpty() else hits.unionByName(phrases.find(texts, longer, LISTED))
 
 
 def licensed(videos: DataFrame) -> DataFrame:

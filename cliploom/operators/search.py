@@ -2,28 +2,31 @@
 
 The index is two Parquet tables: postings (token, doc_id, tf, positions), ordered by token and document over its files, and
 lengths (doc_id, len). The statistics of the files lead a search to the row groups that hold its words, so texts are
-tokenized once, when the index is written, and never again.
+tokenized once, when the index is written, and never again. Columns named in `by` (a speaker, say) stand in the postings
+beside doc_id and order them before it, so that a search within one value reads its row groups only.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import text as texts
 from ..functions.text import tokens
+from ..storage import discard, stored
 
 #: Fixed values of the ranking formula.
 K1, B = 1.2, 0.75
 
 
-def postings(docs: DataFrame) -> DataFrame:
-    """(token, doc_id, tf, positions) of docs (doc_id, text); positions from 0, ascending.
+def postings(docs: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """(token, *by, doc_id, tf, positions) of docs (doc_id, text, *by); positions from 0, ascending.
 
-    One shuffle, by ranges of token and document, so that a token in most documents is spread over tasks.
+    One shuffle, by token and document, so that a token in most documents is spread over tasks.
     """
-    rows = docs.select("doc_id", F.posexplode(tokens(F.col("text"))).alias("pos", "token"))
-    own = rows.repartitionByRange("token", "doc_id").groupBy("token", "doc_id")
-    return own.agg(F.count("*").alias("tf"), F.array_sort(F.collect_list("pos")).alias("positions"))
+    rows = docs.select("doc_id", *by, F.posexplode(tokens(F.col("text"))).alias("pos", "token"))
+    return rows.groupBy("token", *by, "doc_id").agg(F.count("*").alias("tf"), F.array_sort(F.collect_list("pos")).alias("positions"))
 
 
 def lengths(docs: DataFrame) -> DataFrame:
@@ -31,8 +34,11 @@ def lengths(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.size(tokens(F.col("text"))).alias("len"))
 
 
-def write_index(docs: DataFrame, path: str) -> None:
-    postings(docs).sortWithinPartitions("token", "doc_id").write.mode("overwrite").parquet(f"{path}/postings")
+def write_index(docs: DataFrame, path: str, by: tuple[str, ...] = ()) -> None:
+    """The postings are stored before they are dealt by ranges, which looks at its input twice: texts are tokenized once."""
+    own, order = stored(postings(docs, by), "postings"), ("token", *by, "doc_id")
+    own.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").parquet(f"{path}/postings")
+    discard(own)
     lengths(docs).write.mode("overwrite").parquet(f"{path}/lengths")
 
 
@@ -89,3 +95,47 @@ def importance(index: DataFrame, sizes: DataFrame) -> DataFrame:
     n = sizes.agg(F.count("*").alias("n"))  # one row
     rows = frequencies(index).crossJoin(F.broadcast(n))
     return rows.select("token", "cf", "df", F.round(F.col("cf") * F.log((F.col("n") + 1) / (F.col("df") + 1)), 6).alias("importance"))
+
+
+def windows(index: DataFrame, words: list[str]) -> DataFrame:
+    """(doc_id, start, width): for each document with all of the words the shortest run of positions that holds them, of equal ones the first.
+
+    Positions of the words are merged in order; at each the latest place of every word so far is known, and the run from
+    the earliest of these to here is the shortest that ends here.
+    """
+    words = list(dict.fromkeys(words))
+    hits = index.where(F.col("token").isin(words)).select("doc_id", "token", F.explode("positions").alias("pos"))
+    so_far = W.partitionBy("doc_id").orderBy("pos").rowsBetween(W.unboundedPreceding, W.currentRow)
+    places = [F.last(F.when(F.col("token") == w, F.col("pos")), ignorenulls=True).over(so_far) for w in words]
+    met = hits.select("doc_id", "pos", *(c.alias(f"p{k}") for k, c in enumerate(places))).dropna()
+    start = F.least(*(f"p{k}" for k in range(len(words)))) if len(words) > 1 else F.col("p0")
+    runs = met.select("doc_id", start.alias("start"), (F.col("pos") - start + 1).alias("width"))
+    best = runs.groupBy("doc_id").agg(F.min(F.struct("width", "start")).alias("b"))
+    return best.select("doc_id", F.col("b.start").cast("long").alias("start"), F.col("b.width").cast("long").alias("width"))
+
+
+def passages(index: DataFrame, sizes: DataFrame, words: list[str]) -> DataFrame:
+    """(doc_id, start, width, score): shortest runs with a score: the words' rarity, times the share of the run that they fill; 6 places."""
+    words = list(dict.fromkeys(words))
+    dfs = index.where(F.col("token").isin(words)).groupBy("token").agg(F.count("*").alias("df"))
+    n = sizes.agg(F.count("*").alias("n"))  # one row
+    rarity = dfs.crossJoin(F.broadcast(n)).agg(F.sum(F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1).alias("rarity"))  # one row for each word, then one
+    rows = windows(index, words).crossJoin(F.broadcast(rarity))
+    return rows.select("doc_id", "start", "width", F.round(F.col("rarity") * len(words) / F.col("width"), 6).alias("score"))
+
+
+def snippets(docs: DataFrame, found: DataFrame, words: list[str], around: int = 5, marks: tuple[str, str] = ("<b>", "</b>")) -> DataFrame:
+    """found (doc_id, start, width, ...) with snippet: the run with `around` tokens on either side as the text has them, words marked.
+
+    Only documents found are read again; spelling, signs and diacritics of the text stay. An ellipsis stands where text is left out.
+    """
+    words = list(dict.fromkeys(words))
+    rows = found.join(docs.select("doc_id", "text"), "doc_id")
+    rows = rows.withColumns({"_pieces": texts.pieces(F.col("text")), "_tokens": tokens(F.col("text"))}).drop("text")
+    begin, n = F.greatest(F.col("start") - around, F.lit(0)), F.size("_pieces")
+    end = F.least(F.col("start") + F.col("width") + around, n)
+    mark = lambda piece: F.regexp_replace(piece, texts.LAST_TOKEN, f"{marks[0]}$1{marks[1]}")
+    shown = F.zip_with(F.slice("_pieces", begin + 1, end - begin), F.slice("_tokens", begin + 1, end - begin), lambda piece, token: F.when(token.isin(words), mark(piece)).otherwise(piece))
+    body = F.trim(F.array_join(shown, ""))
+    snippet = F.concat(F.when(begin > 0, "… ").otherwise(""), body, F.when(end < n, " …").otherwise(""))
+    return rows.withColumn("snippet", snippet).drop("_pieces", "_tokens")

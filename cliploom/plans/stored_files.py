@@ -13,9 +13,9 @@ from ..operators import captions, planning
 from ..operators import transcripts as T
 from ..sources import files
 from ..sources import standins as S
+from ..storage import fresh_folder
 from ..streaming import queue
 from . import campaign, stages, transcripts
-from .shared import fresh_folder
 
 
 def transcripts_json(spark: SparkSession, d: str) -> DataFrame:

@@ -6,13 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geometry, text
-from ..operators import captions, intervals, ordering, planning, search, silence
+from ..operators import captions, intervals, ordering, planning, ranking, scheduling, search, silence
 from ..operators import transcripts as T
 from ..sources import standins as S
-from .shared import library_index
+from .shared import library_index, sentence_index
 
 WORDS, SENT = f"WITH {S.WORDS}", f"WITH {S.WORDS}, {S.SENTENCES}"
-HOOK_MS, PART_MS, MOMENTS = 15_000, 60_000, 3
+HOOK_MS, PART_MS, MOMENTS, AROUND_MS = 15_000, 60_000, 3, 20_000
 
 
 def explode_words(spark: SparkSession, d: str) -> DataFrame:
@@ -83,6 +83,20 @@ def top_moments(spark: SparkSession, d: str) -> DataFrame:
     return ordering.top(S.moments(spark, d), ["video_id"], [F.col("score").desc(), F.col("start_ms"), F.col("moment_id")], MOMENTS)
 
 
+def _wide_moments(spark: SparkSession, d: str) -> DataFrame:
+    """Moments with AROUND_MS on either side, so that they overlap."""
+    return S.moments(spark, d).withColumns({"start_ms": F.col("start_ms") - AROUND_MS, "end_ms": F.col("end_ms") + AROUND_MS})
+
+
+def best_moments(spark: SparkSession, d: str) -> DataFrame:
+    return scheduling.best_apart(_wide_moments(spark, d), MOMENTS)
+
+
+def moment_ranks(spark: SparkSession, d: str) -> DataFrame:
+    """All moments of the library by score, in ten classes."""
+    return ranking.ranks(S.moments(spark, d).select("video_id", "moment_id", "score"), "score", ["video_id", "moment_id"], 10, descending=True)
+
+
 def ideas_per_video(spark: SparkSession, d: str) -> DataFrame:
     n = S.moments(spark, d).groupBy("video_id").agg(F.count("*").alias("n_ideas"), F.count_distinct("moment_type").alias("n_types"))
     return n.withColumn("too_few", F.col("n_ideas") < 5)
@@ -181,6 +195,12 @@ def safety_flags(spark: SparkSession, d: str) -> DataFrame:
     return planning.flags(S.docs(spark, d), banned)
 
 
+def phrase_flags(spark: SparkSession, d: str) -> DataFrame:
+    """Passages of the benchmark and short phrases as a list of what must not be said."""
+    short = spark.createDataFrame([("Of The",), ("idiot",), ("of the of",), ("the",)], "word string")
+    return planning.flags(S.docs(spark, d), S.read(spark, d, "benchmark").select(F.col("text").alias("word")).union(short))
+
+
 def all_flags(spark: SparkSession, d: str) -> DataFrame:
     """Listed words, and the toxic label in place of a model's review."""
     listed = safety_flags(spark, d).select("doc_id", F.concat(F.lit("word "), "word").alias("reason"))
@@ -220,18 +240,23 @@ def fts_ranked(spark: SparkSession, d: str) -> DataFrame:
 
 
 def fts_by_speaker(spark: SparkSession, d: str) -> DataFrame:
-    s = S.sentences(spark, d)
-    index = search.postings(s.select(F.struct("video_id", "sent_idx", "speaker").alias("doc_id"), "text"))
-    return search.match_any(index.where("doc_id.speaker = 'user'"), ["the"]).select("doc_id.video_id", "doc_id.sent_idx", "hits")
+    index = sentence_index(spark, d)[0].where("speaker = 'user'")
+    return search.match_any(index, ["the"]).select("doc_id.video_id", "doc_id.sent_idx", "hits")
+
+
+def snippets(spark: SparkSession, d: str) -> DataFrame:
+    words = ["license", "the", "of"]
+    return search.snippets(S.docs(spark, d), search.passages(*library_index(spark, d), words), words)
 
 
 def scan_parquet(spark: SparkSession, d: str) -> DataFrame:
     return S.read(spark, d, "lineitem").where("l_quantity < 3").select("l_orderkey", "l_linenumber", "l_quantity")
 
 
-QUERIES = [explode_words, sentence_assemble, transcript_fulltext, transcript_view, bilingual_captions, speaker_time, speaker_number, clip_cut, hook_text_window, clip_words, silence_gaps, speech_runs, silence_retime, idea_parts, top_moments, ideas_per_video, srt_export, vtt_export, ass_karaoke, assign_speaker, active_speaker, asof_latest, face_smooth, best_frame, crop_box, crop_follow, url_valid, detect_questions, surprising_sentences, arabic_fold, hashtags, json_stage, docs_by_lang, word_freq, safety_flags, all_flags, moment_sentiment, fts_build, word_importance, fts_match, fts_match_all, fts_phrase, fts_ranked, fts_by_speaker, scan_parquet]
+QUERIES = [explode_words, sentence_assemble, transcript_fulltext, transcript_view, bilingual_captions, speaker_time, speaker_number, clip_cut, hook_text_window, clip_words, silence_gaps, speech_runs, silence_retime, idea_parts, top_moments, best_moments, moment_ranks, ideas_per_video, srt_export, vtt_export, ass_karaoke, assign_speaker, active_speaker, asof_latest, face_smooth, best_frame, crop_box, crop_follow, url_valid, detect_questions, surprising_sentences, arabic_fold, hashtags, json_stage, docs_by_lang, word_freq, safety_flags, phrase_flags, all_flags, moment_sentiment, fts_build, word_importance, fts_match, fts_match_all, fts_phrase, fts_ranked, fts_by_speaker, snippets, scan_parquet]
 
 TOKENS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}]+')"
+SPELT = text.SPELT.replace(r"(?!\x{0640})", "")  # no text here has the sign
 POSTINGS = f"p AS (SELECT doc_id, unnest(t) AS token, generate_subscripts(t, 1) - 1 AS pos FROM (SELECT doc_id, {TOKENS} AS t FROM documents))"
 CLOCK = "lpad(CAST({ms} // 3600000 AS VARCHAR), CAST(greatest(2, length(CAST({ms} // 3600000 AS VARCHAR))) AS INTEGER), '0') || ':' || lpad(CAST({ms} // 60000 % 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST({ms} // 1000 % 60 AS VARCHAR), 2, '0')"
 MS = "lpad(CAST({ms} % 1000 AS VARCHAR), 3, '0')"
@@ -318,5 +343,31 @@ SELECT doc_id, round(ln(1 + (n - da + 0.5::DOUBLE) / (da + 0.5::DOUBLE)) * a * 2
   + ln(1 + (n - db + 0.5::DOUBLE) / (db + 0.5::DOUBLE)) * b * 2.2::DOUBLE / (b + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * l / m)), 6) AS score FROM c, s WHERE a > 0 OR b > 0""",
     "fts_by_speaker": f"""{SENT}, p AS (SELECT video_id, sent_idx, speaker, unnest({TOKENS}) AS token FROM sentences)
 SELECT video_id, sent_idx, count(*) AS hits FROM p WHERE speaker = 'user' AND token = 'the' GROUP BY video_id, sent_idx""",
+    "best_moments": f"""{SENT}, {S.MOMENTS}, m AS (SELECT video_id, moment_id, start_ms - {AROUND_MS} AS start_ms, end_ms + {AROUND_MS} AS end_ms, moment_type, score FROM moments),
+c AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY start_ms, end_ms, moment_id) AS p FROM m WHERE score > 0),
+two AS (SELECT a.video_id, [a.p, b.p] AS places, a.score + b.score AS total, b.p AS p, b.end_ms AS until FROM c a JOIN c b ON a.video_id = b.video_id AND a.p < b.p AND b.start_ms >= a.end_ms),
+chosen AS (
+  SELECT video_id, [p] AS places, score AS total FROM c UNION ALL SELECT video_id, places, total FROM two
+  UNION ALL SELECT two.video_id, list_append(places, c.p), total + score FROM two JOIN c ON two.video_id = c.video_id AND two.p < c.p AND c.start_ms >= until
+),
+best AS (SELECT video_id, unnest(places) AS p FROM (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY total DESC, len(places), places) AS nth FROM chosen) WHERE nth = 1)
+SELECT video_id, moment_id, start_ms, end_ms, moment_type, score FROM c JOIN best USING (video_id, p)""",
+    "moment_ranks": f"""{SENT}, {S.MOMENTS} SELECT video_id, moment_id, score, row_number() OVER (ORDER BY score DESC NULLS LAST, video_id, moment_id) AS number, rank() OVER w AS rank, dense_rank() OVER w AS dense_rank, percent_rank() OVER w AS percent_rank, cume_dist() OVER w AS cume_dist, ntile(10) OVER (ORDER BY score DESC NULLS LAST, video_id, moment_id) AS ntile
+FROM moments WINDOW w AS (ORDER BY score DESC NULLS LAST)""",
+    "phrase_flags": f"""WITH t AS (SELECT doc_id, {TOKENS} AS t FROM documents),
+b AS (SELECT DISTINCT {TOKENS} AS words FROM (SELECT text FROM benchmark UNION ALL SELECT * FROM (VALUES ('Of The'), ('idiot'), ('of the of'), ('the')) AS v(text))),
+p AS (SELECT doc_id, t, unnest(t) AS token, generate_subscripts(t, 1) AS pos FROM t)
+SELECT doc_id, array_to_string(words, ' ') AS word, count(*) AS hits FROM p JOIN b ON token = words[1] AND t[pos:pos + len(words) - 1] = words GROUP BY doc_id, words""",
+    "snippets": f"""WITH t AS (SELECT doc_id, {TOKENS} AS t, regexp_extract_all(text, '[^\\p{{L}}\\p{{N}}]*{SPELT}') AS pieces FROM documents),
+p AS (SELECT doc_id, unnest(t) AS token, generate_subscripts(t, 1) - 1 AS pos FROM t),
+h AS (SELECT doc_id, pos, max(pos) FILTER (token = 'license') OVER w AS a, max(pos) FILTER (token = 'the') OVER w AS b, max(pos) FILTER (token = 'of') OVER w AS c FROM p WHERE token IN ('license', 'the', 'of') WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
+r AS (SELECT doc_id, least(a, b, c) AS start, pos - least(a, b, c) + 1 AS width FROM h WHERE a IS NOT NULL AND b IS NOT NULL AND c IS NOT NULL),
+best AS (SELECT doc_id, arg_min(start, (width, start)) AS start, min(width) AS width FROM r GROUP BY doc_id),
+df AS (SELECT token, count(DISTINCT doc_id) AS df FROM p WHERE token IN ('license', 'the', 'of') GROUP BY token),
+rare AS (SELECT sum(ln((n + 1) / (df + 1)) + 1) AS rarity FROM df, (SELECT count(*) AS n FROM documents)),
+s AS (SELECT best.*, t, pieces, greatest(start - 5, 0) AS i, least(start + width + 5, len(t)) AS j FROM best JOIN t USING (doc_id))
+SELECT doc_id, start, width, round(rarity * 3 / width, 6) AS score, CASE WHEN i > 0 THEN '… ' ELSE '' END
+  || trim(array_to_string(list_transform(range(i, j), lambda k: CASE WHEN t[k + 1] IN ('license', 'the', 'of') THEN regexp_replace(pieces[k + 1], '({SPELT})$', '<b>\\1</b>') ELSE pieces[k + 1] END), '')) || CASE WHEN j < len(t) THEN ' …' ELSE '' END AS snippet
+FROM s, rare""",
     "scan_parquet": "SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_quantity < 3",
 }
