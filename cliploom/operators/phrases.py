@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
+from ..session import ensure_importable
 
 #: Most words of a list that is sent to every task.
 LISTED = 100_000
@@ -88,6 +89,7 @@ def normal(phrases: DataFrame) -> DataFrame:
 def by_trie(texts: DataFrame, listed: DataFrame) -> DataFrame:
     """(doc_id, word, hits) with one trie in every task; `listed` holds normal phrases of LISTED words in all, at most."""
     spark = texts.sparkSession
+    ensure_importable(spark)
     sent = spark.sparkContext.broadcast(sorted(r.word for r in listed.select("word").collect()))
     rows = texts.select("doc_id", tokens(F.col("text")).alias("tokens"))
     kind = rows.schema["doc_id"].dataType.simpleString()

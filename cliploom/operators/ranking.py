@@ -14,6 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ensure_importable
 from ..storage import stored
 
 #: Bits of monotonically_increasing_id that count within a partition.
@@ -57,6 +58,7 @@ def _summed(amount: str, name: str):
 
 def running(rows: DataFrame, order: list[str | Column], amount: str, name: str = "before") -> DataFrame:
     """rows with the sum of the whole-number column `amount` over all earlier rows in `order`; null counts as 0."""
+    ensure_importable(rows.sparkSession)
     dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id().cast("long"))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in dealt.schema.fields)
     dealt = stored(dealt.mapInArrow(_summed(amount, name), f"{kinds}, `{name}` long"), "running")

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import ensure_importable
 from ..storage import discard, stored
 
 #: Islands joined in one step.
@@ -89,6 +90,7 @@ def best_apart(clips: DataFrame, k: int, fan: int = FAN) -> DataFrame:
     clips may touch; a clip of no length overlaps those that begin before it and end after it. Clips with null times or scores, or that score
     nothing or less, are never chosen. The order of the whole of a video is made in one sort for each video.
     """
+    ensure_importable(clips.sparkSession)
     order = W.partitionBy("video_id").orderBy("start_ms", "end_ms", "moment_id")
     rows = clips.where("start_ms <= end_ms and score > 0 and video_id is not null")
     until = F.max("end_ms").over(order.rowsBetween(W.unboundedPreceding, -1))

@@ -6,12 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import campaign, stored_files, transcripts
+from . import campaign, stored_files, streams, transcripts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (*campaign.QUERIES, *transcripts.QUERIES, *stored_files.QUERIES)}
+    return {f.__name__: f for f in (*campaign.QUERIES, *transcripts.QUERIES, *stored_files.QUERIES, *streams.QUERIES)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return campaign.SQL | transcripts.SQL | stored_files.SQL
+    return campaign.SQL | transcripts.SQL | stored_files.SQL | streams.SQL
+
+
+def without_sql() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    """Queries whose results depend on what was learned from the data; tests hold them against brute force."""
+    return {f.__name__: f for f in streams.WITHOUT_SQL}
