@@ -34,8 +34,6 @@ STEMS = range(3, 9)
 #: A stem gives way to a longer one that holds for this share of its texts: the more exact the better.
 SAME = 0.95
 REMEMBERED = 400_000
-#: Characters from which a token may be several words joined by signs.
-LONGEST = 64
 
 #: Letters that look-alikes stand for.
 LOOKALIKES = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "¡": "i", "¥": "y"}
@@ -165,7 +163,7 @@ def decode(token: str, model: np.ndarray, breaks: bool = False) -> str:
                     state, new, to = (b, k), cost + own + float(model[a, b, k]), (back, c)
                 else:
                     state, new, to = (a, b), cost + own, back
-                if state not in now or new < now[state][0] or new == now[state][0] and len(token) <= LONGEST and spelled(to) < spelled(now[state][1]):
+                if state not in now or new < now[state][0]:  # of equal paths the one found first
                     now[state] = (new, to)
         best = now
     ends = [(cost + float(model[a, b, EDGE]), spelled(back)) for (a, b), (cost, back) in best.items()]
@@ -182,6 +180,7 @@ def spelled(back: tuple | None) -> str:
 
 JUNK = re.compile(r"^[\W_]+|[\W_]+$")
 INNER = re.compile(r"[^\W\d_][^\sa-zà-ÿ]|[^\sa-zà-ÿ][^\W\d_]|([^\W\d_])\1\1")
+JOINED = re.compile(f"[{re.escape(SEPARATORS)}]")
 SPACED = re.compile(r"(?<!\S)[^\s.,](?:[ .\-_*]{1,2}[^\s.,]){3,}(?!\S)")
 
 
@@ -196,12 +195,13 @@ class Restorer:
         if not INNER.search(token):
             return (bare,)
         ends = token.strip(SEPARATORS + ",;:?\"()[]{}%&#")
-        if len(token) > LONGEST:  # may be a sentence joined by signs
-            return tuple({bare, *decode(ends, self.model).split(), *decode(ends, self.model, True).split()})
-        return tuple({bare, *(decode(x, self.model) for x in {token, ends, bare})})
+        out = {bare, *(decode(x, self.model) for x in {token, ends, bare})}
+        if JOINED.search(ends):  # may be words joined by signs
+            out.update(decode(ends, self.model, True).split())
+        return tuple(out)
 
     def spaced(self, text: str) -> list[str]:
-        return [w for m in SPACED.finditer(text) for w in decode(m[0], self.model, len(m[0]) > LONGEST).split()]
+        return [w for m in SPACED.finditer(text) for breaks in (False, True) for w in decode(m[0], self.model, breaks).split()]
 
 
 def features(words: tuple[str, ...]) -> set[str]:
@@ -345,7 +345,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, c
     labels and null doc_ids are not learned from; a document with both labels counts once under each. A null text is empty;
     a text without rules has the share of toxic ones among such. Without labels every score is 0. Rows stay one for one, other
     columns are ignored, and an empty table gives no rows. Texts, tokens and spaced words of any length are read whole. A
-    text that stands twice scores the same twice; of decodings of equal cost (up to LONGEST characters) the first by spelling wins.
+    text that stands twice scores the same twice; of decodings of equal cost the one
+    found first wins; the order depends on the token alone. Signs may end words in tokens and spaced words of every length.
     """
     spark = docs.sparkSession
     ensure_importable(spark)

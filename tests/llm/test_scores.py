@@ -124,6 +124,19 @@ def test_toxicity_decodes_long_matches(spark):
     assert [got[5000 + k].predicted for k in range(len(extra))] == [1] * len(hidden) + [0] * len(clean)
 
 
+def test_toxicity_decodes_joined_words_of_every_length(spark):
+    texts, labels = labelled(spark)
+    filler = [w for k in (1, 2, 3) for w in texts[k][1].split()]
+    sentences = [[*filler[:k], "scoundrel", *filler[k : 2 * k]] for k in range(1, 13)]
+    hidden = [x for s in sentences for x in (".".join(s), "-".join(s), ".".join("".join(s)), " ".join("".join(s)))]
+    clean = [x for k in range(2, 20, 3) for x in (".".join(filler[:k]), ".".join("".join(filler[:k])), " ".join("".join(filler[:k])))]
+    assert min(map(len, hidden)) < 24 and max(map(len, hidden)) > 200
+    extra = [(5000 + k, t, "en", 0.0) for k, t in enumerate(hidden + clean)]
+    got = {r.doc_id: r for r in toxicity.toxicity(spark.createDataFrame(texts + extra, DOCS), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()}
+    found = [got[5000 + k].predicted for k in range(len(extra))]
+    assert found == [1] * len(hidden) + [0] * len(clean), [x for x, n in zip(hidden, found, strict=False) if not n]
+
+
 def test_look_alikes_of_other_scripts():
     rng = np.random.default_rng(0)
     words = ["scoundrel", "blackguard", "villain", "house", "garden", "window", "\u0434\u043e\u043c", "\u0441\u0430\u0434", "\u0441\u043e\u0440"]
