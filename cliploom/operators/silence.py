@@ -50,6 +50,8 @@ def cut(words: DataFrame, start_ms: int | Column, end_ms: int | Column) -> DataF
 
 def clip_words(words: DataFrame, clips: DataFrame, width: int = 3_600_000) -> DataFrame:
     """(clip_id, sent_idx, word_idx, start_ms, end_ms, word): the words of each clip (video_id, clip_id, start_ms, end_ms), as cut() does for one."""
-    pairs = overlap_join(words.select("video_id", "sent_idx", "word_idx", "start_ms", "end_ms", "word"), clips.select("video_id", "clip_id", "start_ms", "end_ms"), "video_id", width)
+    said = words.select("video_id", "sent_idx", "word_idx", "start_ms", F.greatest("end_ms", F.col("start_ms") + 1).alias("end_ms"), "word", F.col("end_ms").alias("_end"))
+    pairs = overlap_join(said, clips.select("video_id", "clip_id", "start_ms", "end_ms"), "video_id", width).where("_end > r_start_ms")  # a word of no length is met as one of a millisecond
+    pairs = pairs.withColumn("end_ms", F.col("_end"))
     begin = F.greatest("start_ms", "r_start_ms") - F.col("r_start_ms")
     return pairs.select(F.col("r_clip_id").alias("clip_id"), "sent_idx", "word_idx", begin.alias("start_ms"), (F.least("end_ms", "r_end_ms") - F.col("r_start_ms")).alias("end_ms"), "word")

@@ -64,6 +64,17 @@ def append_rows(spark: SparkSession, rows: list[tuple], schema: str, path: str)
     spark.createDataFrame(rows, schema).write.mode("append").parquet(path)
 
 
+def append_table(rows: DataFrame, path: str) -> None:
+    """Entries that come as a table, a form's or another system's: one more snapshot of each."""
+    rows.write.mode("append").parquet(path)
+
+
+def read_settings_files(spark: SparkSession, path: str) -> DataFrame:
+    """(file, name, value): settings of many JSON files, one object each; values as text."""
+    files = spark.read.text(path, wholetext=True)
+    return files.select(F.col("_metadata.file_path").alias("file"), F.explode(F.from_json("value", "map<string,string>")).alias("name", "value"))
+
+
 def write_library(table: DataFrame, path: str) -> None:
     """A table in folders by video."""
     table.write.mode("append").partitionBy("video_id").parquet(path)
