@@ -58,10 +58,10 @@ def op9_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents have no paths: they are laid out by source and doc_id, those of one line a folder higher."""
+    """Documents have no paths: they are laid out by source and doc_id, those of one line a folder higher and as notices of it."""
     docs = table(spark, sf_dir, "documents")
     lower = F.when(F.contains("text", F.lit("\n")), F.expr("doc_id div 500").cast("string"))
-    path = F.concat_ws("/", "source", F.expr("doc_id div 5000").cast("string"), lower, F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    path = F.concat_ws("/", "source", F.expr("doc_id div 5000").cast("string"), lower, F.concat(F.when(lower.isNull(), "NOTICE-").otherwise(""), F.col("doc_id").cast("string"), F.lit(".txt")))
     return licenses.license_scan(docs.select("doc_id", path.alias("path"), "text"))
 
 
@@ -138,7 +138,7 @@ LICENSES = f"""
 WITH templates(k, license, text) AS (VALUES {", ".join(f"({k}, '{name}', '{text}')" for k, (name, text) in enumerate(licenses.flat(licenses.TEMPLATES)))}),
 t AS (SELECT k, license, term, count(*) AS tf FROM (SELECT k, license, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM templates) GROUP BY ALL),
 d AS (
-  SELECT doc_id, concat_ws('/', source, CAST(doc_id // 5000 AS VARCHAR), CASE WHEN contains(text, chr(10)) THEN CAST(doc_id // 500 AS VARCHAR) END, CAST(doc_id AS VARCHAR) || '.txt') AS path, coalesce(text, '') AS text FROM documents
+  SELECT doc_id, concat_ws('/', source, CAST(doc_id // 5000 AS VARCHAR), CASE WHEN contains(text, chr(10)) THEN CAST(doc_id // 500 AS VARCHAR) END, CASE WHEN contains(text, chr(10)) THEN '' ELSE 'NOTICE-' END || CAST(doc_id AS VARCHAR) || '.txt') AS path, coalesce(text, '') AS text FROM documents
 ),
 size AS (SELECT count(*) AS n FROM d),
 lines AS (SELECT doc_id, path, generate_subscripts(string_split(text, chr(10)), 1) AS line, unnest(string_split(text, chr(10))) AS text FROM (SELECT DISTINCT * FROM d)),
@@ -153,14 +153,18 @@ norms AS (
 lengths AS (SELECT k, license, sqrt(sum(tf * tf * idf * idf)) AS norm FROM t JOIN idf USING (term) GROUP BY k, license),
 dots AS (SELECT doc_id, path, line, k, sum(tf.tf * t.tf * idf * idf) AS dot FROM tf JOIN t USING (term) GROUP BY doc_id, path, line, k),
 scores AS (SELECT doc_id, path, line, k, license, round(dot / norms.norm / lengths.norm, 6) AS score FROM dots JOIN norms USING (doc_id, path, line) JOIN lengths USING (k)),
-header AS (SELECT doc_id, path, arg_max(license, (score, -k)) AS license, max(score) AS score FROM scores WHERE line > 0 GROUP BY doc_id, path HAVING max(score) >= {licenses.HEADER}),
-whole AS (SELECT doc_id, path, arg_max(license, (score, -k)) AS license, max(score) AS score, max((score, -k)) AS best FROM scores WHERE line < 0 GROUP BY doc_id, path HAVING max(score) >= {licenses.FILE}),
-granted AS (SELECT regexp_extract(path, '^(.*)/[^/]*$', 1) AS up, arg_max(license, best) AS license, max(score) AS score FROM whole WHERE path IS NOT NULL GROUP BY 1),
+firsts AS (SELECT *, first_value(license) OVER (PARTITION BY doc_id, path, line ORDER BY score DESC, k) AS top FROM scores),
+clear AS (SELECT doc_id, path, line, any_value(top) AS license, max(score) AS score, max((score, -k)) AS best FROM firsts GROUP BY doc_id, path, line HAVING coalesce(max(score) - max(score) FILTER (license <> top) >= {licenses.MARGIN}, true)),
+header AS (SELECT doc_id, path, arg_max(license, best) AS license, max(score) AS score FROM clear WHERE line > 0 GROUP BY doc_id, path HAVING max(score) >= {licenses.HEADER}),
+reads AS (SELECT doc_id, path, arg_max(license, best) AS license, max(score) AS score, max(best) AS best FROM clear WHERE line < 0 GROUP BY doc_id, path HAVING max(score) >= {licenses.FILE}),
+stated AS (SELECT DISTINCT doc_id, path, regexp_extract(text, '{licenses.SPDX}', 1) AS license, 1.0::DOUBLE AS score, (1.0::DOUBLE, 1) AS best FROM d WHERE regexp_extract(text, '{licenses.SPDX}', 1) <> ''),
+whole AS (SELECT * FROM stated UNION ALL SELECT * FROM reads WHERE (doc_id, path) NOT IN (SELECT (doc_id, path) FROM stated)),
+granted AS (SELECT regexp_extract(path, '^(.*)/[^/]*$', 1) AS up, arg_max(license, best) AS license, max(score) AS score FROM whole WHERE regexp_matches(path, '{licenses.NAMED}') GROUP BY 1),
 folders AS (SELECT DISTINCT regexp_extract(path, '^(.*)/[^/]*$', 1) AS folder FROM d),
 upward AS (SELECT folder, depth, array_to_string(string_split(folder, '/')[1:depth], '/') AS up FROM (SELECT folder, unnest(range(1, len(string_split(folder, '/')) + 1)) AS depth FROM folders)),
 nearest AS (SELECT folder, arg_max(license, depth) AS license, arg_max(score, depth) AS score FROM upward JOIN granted USING (up) GROUP BY folder)
 SELECT d.doc_id, d.path, coalesce(w.license, h.license, n.license) AS license, coalesce(w.score, h.score, n.score, 0) AS score,
-  CASE WHEN w.license IS NOT NULL THEN 'file' WHEN h.license IS NOT NULL THEN 'header' WHEN n.license IS NOT NULL THEN 'inherited' ELSE 'none' END AS basis
+  CASE WHEN w.license IS NOT NULL AND regexp_matches(d.path, '{licenses.NAMED}') THEN 'file' WHEN w.license IS NOT NULL OR h.license IS NOT NULL THEN 'header' WHEN n.license IS NOT NULL THEN 'inherited' ELSE 'none' END AS basis
 FROM d LEFT JOIN whole w ON d.doc_id = w.doc_id AND d.path = w.path LEFT JOIN header h ON d.doc_id = h.doc_id AND d.path = h.path
 LEFT JOIN nearest n ON regexp_extract(d.path, '^(.*)/[^/]*$', 1) = n.folder
 """
@@ -226,7 +230,8 @@ turns AS (
   UNION ALL SELECT c.conv_id, pos + 1, role, text FROM c JOIN t ON t.conv_id = c.base AND pos < taken
 ),
 m AS (
-  SELECT conv_id, depth, string_agg(sha256(strlen(role) || ':' || role || text), '') OVER (PARTITION BY conv_id ORDER BY depth) AS name, len(regexp_extract_all(text, '[^ 	-]+')) AS words FROM turns
+  SELECT conv_id, depth, string_agg(sha256(strlen(role) || ':' || role || text), '') OVER (PARTITION BY conv_id ORDER BY depth) AS name, len(regexp_extract_all(text, '[^ 	-
+]+')) AS words FROM turns
   UNION ALL SELECT conv_id, 0, '', 0 FROM c
 ),
 sizes AS (SELECT conv_id, max(depth) AS n FROM m GROUP BY conv_id),

@@ -214,6 +214,35 @@ def test_real_licence_files(spark):
     assert got["code/x.c"] == ("Apache-2.0", "header") and got["code/y.c"] == (None, "none")
 
 
+def test_licences_are_granted_by_licence_files_only(spark):
+    full = {name: max(texts, key=len) for name, texts in licenses.TEMPLATES.items()}
+    prose = [" ".join(random.Random(k).choice(["rain", "falls", "on", "old", "houses", "of", "is", "to", "use", "any"]) for _ in range(60)) for k in range(40)]
+    rows = [
+        (1, "p/a.py", "# Released under the MIT License.\nimport os  # any"), (2, "p/b.py", prose[0]),
+        (3, "q/LICENSE", full["Apache-2.0"]), (4, "q/x.c", "// SPDX-License-Identifier: MIT\nint x;"), (5, "q/y.c", "/* SPDX-License-Identifier: GPL-2.0-only WITH Linux-syscall-note */\n" + full["MIT"]), (6, "q/z.c", "// SPDX-License-Identifier: \nint z;"),
+        (7, "agpl/COPYING", full["AGPL-3.0"]), (8, "boost/LICENSE_1_0.txt", full["BSL-1.0"]), (9, "epl/LICENSE.md", full["EPL-2.0"]), (10, "art/LICENSE", full["Artistic-2.0"]),
+        (11, "spdx/LICENSE", "SPDX-License-Identifier: EUPL-1.2"), (12, "spdx/a/m.rs", prose[1]), (13, None, "SPDX-License-Identifier: 0BSD"),
+        (14, "code/mit.txt", full["MIT"]), (15, "code/m.c", prose[2]), (16, "both/LICENSE", full["MIT"] + " " + full["MIT"] + "\n" + full["MIT"]),
+    ]
+    rows += [(100 + k, f"plain/{k}.txt", t) for k, t in enumerate(prose)]
+    got = {r.doc_id: (r.license, r.basis) for r in licenses.license_scan(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()}
+    assert got[1] == ("MIT", "header") and got[2] == (None, "none")
+    assert got[4] == ("MIT", "header") and got[5] == ("GPL-2.0-only WITH Linux-syscall-note", "header") and got[6] == ("Apache-2.0", "inherited")
+    assert [got[k] for k in (7, 8, 9, 10)] == [(x, "file") for x in ("AGPL-3.0", "BSL-1.0", "EPL-2.0", "Artistic-2.0")]
+    assert got[11] == ("EUPL-1.2", "file") and got[12] == ("EUPL-1.2", "inherited") and got[13] == ("0BSD", "file")
+    assert got[14] == ("MIT", "header") and got[15] == (None, "none") and got[16] == ("MIT", "file")
+
+
+def test_a_licence_needs_a_margin(spark):
+    """Two templates that say the same are none; with one word more, one is."""
+    same = {"A-1": ("one may copy this text and sell it at will",), "B-1": ("one may copy this text and sell it at will",)}
+    rows = [(1, "x/LICENSE", same["A-1"][0]), (2, "y/z.c", "nothing of note stands here"), (3, "y/w.c", "rain and rain")]
+    df = spark.createDataFrame(rows, "doc_id long, path string, text string")
+    assert {r.license for r in licenses.license_scan(df, same).collect()} == {None}
+    apart = same | {"B-1": ("one may copy this text and never sell nor lend it",)}
+    assert {r.doc_id: r.license for r in licenses.license_scan(df, apart).collect()} == {1: "A-1", 2: None, 3: None}
+
+
 SONG = " ".join(random.Random(4).choice(["do", "re", "mi", "fa", "sol", "la", "ti", "ut", "si", "so"]) + str(k % 7) for k in range(150))
 
 
