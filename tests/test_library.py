@@ -149,3 +149,18 @@ def test_platform_profiles_are_few(spark, monkeypatch):
     monkeypatch.setattr(planning, "PROFILES", 1)
     with pytest.raises(ValueError, match="profiles"):
         planning.platform_plan(clips, profiles)
+
+
+@pytest.mark.parametrize("width", [1, 7, 50, 10**6])
+def test_asof_carries_over_cuts(spark, width):
+    from cliploom.operators.intervals import asof
+
+    rng = random.Random(width)
+    ranges = [(rng.randrange(3), rng.choice("abc"), rng.randrange(0, 200)) for _ in range(30)] + [(1, None, 50), (None, "z", 1), (2, "x", None)]
+    points = [(k, rng.randrange(4), rng.randrange(-5, 210)) for k in range(80)] + [(900, None, 5), (901, 1, None)]
+    got = {r.pid: (r.label, r.since_ms) for r in asof(spark.createDataFrame(points, "pid long, v long, ts_ms long"), spark.createDataFrame(ranges, "v long, label string, start_ms long"), "v", "pid", "label", width).collect()}
+    want = {}
+    for k, v, t in points:
+        begun = [(s, x is not None, x or "") for w, x, s in ranges if w == v and v is not None and s is not None and t is not None and s <= t]
+        want[k] = ((max(begun)[2] or None), max(begun)[0]) if begun else (None, None)
+    assert got == want
