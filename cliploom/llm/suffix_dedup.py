@@ -16,6 +16,10 @@ is in question then).
 
 Ranks are 64-bit names of byte ranges (two independent ones, one of them also modulo a prime, where they decide). Only equality counts
 here, so names need no order. What each round leaves is written to the shared folder.
+
+A pass holds about a hundred bytes for each byte of text it looks at, so a text of over SLICE bytes is looked at in slices
+of that many starts, each with the bytes that its last string needs. An anchor on a border of slices stands twice, with
+some of its starts each time; the rounds after the first decide about these as about any others.
 """
 
 from __future__ import annotations
@@ -34,6 +38,8 @@ LENGTH = 400
 WINDOW = 128
 GRAM = 16
 BLOCK = 16
+#: Starts of one pass over a long text: some 100 MB.
+SLICE = 1 << 20
 
 
 def _anchor_rows(offsets: np.ndarray, data: np.ndarray, length: int, window: int) -> tuple[np.ndarray, ...]:
@@ -65,12 +71,24 @@ def _anchor_rows(offsets: np.ndarray, data: np.ndarray, length: int, window: int
     return doc, anchor - lo, lo - offsets[:-1][doc], hi - lo, core, full
 
 
+def _cut(batch: pa.RecordBatch, more: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, int, int]]:
+    """Parts of a batch as slices() gives them, with 0 and the length of their longest text; one text over SLICE bytes in
+    parts of that many places, each with `more` bytes after them: part, offsets, bytes, first place, end of places."""
+    for part, offsets, data in slices(batch, most=SLICE):
+        if len(data) <= SLICE:
+            yield part, offsets, data, 0, SLICE
+            continue
+        for at in range(0, len(data), SLICE):
+            own = data[at : at + SLICE + more]
+            yield part, np.array([0, len(own)]), own, at, at + SLICE
+
+
 def _anchors(length: int, window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, offsets, data in slices(batch):
+            for part, offsets, data, begin, _ in _cut(batch, length - 1):
                 doc, ahead, lo, span, core, full = _anchor_rows(offsets, data, length, window)
-                rows = pa.array(doc)
+                lo, rows = lo + begin, pa.array(doc)
                 for at in range(0, len(doc), 1 << 16):
                     to = slice(at, at + (1 << 16))
                     yield pa.RecordBatch.from_arrays([pa.array(core[to].view(np.int64)), pa.array(full[to].view(np.int64)), part.column(0).take(rows[to]), pa.array((lo[to] * window + span[to]) * window + ahead[to])], ["core", "u", "key", "at"])
@@ -96,7 +114,7 @@ def _blocks(length: int, window: int):
         i, j = anchor - most, anchor - least + length
         return [core, names.name(i, j), more.name(i, j), (i - base) * window + (most - least), need[which]]
 
-    return _named(rows, ["core", "u", "v", "at", "need"])
+    return _named(rows, ["core", "u", "v", "at", "need"], length, window, 2 * window**2)
 
 
 def _starts(length: int, window: int):
@@ -110,17 +128,22 @@ def _starts(length: int, window: int):
         i = at + base
         return [names.name(i, i + length), more.name(i, i + length), at * window, need[which]]
 
-    return _named(rows, ["u", "v", "at", "need"])
+    return _named(rows, ["u", "v", "at", "need"], length, window, 2 * window)
 
 
-def _named(rows, columns: list[str]):
-    """(key, text, marks) to key and what `rows` makes of the marks of each text."""
+def _named(rows, columns: list[str], length: int, window: int, unit: int):
+    """(key, text, marks) to key and what `rows` makes of the marks of each text; a mark begins at mark // unit."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, offsets, data in slices(batch):
+            for part, offsets, data, begin, end in _cut(batch, length + 2 * window + BLOCK):
+                marks = [part.column(2)[k].values.to_numpy() for k in range(part.num_rows)]
+                if begin or end < len(part.column(1)[0].as_py()):  # a slice of one long text: the marks that begin in it
+                    marks = [m[(m // unit >= begin) & (m // unit < end)] for m in marks]
+                if not sum(map(len, marks)):
+                    continue
                 names, more = Ranges(data, 1), Ranges(data, 2, prime=True)
-                made = [rows(part.column(2)[k].values.to_numpy(), offsets[k], names, more) for k in range(part.num_rows)]
+                made = [rows(m, offsets[k] - begin, names, more) for k, m in enumerate(marks)]
                 ids = pa.array(np.repeat(np.arange(part.num_rows), [len(x[0]) for x in made]))
                 arrays = [pa.array(np.concatenate(x).view(np.int64)) for x in zip(*made, strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(0).take(ids), *arrays], ["key", *columns])
@@ -143,12 +166,10 @@ def _settled(rows: DataFrame, rank: list[str]) -> tuple[DataFrame, DataFrame, li
 
 def spans_of(marks: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Begins and ends of the maximal runs covered by the ranges (begin, end) in the rows of marks."""
-    change = np.zeros(size + 1, np.int64)
-    np.add.at(change, marks[:, 0], 1)
-    np.add.at(change, np.minimum(marks[:, 1], size), -1)
-    covered = np.concatenate(([0], (np.cumsum(change[:-1]) > 0).astype(np.int8), [0]))
-    edges = np.diff(covered)
-    return np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
+    marks = marks[np.argsort(marks[:, 0], kind="stable")]
+    until = np.maximum.accumulate(np.minimum(marks[:, 1], size))
+    new = np.flatnonzero(np.concatenate(([True], marks[1:, 0] > until[:-1])))  # ranges that touch are one run
+    return marks[new, 0], until[np.append(new[1:], len(marks)) - 1]
 
 
 def _kept(length: int, window: int):
@@ -176,7 +197,8 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, window: int = WINDOW, ca
 
     A byte goes if a `length`-byte string that covers it starts anywhere else too; kept_text is kept without characters cut
     in two. A null text is empty; texts shorter than `length` bytes keep all. Repeated rows repeat each other and lose all
-    but short texts; null doc_ids are documents like others. Other columns are ignored. An empty table gives no rows.
+    but short texts; null doc_ids are documents like others. Texts of any length are taken whole, in slices of bounded
+    memory. Other columns are ignored. An empty table gives no rows.
     """
     spark = docs.sparkSession
     ensure_importable(spark)

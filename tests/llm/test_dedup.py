@@ -2,9 +2,11 @@
 
 import hashlib
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -52,6 +54,73 @@ def test_suffix_dedup_is_exact(spark, length, window):
     assert all(r.kept_text == bytes(r.kept).decode("utf-8", "ignore") for r in got)
 
 
+@pytest.mark.parametrize("size", [37, 150, 1000])
+def test_anchors_of_long_texts_in_slices(size):
+    """Every start belongs to one row, and the anchors are those of the whole text."""
+    rng = random.Random(size)
+    shared = [prose(rng, n) for n in (39, 40, 41, 90, 333)]
+    texts = ["", None, "ab" * 300, "z" * 500, "é" * 200]
+    texts += ["".join(prose(rng, rng.randrange(5, 90)) + rng.choice(shared) for _ in range(30)) for _ in range(4)] + [shared[4] + prose(rng, 20), prose(rng, 2500)]
+    texts += [texts[5][:700] + "#" + texts[5][701:]]
+    data = [(t or "").encode() for t in texts]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(data))), pa.array([t.decode() for t in data])], ["key", "text"])
+    whole = {(r["key"], r["at"] // 16**2): r for r in anchors_of(batch, 40, 16, 1 << 20)}
+    cut_ = anchors_of(batch, 40, 16, size)
+    starts = lambda rows: sorted((r["key"], r["at"] // 16**2 + k) for r in rows for k in range(r["at"] // 16 % 16 + 1))
+    assert starts(whole.values()) == starts(cut_) == sorted((k, i) for k, b in enumerate(data) for i in range(len(b) - 39))
+    assert {(r["key"], r["at"] // 16**2 + r["at"] % 16, r["core"]) for r in cut_} == {(r["key"], r["at"] // 16**2 + r["at"] % 16, r["core"]) for r in whole.values()}
+
+
+def test_suffix_dedup_of_a_text_in_slices(spark):
+    rng = random.Random(12)
+    part = [prose(rng, n) for n in (700, 401)]
+    # digits, so that no repeat goes on by chance
+    long = "1".join((prose(rng, suffix_dedup.SLICE - 300), part[0] + "2" + prose(rng, 900) + "3" + part[1] + "4" + prose(rng, 500) + "5" + part[0] + "6" + prose(rng, suffix_dedup.SLICE - 900) + "7" + part[1]))
+    texts = [long, "8" + part[0][100:] + "x" + part[1], prose(rng, 30)]
+    got = suffix_dedup.suffix_dedup(frame(spark, enumerate(texts))).orderBy("doc_id").collect()
+    covered = np.zeros(len(long), bool)
+    for p in part:
+        at = long.find(p)
+        while at >= 0:
+            covered[at : at + len(p)] = True
+            at = long.find(p, at + 1)
+    assert got[0].kept_text == "".join(c for c, gone in zip(long, covered, strict=True) if not gone)
+    assert (got[1].kept_text, got[1].n_spans, got[2].n_removed) == ("8x", 2, 0)
+
+
+def anchors_of(batch, length, window, size):
+    before, suffix_dedup.SLICE = suffix_dedup.SLICE, size
+    try:
+        return [r for b in suffix_dedup._anchors(length, window)(iter([batch])) for r in b.to_pylist()]
+    finally:
+        suffix_dedup.SLICE = before
+
+
+def test_suffix_dedup_takes_little_memory_for_a_long_text():
+    rng = np.random.default_rng(1)
+    text = rng.integers(97, 123, 6_000_000, dtype=np.uint8).tobytes().decode()
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([text])], ["key", "text"])
+    tracemalloc.start()
+    n = sum(b.num_rows for b in suffix_dedup._anchors(400, 128)(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n > 50_000 and peak < 250e6
+
+
+def test_spans_by_brute_force():
+    rng = np.random.default_rng(2)
+    for _ in range(200):
+        size = int(rng.integers(1, 60))
+        begins = rng.integers(0, size, rng.integers(1, 9))
+        marks = np.stack((begins, begins + rng.integers(1, 20, len(begins))), 1)
+        covered = np.zeros(size + 2, int)
+        for i, j in marks:
+            covered[i + 1 : min(j, size) + 1] = 1
+        edges = np.diff(covered)
+        got = suffix_dedup.spans_of(marks, size)
+        assert (got[0].tolist(), got[1].tolist()) == (np.flatnonzero(edges == 1).tolist(), np.flatnonzero(edges == -1).tolist())
+
+
 def test_suffix_dedup_production_length(spark):
     rng = random.Random(6)
     part = prose(rng, 500)
