@@ -72,11 +72,11 @@ def _anchor_rows(offsets: np.ndarray, data: np.ndarray, length: int, window: int
 
 
 def _cut(batch: pa.RecordBatch, more: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, int, int]]:
-    """Parts of a batch as slices() gives them, with 0 and the length of their longest text; one text over SLICE bytes in
-    parts of that many places, each with `more` bytes after them: part, offsets, bytes, first place, end of places."""
+    """Parts of a batch as slices() gives them, with 0 and -1; one text over SLICE bytes in parts of that many places, each
+    with `more` bytes after them: part, offsets, bytes, first place, end of places."""
     for part, offsets, data in slices(batch, most=SLICE):
         if len(data) <= SLICE:
-            yield part, offsets, data, 0, SLICE
+            yield part, offsets, data, 0, -1
             continue
         for at in range(0, len(data), SLICE):
             own = data[at : at + SLICE + more]
@@ -138,7 +138,7 @@ def _named(rows, columns: list[str], length: int, window: int, unit: int):
         for batch in batches:
             for part, offsets, data, begin, end in _cut(batch, length + 2 * window + BLOCK):
                 marks = [part.column(2)[k].values.to_numpy() for k in range(part.num_rows)]
-                if begin or end < len(part.column(1)[0].as_py()):  # a slice of one long text: the marks that begin in it
+                if end >= 0:  # a slice of one long text: the marks that begin in it
                     marks = [m[(m // unit >= begin) & (m // unit < end)] for m in marks]
                 if not sum(map(len, marks)):
                     continue

@@ -76,7 +76,8 @@ def test_suffix_dedup_of_a_text_in_slices(spark):
     part = [prose(rng, n) for n in (700, 401)]
     # digits, so that no repeat goes on by chance
     long = "1".join((prose(rng, suffix_dedup.SLICE - 300), part[0] + "2" + prose(rng, 900) + "3" + part[1] + "4" + prose(rng, 500) + "5" + part[0] + "6" + prose(rng, suffix_dedup.SLICE - 900) + "7" + part[1]))
-    texts = [long, "8" + part[0][100:] + "x" + part[1], prose(rng, 30)]
+    wide = "\u00e9" * (suffix_dedup.SLICE // 2 + 50)  # more bytes than a slice has, fewer characters
+    texts = [long, "8" + part[0][100:] + "x" + part[1], prose(rng, 30), "9" + wide, wide + "0"]
     got = suffix_dedup.suffix_dedup(frame(spark, enumerate(texts))).orderBy("doc_id").collect()
     covered = np.zeros(len(long), bool)
     for p in part:
@@ -86,6 +87,7 @@ def test_suffix_dedup_of_a_text_in_slices(spark):
             at = long.find(p, at + 1)
     assert got[0].kept_text == "".join(c for c, gone in zip(long, covered, strict=True) if not gone)
     assert (got[1].kept_text, got[1].n_spans, got[2].n_removed) == ("8x", 2, 0)
+    assert (got[3].kept_text, got[4].kept_text) == ("9", "0")
 
 
 def anchors_of(batch, length, window, size):
