@@ -43,7 +43,7 @@ def covering(points: DataFrame, ranges: DataFrame, key: str, id_: str, label: st
     return points.select(id_).join(best, id_, "left")
 
 
-def asof(points: DataFrame, ranges: DataFrame, key: str, id_: str, label: str, width: int = 3_600_000) -> DataFrame:
+def asof(points: DataFrame, ranges: DataFrame, key: str, id_: str, label: str, width: int = 86_400_000) -> DataFrame:
     """(id_, label, since_ms): the last range of equal key that begins at or before ts_ms; of equal begins the greatest label.
 
     One pass over both sides merged in time order, no pairs. Time is cut every `width` ms, so that a key that goes on for
