@@ -146,27 +146,28 @@ def lattice(token: str, breaks: bool = False) -> list[list[tuple[str, float]]]:
 ONE_PATH = re.compile(r"(?:([a-z])(?!\1))*")
 
 
-def decode(token: str, model: np.ndarray, breaks: bool = False) -> str:
+def decode(token: str, model: list[list[list[float]]], breaks: bool = False) -> str:
     """The restored word of least cost: Viterbi over the last two letters, with back pointers, so linear in the length."""
     if ONE_PATH.fullmatch(token):
         return token
-    steps = lattice(token, breaks)
+    steps = [[(c, letter_class(c) if c else 0, own) for c, own in options] for options in lattice(token, breaks)]
     if max(map(len, steps), default=0) < 2:  # a single path
         return "".join(options[0][0] for options in steps)
     best: dict[tuple[int, int], tuple[float, tuple | None]] = {(EDGE, EDGE): (0.0, None)}
     for options in steps:
         now: dict[tuple[int, int], tuple[float, tuple | None]] = {}
         for (a, b), (cost, back) in best.items():
-            for c, own in options:
+            row = model[a][b]
+            for c, k, own in options:
                 if c:
-                    k = letter_class(c)
-                    state, new, to = (b, k), cost + own + float(model[a, b, k]), (back, c)
+                    state, new, to = (b, k), cost + own + row[k], (back, c)
                 else:
                     state, new, to = (a, b), cost + own, back
-                if state not in now or new < now[state][0]:  # of equal paths the one found first
+                old = now.get(state)
+                if old is None or new < old[0]:  # of equal paths the one found first
                     now[state] = (new, to)
         best = now
-    ends = [(cost + float(model[a, b, EDGE]), spelled(back)) for (a, b), (cost, back) in best.items()]
+    ends = [(cost + model[a][b][EDGE], spelled(back)) for (a, b), (cost, back) in best.items()]
     return min(ends)[1]
 
 
@@ -188,7 +189,7 @@ class Restorer:
     """Lowered token to the words that it may be: itself without signs around it and, if suspicious, its decoding."""
 
     def __init__(self, model: np.ndarray) -> None:
-        self.model = model
+        self.model = model.tolist()  # lists are read faster, number by number
 
     def words(self, token: str) -> tuple[str, ...]:
         bare = JUNK.sub("", token)
