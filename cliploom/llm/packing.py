@@ -29,7 +29,8 @@ from .common import ensure_importable, resident
 SIZE = 2048
 OPEN = 32
 END = 1
-REMEMBERED = 400_000
+#: Pieces whose ids a worker keeps, some 250 bytes each; then it starts anew.
+REMEMBERED = 1_200_000
 #: Characters of text whose pieces are held at once (a longer text is held whole).
 GROUP = 1 << 16
 #: Pieces that the tokenizer meets at once, and the fixed mark of a token that ends a word.
