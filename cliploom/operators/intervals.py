@@ -43,21 +43,24 @@ def covering(points: DataFrame, ranges: DataFrame, key: str, id_: str, label: st
     return points.select(id_).join(best, id_, "left")
 
 
-def asof(points: DataFrame, ranges: DataFrame, key: str, id_: str, label: str, width: int = 86_400_000) -> DataFrame:
+def asof(points: DataFrame, ranges: DataFrame, key: str, id_: str, label: str, width: int | None = None) -> DataFrame:
     """(id_, label, since_ms): the last range of equal key that begins at or before ts_ms; of equal begins the greatest label.
 
-    One pass over both sides merged in time order, no pairs. Time is cut every `width` ms, so that a key that goes on for
-    ever is spread over tasks: within a cut rows are merged, and what holds at its start is carried over from the cuts
-    before it, of which each key has one row. Points without time or key have no label.
+    One pass over both sides merged in time order, no pairs; a key is one task. With `width` time is cut every so many ms,
+    so that a key that goes on for ever is spread over tasks: within a cut rows are merged, and what holds at its start is
+    carried over from the cuts before it, of which each key has one row. That is one more shuffle, for keys of more rows
+    than a task can take. Points without time or key have no label.
     """
-    cut = F.floor(F.col("t") / width)
+    cut = F.floor(F.col("t") / width) if width else F.lit(0).cast("long")
     a = points.select(key, F.col("ts_ms").alias("t"), F.lit(1).alias("kind"), F.col(id_).alias("id"), F.lit(None).cast(ranges.schema[label].dataType).alias("label"))
     b = ranges.where(F.col("start_ms").isNotNull() & F.col(key).isNotNull()).select(key, F.col("start_ms").alias("t"), F.lit(0).alias("kind"), F.lit(None).cast(points.schema[id_].dataType).alias("id"), F.col(label).alias("label"))
     rows = a.unionByName(b).withColumn("cut", cut)
     begun = F.when(F.col("kind") == 0, F.struct("t", "label"))
-    within = W.partitionBy(key, "cut").orderBy("t", "kind", "label", "id").rowsBetween(W.unboundedPreceding, W.currentRow)
+    within = W.partitionBy(key, *(["cut"] if width else [])).orderBy("t", "kind", "label", "id").rowsBetween(W.unboundedPreceding, W.currentRow)
+    merged = rows.withColumn("s", F.last(begun, ignorenulls=True).over(within)).where("kind = 1")
+    if width is None:
+        return merged.select(F.col("id").alias(id_), F.col("s.label").alias(label), F.col("s.t").alias("since_ms"))
     earlier = W.partitionBy(key).orderBy("cut").rowsBetween(W.unboundedPreceding, -1)
     cuts = rows.groupBy(key, "cut").agg(F.max(begun).alias("last")).withColumn("carried", F.max("last").over(earlier)).drop("last")
-    merged = rows.withColumn("s", F.last(begun, ignorenulls=True).over(within)).where("kind = 1")
     out = merged.alias("m").join(cuts.alias("c"), F.expr(f"m.`{key}` = c.`{key}` and m.cut = c.cut"), "left").select("m.id", F.coalesce("m.s", "c.carried").alias("s"))
     return out.select(F.col("id").alias(id_), F.col("s.label").alias(label), F.col("s.t").alias("since_ms"))

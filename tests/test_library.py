@@ -151,11 +151,11 @@ def test_platform_profiles_are_few(spark, monkeypatch):
         planning.platform_plan(clips, profiles)
 
 
-@pytest.mark.parametrize("width", [1, 7, 50, 10**6])
+@pytest.mark.parametrize("width", [1, 7, 50, 10**6, None])
 def test_asof_carries_over_cuts(spark, width):
     from cliploom.operators.intervals import asof
 
-    rng = random.Random(width)
+    rng = random.Random(width or 0)
     ranges = [(rng.randrange(3), rng.choice("abc"), rng.randrange(0, 200)) for _ in range(30)] + [(1, None, 50), (None, "z", 1), (2, "x", None)]
     points = [(k, rng.randrange(4), rng.randrange(-5, 210)) for k in range(80)] + [(900, None, 5), (901, 1, None)]
     got = {r.pid: (r.label, r.since_ms) for r in asof(spark.createDataFrame(points, "pid long, v long, ts_ms long"), spark.createDataFrame(ranges, "v long, label string, start_ms long"), "v", "pid", "label", width).collect()}
