@@ -349,6 +349,35 @@ def test_references_by_brute_force(spark, most):
     assert sum(got[k].ref_id == want[k][2] for k in have) >= 0.9 * len(have)
 
 
+@pytest.mark.parametrize("block", [1024, 7])
+def test_edited_copies_get_their_best_reference(spark, monkeypatch, block):
+    """Every list of the group is long: each recording gets the best of all references, in one tile and in tiles of two blocks."""
+    monkeypatch.setattr(chroma, "LIST", 4)
+    monkeypatch.setattr(chroma.best_of_long, "__defaults__", (4, chroma.ERROR, chroma.OVERLAP, block))
+    rng = random.Random(23)
+    words = [f"w{rng.randrange(500)}" for _ in range(160)]
+    media = []
+    for k in range(30):
+        own = list(words[: 60 + 100 * (k % 3 > 0)])
+        for _ in range(k % 4):
+            own[rng.randrange(20, len(own))] = f"x{rng.randrange(500)}"
+        media.append(chroma.render(" ".join(["intro"] * (k % 2 * 5) + own)))
+    own = [chroma.fingerprint(chroma.chroma(*chroma.samples(m))) for m in media]
+    got = {r.rec_id: r for r in chroma.align_recordings(spark.createDataFrame(list(enumerate(media)), "rec_id long, media binary"), most=4).collect()}
+    for b in range(30):
+        found = [(round(e, 9), -n, a) for a in range(b) if (r := plain_offset(own[a], own[b])) and (e := r[2]) <= chroma.ERROR and (n := r[1]) >= chroma.OVERLAP]
+        want = min(found, default=None)
+        assert (want and want[2]) == got[b].ref_id, b
+        assert want is None or (round(got[b].bit_error, 9), -got[b].overlap) == want[:2]
+
+
+def test_integers_by_the_hundred_thousand_are_counted_alike():
+    a, b = np.random.default_rng(2).integers(0, 5, (2, 300)).astype(np.uint32)
+    votes = chroma._votes_by_integer(a, b)
+    offset, n, error = chroma.align(a, b)
+    assert votes[offset + 300] == votes.max() == (a[max(0, offset) : 300 + min(0, offset)] == b[max(0, -offset) : 300 - max(0, offset)]).sum()
+
+
 def test_pairs_of_a_common_opening_grow_with_its_recordings(spark):
     def pairs(n):
         rng = np.random.default_rng(3)
