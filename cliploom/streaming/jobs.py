@@ -69,11 +69,14 @@ class Tracker(StatefulProcessor):
         self.waiting = handle.getListState("waiting", "at long, kind string")
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        """One timer for all that came, at its first moment: what expires takes everything up to the watermark and sets the next."""
+        first: list[int] = []
         for part in rows:
             at = part["at"].astype("datetime64[ms]").astype("int64").tolist()
             self.waiting.appendList(list(zip(at, part["kind"].tolist(), strict=True)))
-            for x in set(at):
-                self.handle.registerTimer(x)
+            first = [min([*at, *first])] if at else first
+        for x in first:
+            self.handle.registerTimer(x)
         return iter(())
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
@@ -91,6 +94,7 @@ class Tracker(StatefulProcessor):
         self.waiting.clear()
         if later:
             self.waiting.appendList(later)
+            self.handle.registerTimer(min(x[0] for x in later))
         if status in ("done", "dead") and due + self.keep <= now or status == "":
             self.job.clear()
         else:

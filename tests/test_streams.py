@@ -4,6 +4,7 @@ import datetime as dt
 import itertools
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -61,6 +62,42 @@ def test_changes_do_not_depend_on_batches(spark, seed):
     assert sorted(tuple(r) for r in got.collect()) == want
 
 
+def test_a_batch_sets_one_timer():
+    """Timers grow with jobs and batches, not with events; what is left waiting sets the next."""
+
+    class State:
+        rows = None
+        exists = lambda self: self.rows is not None
+        get = lambda self: self.rows
+
+        def update(self, x):
+            self.rows = x
+
+        def clear(self):
+            self.rows = None
+
+        def appendList(self, x):
+            self.rows = [*(self.rows or []), *x]
+
+    class Handle:
+        def __init__(self):
+            self.timers = []
+            self.getValueState = self.getListState = lambda *_: State()
+            self.registerTimer = self.timers.append
+
+    class Now:
+        getCurrentWatermarkInMs = staticmethod(lambda: 50_000)
+
+    tracker, handle = jobs.Tracker(jobs.STALL, jobs.MOST, jobs.KEEP), Handle()
+    tracker.init(handle)
+    kinds = ["submitted"] + ["beat"] * 98 + ["done"]
+    rows = pd.DataFrame({"at": pd.to_datetime([1000 * k for k in range(100)], unit="ms"), "kind": kinds})
+    list(tracker.handleInputRows((1,), iter([rows[60:], rows[:60]]), None))
+    assert handle.timers == [0]
+    assert [list(x.status) for x in tracker.handleExpiredTimer((1,), Now, None)] == [["queued"]]
+    assert handle.timers == [0, 51_000]
+
+
 def test_late_events_are_dropped_and_finished_jobs_forgotten(spark):
     batches = [[(1, at(0), "submitted"), (1, at(1), "started"), (1, at(2), "done")], [(-1, at(900), "end")], [(1, at(3), "submitted"), (2, at(950), "submitted"), (1, at(951), "submitted")], [(-1, at(2000), "end")]]
     path = fresh_folder(spark, "changes")
