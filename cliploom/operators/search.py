@@ -8,25 +8,65 @@ beside doc_id and order them before it, so that a search within one value reads
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as texts
 from ..functions.text import tokens
+from ..session import ensure_importable
 from ..storage import discard, stored
 
+#: Tokens counted at once.
+TOKENS = 1 << 20
 #: Fixed values of the ranking formula.
 K1, B = 1.2, 0.75
 
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(tokens, *columns) of documents to (token, *columns, tf, positions), a row for each token of a document; TOKENS tokens or one document at once."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.list_value_length(batch.column(0)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        upto, done = np.cumsum(sizes), 0
+        while done < len(sizes):
+            stop = max(done + 1, int(np.searchsorted(upto, (upto[done - 1] if done else 0) + TOKENS, "right")))
+            part, n = batch.slice(done, stop - done), sizes[done:stop]
+            words = part.column(0).flatten().dictionary_encode()
+            code, doc = words.indices.to_numpy(zero_copy_only=False), np.repeat(np.arange(len(n)), n)
+            pos = np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)
+            order = np.lexsort((pos, code, doc))
+            code, doc, pos = code[order], doc[order], pos[order].astype(np.int32)
+            first = np.flatnonzero(np.concatenate(([True], (code[1:] != code[:-1]) | (doc[1:] != doc[:-1])))) if len(doc) else np.zeros(0, np.int64)
+            bounds = np.append(first, len(doc)).astype(np.int32)
+            columns = [words.dictionary.take(pa.array(code[first])), *(c.take(pa.array(doc[first])) for c in part.columns[1:])]
+            out = [*columns, pa.array(np.diff(bounds).astype(np.int64)), pa.ListArray.from_arrays(pa.array(bounds), pa.array(pos))]
+            yield pa.RecordBatch.from_arrays(out, ["token", *part.schema.names[1:], "tf", "positions"])
+            done = stop
+
+
 def postings(docs: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """(token, *by, doc_id, tf, positions) of docs (doc_id, text, *by); positions from 0, ascending.
 
-    One shuffle, by token and document, so that a token in most documents is spread over tasks.
+    A document's tokens are counted where it is read, without a shuffle. Rows that share an id (and `by`) are one document:
+    such ids are looked for first, and only their tokens are grouped over tasks.
     """
-    rows = docs.select("doc_id", *by, F.posexplode(tokens(F.col("text"))).alias("pos", "token"))
-    return rows.groupBy("token", *by, "doc_id").agg(F.count("*").alias("tf"), F.array_sort(F.collect_list("pos")).alias("positions"))
+    keys = (*by, "doc_id")
+    ensure_importable(docs.sparkSession)
+    kinds = "".join(f", `{k}` {docs.schema[k].dataType.simpleString()}" for k in keys)
+    count = lambda rows: rows.select(tokens(F.col("text")).alias("tokens"), *keys).mapInArrow(_counted, f"token string{kinds}, tf long, positions array<int>")
+    twice = stored(docs.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1").select(*(F.col(k).alias(f"_{k}") for k in keys)), "repeated-ids")
+    if twice.isEmpty():
+        discard(twice)
+        return count(docs)
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    rows = docs.join(twice, same, "left_semi").select(*keys, F.posexplode(tokens(F.col("text"))).alias("pos", "token"))
+    merged = rows.groupBy("token", *keys).agg(F.count("*").alias("tf"), F.array_sort(F.collect_list("pos")).alias("positions"))
+    return count(docs.join(twice, same, "left_anti")).union(merged)
 
 
 def lengths(docs: DataFrame) -> DataFrame:

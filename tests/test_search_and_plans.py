@@ -45,6 +45,19 @@ def index(spark, docs):
     return df, search.postings(df), search.lengths(df)
 
 
+def test_postings_are_counted_where_documents_are_read(spark, monkeypatch):
+    """No shuffle; rows of equal id, null among them, are one document."""
+    monkeypatch.setattr(search, "TOKENS", 4)
+    docs = [*DOCS, (7, "x y x"), (None, "n m n")]
+    got = search.postings(spark.createDataFrame(docs, "doc_id long, text string").coalesce(1))
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    assert rows(got.where("doc_id = 2").select("token", "tf", "positions")) == [("cat", 2, [3, 6]), ("dog", 2, [0, 5]), ("x", 3, [1, 2, 4])]
+    twice = search.postings(spark.createDataFrame([*docs, (7, "y z"), (None, "m")], "doc_id long, text string"))
+    assert rows(twice.where("doc_id = 7").select("token", "tf", "positions")) == [("x", 2, [0, 2]), ("y", 2, [0, 1]), ("z", 1, [1])]
+    assert rows(twice.where("doc_id is null").select("token", "tf", "positions")) == [("m", 2, [0, 1]), ("n", 2, [0, 2])]
+    assert twice.where("doc_id < 7").count() == got.where("doc_id < 7").count()
+
+
 def test_shortest_windows(spark):
     df, posted, sizes = index(spark, DOCS)
     assert rows(search.windows(posted, ["cat", "dog"])) == [(1, 1, 4), (2, 5, 2)]
