@@ -67,6 +67,13 @@ def read(spark: SparkSession, path: str, form: str, stream: bool = False, schema
     return rows.select("file", *folders, "cue", "c.*")
 
 
+def read_table(rows: DataFrame, form: str) -> DataFrame:
+    """(video_id, cue, start_ms, end_ms, text): cues of caption files kept as rows (video_id, value) of a table."""
+    if form not in ("srt", "vtt", "ass"):
+        raise ValueError(f"captions in the form {form!r}")
+    return rows.select("video_id", F.posexplode(events(F.col("value")) if form == "ass" else cues(F.col("value"))).alias("cue", "c")).select("video_id", "cue", "c.*")
+
+
 def edited(sentences: DataFrame, cues: DataFrame) -> DataFrame:
     """sentences (video_id, sent_idx, start_ms, end_ms, text, ...) with times and texts of the cues (video_id, cue, ...) that were read back.
 

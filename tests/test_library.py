@@ -4,13 +4,16 @@ import datetime as dt
 import math
 import random
 from collections import Counter
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
+from cliploom import storage
 from cliploom.operators import captions as C
 from cliploom.operators import dominance, planning, silence, sketches, surprise
-from cliploom.sources import captions
+from cliploom.plans import registry
+from cliploom.sources import captions, files
 from cliploom.storage import fresh_folder
 
 
@@ -164,3 +167,14 @@ def test_asof_carries_over_cuts(spark, width):
         begun = [(s, x is not None, x or "") for w, x, s in ranges if w == v and v is not None and s is not None and t is not None and s <= t]
         want[k] = ((max(begun)[2] or None), max(begun)[0]) if begun else (None, None)
     assert got == want
+
+
+@pytest.mark.parametrize("name, least", [("captions_read", 3), ("settings_files", 1), ("library_layout", 1), ("caption_files", 1), ("media_listing", 1)])
+def test_files_do_not_grow_with_keys(spark, tmp_path, name, least):
+    """As many files as tasks and shelves, not one for each video or supplier."""
+    spark.range(400).selectExpr("id AS conv_id", "1L AS turn", "'user' AS role", "'a b' AS text").repartition(1).write.parquet(f"{tmp_path}/conversations.parquet")
+    spark.range(400).selectExpr("id AS s_suppkey", "'s' AS s_name", "1 AS s_nationkey", "0D AS s_acctbal").repartition(1).write.parquet(f"{tmp_path}/supplier.parquet")
+    before = set(storage.folders())
+    assert registry.queries()[name](spark, str(tmp_path)).count() >= 400
+    made = [f for p in set(storage.folders()) - before for f in Path(p.removeprefix("file://")).rglob("part-*")]
+    assert least <= len(made) <= files.SHELVES
