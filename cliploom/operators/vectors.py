@@ -7,8 +7,11 @@ coded), and compares the best exactly, in double precision. How many cells it lo
 measured, not guessed: CALIBRATION queries are compared with all rows, and the figures are those that find ENOUGH of their
 true neighbours.
 
-Cells of many vectors are cut into shards, and the queries that probe a cell into groups, so that no task holds more than
-SHARD codes and GROUP queries. The index is three Parquet tables: codebooks, codes ordered by cell, vectors ordered by id.
+Cells are put together in shards, large ones are cut, and queries go in groups, so that no task holds more than about SHARD
+vectors and GROUP queries. A query is sent once to each shard that holds cells it probes. Vectors lie beside their codes, so
+a task compares its best codes exactly where they are and passes on k rows of a query, not all codes worth keeping; the codes
+kept are those of each shard, no fewer than the best over all. The index is two Parquet tables: codebooks, and codes with
+their vectors, whose files are ordered by cell.
 
 Vectors that are null or zero, of another length than most of the sample, or that hold nulls or numbers that are not finite
 are not indexed and find nothing. Rows without an id are ignored. Repeated ids count as vectors of their own.
@@ -35,8 +38,8 @@ from ..storage import discard, stored
 SAMPLE, CELLS, PARTS, WORDS, ROUNDS = 16_384, 1024, 16, 256, 12
 #: Queries compared with all rows; share of their neighbours that cells and kept codes must each reach; most codes kept.
 CALIBRATION, ENOUGH, KEEP = 64, 0.98, 1000
-#: Codes, and queries, of a task.
-SHARD, GROUP = 1 << 15, 1 << 10
+#: Vectors, and queries, of a task, and numbers of either; shards that fewer vectors are dealt to.
+SHARD, GROUP, NUMBERS, SPREAD = 1 << 15, 1 << 15, 1 << 22, 32
 #: Cells of a matrix of scores made at once.
 BLOCK = 1 << 22
 
@@ -96,11 +99,15 @@ class Codebooks:
         codes = [_nearest(part, words)[:, 0] for part, words in zip(self.pieces(x - self.centres[cells]), self.words, strict=True)]
         return cells, np.stack(codes, 1).astype(np.uint8)
 
-    def scores(self, q: np.ndarray, cell: int, codes: np.ndarray) -> np.ndarray:
+    def products(self, q: np.ndarray) -> list[np.ndarray]:
+        """Products of queries with all codewords of each piece."""
+        return [part @ words.T for part, words in zip(self.pieces(q), self.words, strict=True)]
+
+    def scores(self, q: np.ndarray, products: list[np.ndarray], cell: int, codes: np.ndarray) -> np.ndarray:
         """Products of queries with coded vectors of one cell."""
         out = np.repeat((q @ self.centres[cell])[:, None], len(codes), axis=1)
-        for k, (part, words) in enumerate(zip(self.pieces(q), self.words, strict=True)):
-            out += (part @ words.T)[:, codes[:, k]]
+        for k, table in enumerate(products):
+            out += table[:, codes[:, k]]
         return out
 
 
@@ -122,39 +129,106 @@ def _encoded(sent):
         books = sent.value
         for batch in batches:
             cells, codes = books.encode(_matrix(batch.column(1), books.dim))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cells, pa.int32()), pa.array([c.tobytes() for c in codes], pa.binary())], ["vec_id", "cell", "code"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cells, pa.int32()), pa.array([c.tobytes() for c in codes], pa.binary()), batch.column(1)], ["vec_id", "cell", "code", "unit"])
 
     return run
 
 
+def layout(sizes: dict[int, int], cells: int, dim: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """First shard and number of shards of each cell (0: empty): neighbouring cells share one, those too large for one are cut."""
+    most = max(1, min(SHARD, NUMBERS // dim, math.ceil(sum(sizes.values()) / SPREAD)))
+    first, shards, at, room = np.zeros(cells, np.int32), np.zeros(cells, np.int32), -1, 0
+    for cell, n in sorted(sizes.items()):
+        if n > room:
+            at, room = at + 1, most
+        first[cell], shards[cell] = at, math.ceil(n / most)
+        at, room = at + int(shards[cell]) - 1, room - n if n <= most else 0
+    return first, shards
+
+
 def _probed(sent, probe: int):
+    """A row for each query and shard, with the cells there that the query probes."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        books = sent.value
+        books, (first, shards) = sent.value
         for batch in batches:
             cells = _nearest(_matrix(batch.column(1), books.dim), books.centres, min(probe, len(books.centres)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cells.tolist(), pa.list_(pa.int32()))], ["query_id", "unit", "cells"])
+            rows, n = np.repeat(np.arange(len(cells)), cells.shape[1]), shards[cells.ravel()]
+            rows, cell = np.repeat(rows, n), np.repeat(cells.ravel(), n)
+            shard = first[cell] + np.arange(len(cell)) - np.repeat(np.cumsum(n) - n, n)
+            order = np.lexsort((cell, shard, rows))
+            rows, shard, cell = rows[order], shard[order], cell[order]
+            new = np.flatnonzero(np.concatenate(([True], (rows[1:] != rows[:-1]) | (shard[1:] != shard[:-1])))) if len(rows) else np.zeros(0, np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(np.append(new, len(rows)), pa.int32()), pa.array(cell, pa.int32()))
+            for at in range(0, len(new), 1 << 12):
+                to = slice(at, at + (1 << 12))
+                own = pa.array(rows[new[to]])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(own), batch.column(1).take(own), lists[to], pa.array(shard[new[to]], pa.int32())], ["query_id", "unit", "cells", "shard"])
 
     return run
 
 
 def _best(scores: np.ndarray, keep: int) -> np.ndarray:
-    """Columns of the `keep` greatest scores of each row, in no order."""
-    return np.argpartition(-scores, keep - 1, axis=1)[:, :keep] if keep < scores.shape[1] else np.tile(np.arange(scores.shape[1]), (len(scores), 1))
-
-
-def _scored(sent, keep: int):
-    def run(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(q) and len(c):
-            books, ids = sent.value, c["vec_id"].to_numpy()
-            codes = np.frombuffer(b"".join(c["code"]), np.uint8).reshape(len(c), -1)
-            vectors, step = np.stack(q["unit"].to_list()), max(1, BLOCK // len(c))
-            for at in range(0, len(q), step):
-                scores = books.scores(vectors[at : at + step], int(q["cell"].iloc[0]), codes)
-                best = _best(scores, keep)
-                rows = pd.DataFrame({"query_id": np.repeat(q["query_id"].to_numpy()[at : at + step], best.shape[1]), "vec_id": ids[best].ravel(), "score": np.take_along_axis(scores, best, 1).ravel()})
-                out.append(rows[rows["query_id"] != rows["vec_id"]])
-        return pd.concat(out) if out else pd.DataFrame({"query_id": np.zeros(0, int), "vec_id": np.zeros(0, int), "score": np.zeros(0)})
+    """Columns of the `keep` greatest scores of each row, in no order; of equal ones the first columns."""
+    if keep >= scores.shape[1]:
+        return np.tile(np.arange(scores.shape[1]), (len(scores), 1))
+    best = np.argpartition(-scores, keep - 1, axis=1)[:, :keep]
+    chosen = np.take_along_axis(scores, best, 1)
+    least = chosen.min(1)
+    for row in np.flatnonzero((scores == least[:, None]).sum(1) > (chosen == least[:, None]).sum(1)):
+        more = np.flatnonzero(scores[row] > least[row])
+        best[row] = np.append(more, np.flatnonzero(scores[row] == least[row])[: keep - len(more)])
+    return best
+
+
+def _scored(sent, keep: int, k: int | None):
+    """The `keep` best codes of a shard for each query; with k the k best of these by exact comparison."""
+
+    def run(q: pa.Table, c: pa.Table) -> pa.Table:
+        found: list[list[np.ndarray]] = [[], [], []]
+        if q.num_rows and c.num_rows:
+            books, _ = sent.value
+            ids, own = c["vec_id"].to_numpy(), q["query_id"].to_numpy()
+            cells = c["cell"].to_numpy()
+            order = np.lexsort((ids, cells))
+            ids, cells = ids[order], cells[order]
+            codes = np.frombuffer(b"".join(c["code"].to_pylist()), np.uint8).reshape(len(ids), -1)[order]
+            held, begins = np.unique(cells, return_index=True)
+            ends = np.append(begins[1:], len(ids))
+            by_id = np.argsort(ids, kind="stable")
+            place = np.empty_like(by_id)
+            place[by_id] = np.arange(len(by_id))
+            vectors = _matrix(q["unit"].combine_chunks(), books.dim)
+            columns = np.ascontiguousarray(_matrix(c["unit"].combine_chunks(), books.dim)[order].T) if k else None
+            lists = q["cells"].combine_chunks()
+            probes = np.zeros((len(own), len(held)), bool)
+            wanted, of = lists.flatten().to_numpy(), np.repeat(np.arange(len(own)), lists.value_lengths().to_numpy())
+            at = np.minimum(np.searchsorted(held, wanted), len(held) - 1)
+            here = held[at] == wanted  # a piece of a large cell may have got no rows
+            probes[of[here], at[here]] = True
+            step = max(1, BLOCK // max(len(ids), keep))
+            for at in range(0, len(own), step):
+                some, mine = vectors[at : at + step], own[at : at + step]
+                products, scores = books.products(some), np.full((len(mine), len(ids)), -np.inf)
+                for n, cell in enumerate(held):
+                    rows = np.flatnonzero(probes[at : at + step, n])
+                    if len(rows):
+                        scores[rows, begins[n] : ends[n]] = books.scores(some[rows], [t[rows] for t in products], int(cell), codes[begins[n] : ends[n]])
+                scores[mine[:, None] == ids[None, :]] = -np.inf
+                best = by_id[np.sort(place[_best(scores, keep)], axis=1)]
+                worth = np.take_along_axis(scores, best, 1)
+                if k:
+                    exact = np.zeros(best.shape)
+                    for d in range(books.dim):  # number by number, so that equal vectors have equal cosines
+                        exact += columns[d][best] * some[:, d : d + 1]
+                    worth = np.where(worth > -np.inf, exact, -np.inf)
+                    top = np.argsort(-worth, axis=1, kind="stable")[:, :k]
+                    best, worth = np.take_along_axis(best, top, 1), np.take_along_axis(worth, top, 1)
+                row, column = np.nonzero(worth > -np.inf)
+                for to, v in zip(found, (mine[row], ids[best[row, column]], worth[row, column]), strict=True):
+                    to.append(v)
+        kinds = (q.schema.field("query_id").type, c.schema.field("vec_id").type, pa.float64())
+        return pa.table([pa.array(np.concatenate(x) if x else [], t) for x, t in zip(found, kinds, strict=True)], ["query_id", "vec_id", "score"])
 
     return run
 
@@ -189,33 +263,30 @@ class Index:
     probe: int
     keep: int
 
-    def _shards(self) -> DataFrame:
-        """(cell, shards): a row for each cell, of which there are CELLS at most."""
-        return F.broadcast(self.codes.groupBy("cell").agg(F.ceil(F.count("*") / SHARD).cast("int").alias("shards")))
-
-    def candidates(self, queries: DataFrame, probe: int, keep: int) -> DataFrame:
-        """(query_id, vec_id, score, rank): the `keep` best codes of the `probe` nearest cells for queries (query_id, unit)."""
+    def _found(self, queries: DataFrame, probe: int, keep: int, k: int | None) -> DataFrame:
+        """(query_id, vec_id, score): what each shard finds for queries (query_id, unit)."""
         spark = queries.sparkSession
         queries = queries.where(F.size("unit") == self.books.dim)
-        sent, shards = spark.sparkContext.broadcast(self.books), self._shards()
+        sizes = {r["cell"]: r["count"] for r in self.codes.groupBy("cell").count().collect()}  # CELLS rows at most
+        first, shards = layout(sizes, len(self.books.centres), self.books.dim)
+        sent, groups = spark.sparkContext.broadcast((self.books, (first, shards))), max(1, math.ceil(queries.count() / max(1, min(GROUP, NUMBERS // self.books.dim))))
         kind = queries.schema["query_id"].dataType.simpleString()
-        probes = queries.mapInArrow(_probed(sent, probe), f"query_id {kind}, unit array<double>, cells array<int>")
-        probes = probes.select("query_id", "unit", F.explode("cells").alias("cell"))
-        groups = F.broadcast(probes.groupBy("cell").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("groups")))  # a row for each cell
-        both = shards.join(groups, "cell")
-        left = probes.join(both, "cell").withColumns({"group": F.pmod(F.xxhash64("query_id"), F.col("groups").cast("long")).cast("int"), "shard": F.explode(F.sequence(F.lit(0), F.col("shards") - 1))})
-        right = self.codes.join(both, "cell").withColumns({"shard": F.pmod(F.xxhash64("vec_id"), F.col("shards").cast("long")).cast("int"), "group": F.explode(F.sequence(F.lit(0), F.col("groups") - 1))})
-        keys = ("cell", "shard", "group")
-        left, right = left.select("query_id", "unit", *keys), right.select("vec_id", "code", *keys)
-        found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(_scored(sent, keep), f"query_id {kind}, vec_id {kind}, score double")
-        return _top(found, keep)
+        left = queries.select("query_id", "unit").mapInArrow(_probed(sent, probe), f"query_id {kind}, unit array<double>, cells array<int>, shard int")
+        left = left.withColumn("group", F.pmod(F.xxhash64("query_id"), F.lit(groups)).cast("int"))
+        cells = F.broadcast(spark.createDataFrame([(c, int(first[c]), int(shards[c])) for c in sizes], "cell int, first int, shards int"))
+        shard = (F.col("first") + F.pmod(F.xxhash64("vec_id"), F.col("shards").cast("long"))).cast("int")
+        right = self.codes.join(cells, "cell").select("vec_id", "cell", "code", *(["unit"] if k else []), shard.alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group"))
+        keys = ("shard", "group")
+        return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_scored(sent, keep, k), f"query_id {kind}, vec_id {kind}, score double")
+
+    def candidates(self, queries: DataFrame, probe: int, keep: int) -> DataFrame:
+        """(query_id, vec_id, score, rank): the `keep` best codes of the `probe` nearest cells for queries (query_id, unit)."""
+        return _top(self._found(queries, probe, keep, None), keep)
 
     def search(self, queries: DataFrame, k: int) -> DataFrame:
         """(query_id, rank, vec_id, cosine): the k nearest of queries (query_id, unit) among all others, compared exactly once found."""
-        near = self.candidates(queries, self.probe, self.keep).select("query_id", "vec_id")
-        rows = near.join(self.vectors, "vec_id").join(queries.withColumnRenamed("unit", "q"), "query_id")
-        product = F.aggregate(F.zip_with("unit", "q", lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)
-        return _top(rows.select("query_id", "vec_id", product.alias("score")), k).select("query_id", F.col("rank").cast("long").alias("rank"), "vec_id", F.col("score").alias("cosine"))
+        rows = _top(self._found(queries, self.probe, max(self.keep, k), k), k)
+        return rows.select("query_id", F.col("rank").cast("long").alias("rank"), "vec_id", F.col("score").alias("cosine"))
 
 
 def usable(rows: DataFrame) -> DataFrame:
@@ -235,24 +306,21 @@ def read_books(spark: SparkSession, path: str) -> Codebooks:
 
 
 def write_index(rows: DataFrame, path: str, sample: int = SAMPLE) -> None:
-    """Index all usable rows (vec_id, embedding) under path: codebooks, codes ordered by cell, unit vectors ordered by id."""
+    """Index all usable rows (vec_id, embedding) under path: codebooks, codes and unit vectors in files ordered by cell."""
     spark = rows.sparkSession
     ensure_importable(spark)
     units = stored(usable(rows), "units")
     n = units.count()
     if not n:
         write_books(Codebooks(np.zeros((1, 1)), [np.zeros((1, 1))]), spark, path)
-        units.select("vec_id", F.lit(0).alias("cell"), F.lit(b"").alias("code")).write.parquet(f"{path}/codes")
-        units.write.parquet(f"{path}/vectors")
+        units.select("vec_id", F.lit(0).alias("cell"), F.lit(b"").alias("code"), "unit").write.parquet(f"{path}/codes")
         return
     books = fit(units, n, sample)
     write_books(books, spark, path)
-    fitting = units.where(F.size("unit") == books.dim)
-    fitting.repartitionByRange("vec_id").sortWithinPartitions("vec_id").write.parquet(f"{path}/vectors")
     sent, kind = spark.sparkContext.broadcast(books), units.schema["vec_id"].dataType.simpleString()
-    codes = stored(spark.read.parquet(f"{path}/vectors").mapInArrow(_encoded(sent), f"vec_id {kind}, cell int, code binary"), "codes")
-    codes.repartitionByRange("cell", "vec_id").sortWithinPartitions("cell", "vec_id").write.parquet(f"{path}/codes")
-    discard(units, codes)
+    codes = units.where(F.size("unit") == books.dim).mapInArrow(_encoded(sent), f"vec_id {kind}, cell int, code binary, unit array<double>")
+    codes.hint("rebalance", "cell").sortWithinPartitions("cell", "vec_id").write.parquet(f"{path}/codes")  # not by ranges: that encodes twice
+    discard(units)
 
 
 def read_index(spark: SparkSession, path: str, k: int, calibration: int = CALIBRATION, enough: float = ENOUGH) -> Index:
@@ -263,7 +331,8 @@ def read_index(spark: SparkSession, path: str, k: int, calibration: int = CALIBR
     """
     ensure_importable(spark)
     books = read_books(spark, path)
-    index = Index(spark.read.parquet(f"{path}/codes"), spark.read.parquet(f"{path}/vectors"), books, len(books.centres), k)
+    codes = spark.read.parquet(f"{path}/codes")
+    index = Index(codes, codes.select("vec_id", "unit"), books, len(books.centres), k)
     some = index.vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(calibration).toPandas()
     if len(some) < 2:
         return index

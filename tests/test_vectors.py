@@ -80,3 +80,43 @@ def test_codebooks_survive_storage(spark):
 def test_unit(spark):
     df = spark.createDataFrame([([3.0, 4.0],)], "v array<float>").select(vectors.unit(F.col("v")).alias("u"))
     assert [round(x, 6) for x in df.first().u] == [0.6, 0.8]
+
+
+def shuffled(spark, df):
+    """MB that writing df shuffles."""
+    sc = spark.sparkContext
+    store, jvm = sc._jsc.sc().statusStore(), sc._jvm
+
+    def total():
+        sc._jsc.sc().listenerBus().waitUntilEmpty()
+        stages = store.stageList(jvm.java.util.ArrayList(), False, False, sc._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+        return sum(stages.apply(k).shuffleWriteBytes() for k in range(stages.size())) / 1e6
+
+    before = total()
+    df.write.format("noop").mode("overwrite").save()
+    return total() - before
+
+
+def test_codes_worth_keeping_are_not_shuffled(spark):
+    rng = np.random.default_rng(5)
+    df, path = frame(spark, rng.normal(size=(4000, 32))), fresh_folder(spark, "vectors")
+    vectors.write_index(df, path)
+    index = vectors.read_index(spark, path, 5)
+    queries = vectors.usable(df).where("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id")
+    index.keep = 20
+    few = shuffled(spark, index.search(queries, 5))
+    index.keep = 1000
+    assert shuffled(spark, index.search(queries, 5)) < 1.2 * few
+
+
+def test_equal_vectors_come_by_id(spark):
+    x = np.random.default_rng(6).normal(size=(700, 16))
+    x[100:] = x[100]  # far more copies than codes are kept
+    _, got, _ = found(spark, frame(spark, x), 4)
+    assert all(got[q] == [v for v in range(100, 106) if v != q][:4] for q in range(100, 700, 20))
+
+
+def test_layout_of_cells(monkeypatch):
+    monkeypatch.setattr(vectors, "SHARD", 10)
+    first, shards = vectors.layout({0: 100, 2: 6, 3: 4, 4: 1, 5: 300}, 6)
+    assert shards.tolist() == [10, 0, 1, 1, 1, 30] and first.tolist() == [0, 0, 10, 10, 11, 12]
