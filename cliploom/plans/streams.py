@@ -63,7 +63,7 @@ def vector_neighbors(spark: SparkSession, d: str) -> DataFrame:
     """The nearest of every twentieth vector among all."""
     rows, path = S.read(spark, d, "embeddings"), fresh_folder(spark, "vectors")
     vectors.write_index(rows, path)
-    queries = vectors.usable(rows).where("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id")
+    queries = vectors.usable(rows.where("vec_id % 20 = 0")).withColumnRenamed("vec_id", "query_id")  # in this order: unit() is dear
     return vectors.read_index(spark, path, NEIGHBOURS).search(queries, NEIGHBOURS)
 
 
